@@ -59,14 +59,13 @@ def file_key(x, zero_is_missing: bool = True) -> Column:
 
 
 def erp_key(x) -> Column:
-    """Key from an ERP payload: '' and '0' are missing, 12.0 becomes 12."""
-    text = blank_to_null(x)
-    number = F.regexp_replace(text, ",", ".")
-    whole = F.when(
-        number.rlike(r"^[+-]?[0-9]+(\.0*)?$"),
-        F.regexp_replace(F.regexp_replace(number, r"\.0*$", ""), r"^\+?(-?)0*([0-9])", "$1$2"),
-    ).otherwise(text)
-    return F.nullif(whole, F.lit("0"))
+    """Key from an ERP payload: '' and '0' are missing, 12.0 and 12,00 become 12."""
+    from ventara.functions.numbers import parse_erp_number
+
+    text = F.nullif(blank_to_null(x), F.lit("0"))
+    number = parse_erp_number(text, "decimal(38,6)")
+    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
+    return F.coalesce(whole, text)
 
 
 def lower_trim(x) -> Column:
