@@ -31,10 +31,9 @@ def canonical(frame: pd.DataFrame, digits: int | None = 6):
                 out.append("NULL")
             elif isinstance(v, bool) or type(v).__name__ == "bool_" or type(v).__name__ == "bool":
                 out.append(str(bool(v)))
-            elif isinstance(v, float):
-                out.append(repr(round(float(v), digits) + 0.0) if digits is not None else repr(float(v)))
-            elif hasattr(v, "item"):
-                out.append(str(v.item()))
+            elif isinstance(v, (int, float)) or type(v).__module__ == "numpy":
+                number = float(v) if not isinstance(v, str) else v
+                out.append(repr(round(number, digits) + 0.0) if digits is not None else repr(number))
             else:
                 out.append(str(v))
         rows.append(tuple(out))
@@ -47,12 +46,12 @@ def compare(spark_frame, duck_frame):
         return f"columns {sorted(spark_frame.columns)} / {sorted(duck_frame.columns)}"
     if len(spark_frame) != len(duck_frame):
         return f"rows {len(spark_frame)} / {len(duck_frame)}"
-    kinds = [
-        f"{c}: {spark_frame[c].dtype}/{duck_frame[c].dtype}"
-        for c in spark_frame.columns
-        if spark_frame[c].dtype.kind != duck_frame[c].dtype.kind and {spark_frame[c].dtype.kind, duck_frame[c].dtype.kind} & set("fM")
-        and {spark_frame[c].dtype.kind, duck_frame[c].dtype.kind} != {"O", "f"}
-    ]
+    kinds = []
+    for c in spark_frame.columns:
+        a, b = spark_frame[c].dtype.kind, duck_frame[c].dtype.kind
+        nulls = spark_frame[c].isna().any() or duck_frame[c].isna().any()
+        if a != b and "f" in (a, b) and not nulls and "O" not in (a, b) or "M" in (a, b):
+            kinds.append(f"{c}: {spark_frame[c].dtype}/{duck_frame[c].dtype}")
     if kinds:
         return "types " + ", ".join(kinds)
     left, right = canonical(spark_frame), canonical(duck_frame)

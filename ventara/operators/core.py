@@ -41,7 +41,7 @@ def invoice_id() -> Column:
 def unpivot_dimensions(fact: DataFrame, dimensions, keep: list[str]) -> DataFrame:
     """One row per fact row and dimension, with the `keep` columns carried along."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), label_of(d).alias("label")) for d in dimensions])
-    return fact.select(F.inline(pairs), *keep)
+    return fact.select(F.inline_outer(pairs), *keep)
 
 
 def ranked(df: DataFrame, n: int, order, by=(), name: str = "rank") -> DataFrame:

@@ -46,6 +46,7 @@ def local_session(cores: int = 8, partitions: int | None = None, app: str = "ven
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VENTARA_DRIVER_MEMORY", "8g"))
     )
     for key, value in SETTINGS.items():
