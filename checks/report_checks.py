@@ -199,7 +199,7 @@ def _series_sql(dims, metrics, n):
     cols = {"seller_name": "seller_name", "brand": "brand_l", "channel": "channel", "family": "family_l", "line": "line_l", "business_unit": "bu_l",
             "supplier": "supplier", "sales_scheme_name": "sales_scheme_name", "sales_force": "sales_force", "route_description": "route_l"}
     union = " UNION ALL ".join(
-        f"SELECT '{d}' AS dimension, '{m}' AS metric, {cols[d]} AS label, period, sum({m}) AS v FROM fact WHERE {CUR} GROUP BY 3, 4" for d in dims for m in metrics)
+        f"SELECT '{d}' AS dimension, '{m}' AS metric, {cols[d]} AS label, period, CAST(sum({m}) AS DECIMAL(38,6)) AS v FROM fact WHERE {CUR} GROUP BY 3, 4" for d in dims for m in metrics)
     return f"""SELECT * FROM (WITH s AS ({union}), r AS (SELECT dimension, metric, label, sum(v) AS total,
         row_number() OVER (PARTITION BY dimension, metric ORDER BY sum(v) DESC, label) AS rank FROM s GROUP BY 1, 2, 3)
       SELECT r.dimension, r.metric, r.rank, r.label, CAST(r.total AS DOUBLE) AS total, m.period, CAST(coalesce(s.v, 0) AS DOUBLE) AS value
