@@ -189,6 +189,7 @@ def product_analysis(fact):
 def _perf_summary_sql(field):
     return f"""SELECT CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total, count(*) AS labels, count(*) FILTER (round(growth_pct, 1) > 5) AS growing,
       count(*) FILTER (round(growth_pct, 1) < -10) AS declining, count(*) FILTER (round(growth_pct, 1) < 0) AS falling,
+      count(*) FILTER (round(growth_pct, 1) >= 10) AS growing_strongly, count(*) FILTER (round(growth_pct, 1) < -5) AS declining_notably,
       max(value) AS max_value, min(value) AS min_value,
       CAST(sum(CAST(value AS DECIMAL(28,4))) FILTER (rn <= 3) AS DOUBLE) / greatest(CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE), 1) * 100 AS top3_pct,
       max(label) FILTER (rn = 1) AS leader, max(share_pct) FILTER (rn = 1) AS leader_share_pct, max(growth_pct) FILTER (rn = 1) AS leader_growth_pct

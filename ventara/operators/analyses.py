@@ -301,6 +301,8 @@ def performance_summary(stats: DataFrame) -> DataFrame:
         F.count_if(F.round("growth_pct", 1) > 5).alias("growing"),
         F.count_if(F.round("growth_pct", 1) < -10).alias("declining"),
         F.count_if(F.round("growth_pct", 1) < 0).alias("falling"),
+        F.count_if(F.round("growth_pct", 1) >= 10).alias("growing_strongly"),
+        F.count_if(F.round("growth_pct", 1) < -5).alias("declining_notably"),
         F.max("value").alias("max_value"),
         F.min("value").alias("min_value"),
     ).select(
