@@ -75,7 +75,7 @@ def dimension_ranking_pair(fact):
         sum((v / greatest(total, 1)) * (v / greatest(total, 1))) FILTER (rn <= 20) * 10000 AS hhi_top,
         sum((v / greatest(total, 1)) * (v / greatest(total, 1))) * 10000 AS hhi_all
       FROM (SELECT CAST(sum(amount) AS DOUBLE) AS v, CAST(sum(sum(amount)) OVER () AS DOUBLE) AS total,
-              row_number() OVER (ORDER BY sum(amount) DESC, seller_name) AS rn FROM fact GROUP BY seller_name))"""))
+              row_number() OVER (ORDER BY sum(amount) DESC, seller_name) AS rn FROM fact GROUP BY seller_name))"""), rounded=("hhi_top", "hhi_all",))
 def ranking_concentration(fact):
     return analyses.ranking_concentration(fact, "seller_name")
 
@@ -196,12 +196,12 @@ def _perf_summary_sql(field):
     FROM (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS rn FROM ({_perf_sql(field)}))"""
 
 
-@C.add("product_summary", with_fact(_perf_summary_sql("family")))
+@C.add("product_summary", with_fact(_perf_summary_sql("family")), rounded=("top3_pct",))
 def product_summary(fact):
     return analyses.performance_summary(analyses.product_analysis(fact))
 
 
-@C.add("seller_summary", with_fact(_perf_summary_sql("seller_name")))
+@C.add("seller_summary", with_fact(_perf_summary_sql("seller_name")), rounded=("top3_pct",))
 def seller_summary(fact):
     return analyses.performance_summary(analyses.seller_performance(fact))
 

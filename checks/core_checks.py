@@ -96,14 +96,14 @@ def orders_index(fact):
 @C.add("concentration", with_fact(
     """SELECT dimension, sum(sales) FILTER (rn <= 3) / greatest(sum(sales), 1) * 100 AS share_pct FROM (
       SELECT dimension, sales, row_number() OVER (PARTITION BY dimension ORDER BY sales DESC) AS rn FROM dimension_stats)
-    GROUP BY dimension""", DIMS_CTE))
+    GROUP BY dimension""", DIMS_CTE), rounded=("share_pct",))
 def concentration(fact):
     return core.concentration_share(core.dimension_stats(fact, PERIOD), 3, by=["dimension"])
 
 
 @C.add("concentration_clients", with_fact(
     """SELECT sum(sales) FILTER (rn <= 10) / greatest(sum(sales), 1) * 100 AS share_pct FROM (
-      SELECT sales, row_number() OVER (ORDER BY sales DESC) AS rn FROM clients)""", GAPS_CTE, CLIENTS_CTE))
+      SELECT sales, row_number() OVER (ORDER BY sales DESC) AS rn FROM clients)""", GAPS_CTE, CLIENTS_CTE), rounded=("share_pct",))
 def concentration_clients(fact):
     return core.concentration_share(core.client_stats(fact, PERIOD), 10)
 

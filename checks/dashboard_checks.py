@@ -105,7 +105,7 @@ _SALERT_CTE = """salerts AS (SELECT 'sellers' AS board, 'warn' AS severity, 'dep
     UNION ALL SELECT 'sellers', 'warn', 'cartera liviana', light_portfolios, NULL FROM ssum WHERE light_portfolios > 0)"""
 
 
-@C.add("sellers_summary", with_fact("SELECT * FROM ssum", _SELLERS_CTE, _SSUM_CTE))
+@C.add("sellers_summary", with_fact("SELECT * FROM ssum", _SELLERS_CTE, _SSUM_CTE), rounded=("top3_pct", "sales_per_seller",))
 def sellers_summary(fact):
     return focus.sellers_summary(_sellers(fact))
 
@@ -144,7 +144,7 @@ def _clients(fact):
     return core.client_stats(fact, PERIOD)
 
 
-@C.add("clients_lifecycle", with_fact("SELECT * FROM dash", GAPS_CTE, CLIENTS_CTE, _DASH_CTE))
+@C.add("clients_lifecycle", with_fact("SELECT * FROM dash", GAPS_CTE, CLIENTS_CTE, _DASH_CTE), rounded=("share_pct",))
 def clients_lifecycle(fact):
     return focus.clients_dashboard(fact, PERIOD, _clients(fact))
 
@@ -154,7 +154,7 @@ def lifecycle_counts(fact):
     return focus.lifecycle_counts(focus.clients_dashboard(fact, PERIOD, _clients(fact)))
 
 
-@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE))
+@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",))
 def clients_summary(fact):
     return focus.clients_summary(fact, PERIOD, focus.clients_dashboard(fact, PERIOD, _clients(fact)))
 
@@ -180,7 +180,7 @@ def _hist(fact):
     return slice_history(fact, PERIOD.selected_end)
 
 
-@C.add("monthly_history", with_fact("SELECT * FROM months", _MS_CTE, _MONTHS_CTE))
+@C.add("monthly_history", with_fact("SELECT * FROM months", _MS_CTE, _MONTHS_CTE), rounded=("rolling3", "rolling6",))
 def monthly_history(fact):
     return history.monthly_history(_hist(fact))
 
@@ -218,7 +218,7 @@ def _hhi_sql(dims):
         FROM fact WHERE {CUR} GROUP BY {d})""" for d in dims)
 
 
-@C.add("hhi", with_fact(_hhi_sql(("client", "supplier", "seller_name", "channel"))))
+@C.add("hhi", with_fact(_hhi_sql(("client", "supplier", "seller_name", "channel"))), rounded=("hhi",))
 def hhi(fact):
     return history.hhi(fact.filter(PERIOD.in_selected()))
 
@@ -240,7 +240,7 @@ _HALERT_CTE = """halerts AS (SELECT 'history' AS board, 'warn' AS severity, 'ca
     UNION ALL SELECT 'history', 'warn', 'concentración', hhi_client FROM hsum WHERE round(hhi_client, 0) >= 900)"""
 
 
-@C.add("history_summary", with_fact("SELECT * FROM hsum", _MS_CTE, _MONTHS_CTE, _PARETO_CTE, _HSUM_CTE))
+@C.add("history_summary", with_fact("SELECT * FROM hsum", _MS_CTE, _MONTHS_CTE, _PARETO_CTE, _HSUM_CTE), rounded=("hhi_client", "rolling3", "rolling6",))
 def history_summary(fact):
     return history.history_summary(_hist(fact), fact.filter(PERIOD.in_selected()))
 
@@ -284,12 +284,12 @@ _SHARES_CTE = """shares AS (SELECT channel AS label, round(CAST(sum(amount) AS D
     FROM fact WHERE year = 2000 AND channel <> 'BUILDING' GROUP BY 1 UNION ALL SELECT 'CANAL NUEVO', 7.5)"""
 
 
-@C.add("budget_monthly", with_fact("SELECT * FROM bm", _MS_CTE, _BUDGET_CTE, _BM_CTE))
+@C.add("budget_monthly", with_fact("SELECT * FROM bm", _MS_CTE, _BUDGET_CTE, _BM_CTE), rounded=("gap",))
 def budget_monthly(fact):
     return history.budget_monthly(_hist(fact), budget_of(fact))
 
 
-@C.add("budget_summary", with_fact("SELECT * FROM bsum", _MS_CTE, _BUDGET_CTE, _BM_CTE, _BSUM_CTE))
+@C.add("budget_summary", with_fact("SELECT * FROM bsum", _MS_CTE, _BUDGET_CTE, _BM_CTE, _BSUM_CTE), rounded=("last_gap",))
 def budget_summary(fact):
     return history.budget_summary(history.budget_monthly(_hist(fact), budget_of(fact)))
 

@@ -100,12 +100,12 @@ def period_totals(fact):
     return ops.period_totals(fact, PERIOD)
 
 
-@C.add("summary", with_fact(SUMMARY_SQL, *BASE))
+@C.add("summary", with_fact(SUMMARY_SQL, *BASE), rounded=("avg_ticket", "top10_share_pct", "top_channel_pct", "top_brand_pct", "top_business_unit_pct",))
 def summary(fact):
     return ops.summary(_base(fact))
 
 
-@C.add("ratios", with_fact(RATIOS_SQL, *BASE))
+@C.add("ratios", with_fact(RATIOS_SQL, *BASE), rounded=("top10_clients_pct", "top_channel_pct", "top_brand_pct", "top_business_unit_pct", "top3_forces_pct", "top3_sellers_pct",))
 def ratios(fact):
     return ops.ratios(_base(fact))
 

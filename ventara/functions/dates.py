@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from ventara.functions.text import blank_to_null, clean, col, lower_trim
+from ventara.functions.text import clean, col, lower_trim
 
 # Month names and abbreviations in Spanish and English.
 MONTH_WORDS = {
@@ -20,8 +20,13 @@ MONTH_WORDS = {
     12: ("dic", "diciembre", "dec", "december"),
 }
 
-# Accepted day formats, in order of preference.
-DAY_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d")
+# Accepted day formats with the shape of their texts.
+DAY_FORMATS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+}
 
 
 def _month_lookup() -> Column:
@@ -55,9 +60,16 @@ def parse_month_text(x) -> Column:
 
 
 def parse_date(x) -> Column:
-    text = F.substring(blank_to_null(x), 1, 10)
-    tries = [F.try_to_date(text, fmt) for fmt in DAY_FORMATS]
-    return F.coalesce(*tries, parse_month_text(x))
+    """Day of a text in one of the formats, else the first day of a month text.
+
+    A format is tried only on texts of its shape: a failing parse raises inside the JVM, which
+    costs far more than the comparison.
+    """
+    text = F.substring(F.trim(col(x).cast("string")), 1, 10)
+    day = F.lit(None).cast("date")
+    for fmt, shape in reversed(DAY_FORMATS.items()):
+        day = F.when(text.rlike(shape), F.try_to_date(text, fmt)).otherwise(day)
+    return F.coalesce(day, F.when(text != "", parse_month_text(x)))
 
 
 def period_of(x) -> Column:

@@ -7,7 +7,7 @@ compared, because the thresholds are defined on percentages with one decimal.
 
 from pyspark.sql import Column, functions as F
 
-from ventara.functions.text import blank_to_null, col
+from ventara.functions.text import col
 
 MEASURE = "decimal(18,4)"
 
@@ -20,26 +20,21 @@ def zero(x) -> Column:
     return F.coalesce(col(x), F.lit(0))
 
 
+# Marks that only group digits. A mark is one when the text's last mark is the other one; the
+# lookahead finds that out in a single pass, so the cell is read once whatever its format.
+_GROUPING = r"\.(?=.*,[^.]*$)|,(?=.*\.[^,]*$)| "
+# In ERP numbers every dot groups as soon as there is a comma.
+_ERP_GROUPING = r"\.(?=.*,)|(?<=,.{0,60})\.| "
+
+
 def parse_number(x, target: str = MEASURE) -> Column:
     """Locale number: with both marks present the last one is the decimal mark; a lone comma is one too."""
-    text = F.regexp_replace(blank_to_null(x), " ", "")
-    both = text.contains(",") & text.contains(".")
-    backwards = F.reverse(text)
-    comma_last = F.instr(backwards, ",") < F.instr(backwards, ".")
-    plain = (
-        F.when(both & comma_last, F.translate(text, ",.", "."))
-        .when(both, F.translate(text, ",", ""))
-        .otherwise(F.translate(text, ",", "."))
-    )
-    return plain.try_cast(target)
+    return F.translate(F.regexp_replace(col(x).cast("string"), _GROUPING, ""), ",", ".").try_cast(target)
 
 
 def parse_erp_number(x, target: str = MEASURE) -> Column:
     """ERP number: with both marks present the dot separates thousands and the comma decimals."""
-    text = F.regexp_replace(blank_to_null(x), " ", "")
-    both = text.contains(",") & text.contains(".")
-    plain = F.when(both, F.translate(text, ",.", ".")).otherwise(F.translate(text, ",", "."))
-    return plain.try_cast(target)
+    return F.translate(F.regexp_replace(col(x).cast("string"), _ERP_GROUPING, ""), ",", ".").try_cast(target)
 
 
 def first_number(*xs) -> Column:

@@ -59,13 +59,10 @@ def file_key(x, zero_is_missing: bool = True) -> Column:
 
 
 def erp_key(x) -> Column:
-    """Key from an ERP payload: '' and '0' are missing, 12.0 and 12,00 become 12."""
-    from ventara.functions.numbers import parse_erp_number
-
+    """Key from an ERP payload: '' and '0' are missing; whole numbers lose leading zeros and decimals (12.0 becomes 12)."""
     text = F.nullif(blank_to_null(x), F.lit("0"))
-    number = parse_erp_number(text, "decimal(38,6)")
-    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    return F.coalesce(whole, text)
+    plain = F.regexp_replace(text, r"\.(?=[0-9.]*,0*$)", "")  # thousands dots of 1.234,00
+    return F.regexp_replace(plain, r"^\+?(-?)0*([0-9]+)(?:[.,]0*)?$", "$1$2")
 
 
 def lower_trim(x) -> Column:

@@ -141,7 +141,7 @@ def content_role(field, rows, dates, numbers, distinct_values, distinct_numbers,
     return F.struct(role.alias("role"), subrole.alias("subrole"))
 
 
-def _long(df: DataFrame, fields) -> DataFrame:
+def _long(df: DataFrame, fields, listed_all: bool = False) -> DataFrame:
     """One row per present cell: field, text, and the number or date flag its type or content gives."""
     cells = []
     for f in fields:
@@ -156,6 +156,9 @@ def _long(df: DataFrame, fields) -> DataFrame:
         else:
             number = F.lit(None).cast("double")
             dated = F.lit(False)
+        if FIELD_ROLES.get(f, (None,))[0] in (METRIC, DATE) and not listed_all:
+            # Only the coverage of these is reported: one constant value keeps them out of the value counts.
+            text, number = F.lit(""), F.lit(None).cast("double")
         cells.append(F.struct(F.lit(f).alias("field"), F.when(present, text).alias("value"), number.alias("number"), dated.alias("dated")))
     return df.select(F.inline_outer(F.array(*cells))).filter(F.col("value").isNotNull())
 
@@ -224,7 +227,7 @@ def infer_roles(df: DataFrame, fields) -> DataFrame:
     """Roles from content alone, whatever the columns are called."""
     nothing = F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("subrole"))
     total = df.agg(F.count("*")).scalar()
-    return _profile(_long(df, fields), total, nothing, 1).select("field", "role", "subrole", "coverage")
+    return _profile(_long(df, fields, True), total, nothing, 1).select("field", "role", "subrole", "coverage")
 
 
 def subrole_fields(profiled: DataFrame) -> DataFrame:
