@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ventara.functions.numbers import dbl, moderated, pct_change, ratio, share_pct
 from ventara.functions.text import clean
 from ventara.operators.core import (
-    amount_where, client_status, money, one_row, purchase_gaps, ranked, status_rank,
+    amount_where, client_status, money, one_row, purchase_gaps, ranked, status_rank, usual_values,
 )
 
 # Routes counted as not covered.
@@ -156,14 +156,15 @@ def churn_clients(fact: DataFrame, client: str = "client_key", metric: str = "am
         F.coalesce(F.col("date") >= F.date_sub(last, 364), F.lit(False)).alias("recent"),
     )
     sums = rows.groupBy("client_key").agg(
-        F.coalesce(F.max(F.struct("date", "client")).client, F.first("client_key")).alias("client"),
         F.coalesce(F.sum(F.when(F.col("recent"), F.col("metric"))), F.lit(0)).alias("sales12"),
         F.coalesce(F.sum("metric"), F.lit(0)).alias("sales_all"),
         F.count_distinct(F.when(F.col("recent"), F.col("order"))).alias("orders12"),
         F.count_distinct("order").alias("orders_all"),
         F.count_distinct(F.when(F.col("recent"), F.col("period"))).alias("months_active"),
-        F.mode("segment", True).alias("segment"),
     )
+    combos = rows.groupBy("client_key", "client", "segment").agg(F.count("*").alias("n"), F.max("date").alias("date"))
+    names = combos.groupBy("client_key").agg(F.coalesce(F.max(F.struct("date", "client")).client, F.col("client_key")).alias("client"))
+    sums = sums.join(names, "client_key").join(usual_values(combos, "client_key", ["segment"]), "client_key")
     gaps = purchase_gaps(rows.filter(F.col("date").isNotNull()))
     orders = F.when(F.col("orders12") > 0, F.col("orders12")).otherwise(F.col("orders_all"))
     dated = F.col("last_date").isNotNull()

@@ -83,23 +83,33 @@ def purchase_gaps(fact: DataFrame, key: str = "client_key", default: int = 45) -
     )
 
 
+def usual_values(combos: DataFrame, key: str, fields, prefer: str | None = None) -> DataFrame:
+    """Most frequent value of each field per key from combinations counted in `n`; the smallest wins a tie.
+
+    With `prefer`, values of the combinations where that flag is set go first. Counting the
+    combinations beforehand keeps the wide aggregations hash-based and a hot key small.
+    """
+    first = F.col(prefer) if prefer else F.lit(True)
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    counted = combos.select(key, "n", first.alias("first"), F.inline_outer(pairs)).groupBy(key, "field", "value", "first").agg(F.sum("n").alias("n"))
+    order = F.struct(~F.col("first"), -F.col("n"), F.col("value"))
+    return counted.groupBy(key).agg(*[F.min_by("value", F.when(F.col("field") == f, order)).alias(f) for f in fields])
+
+
 def client_stats(fact: DataFrame, period: Period) -> DataFrame:
-    """One row per client: recency, status, sales of the periods, orders, breadth and usual owner."""
+    """One row per client: recency, status, sales of the periods, orders, breadth and usual owner.
+
+    Three aggregations share the client key, so their joins need no further shuffle: measures and
+    distinct counts, the client's name and usual owner (from counted combinations), and the gaps.
+    """
     seen = F.col("date") <= day(period.selected_end)
+    owner = ("sales_force", "route_description", "seller_name")
     rows = fact.select(
-        "client_key", "client", "date", "invoice", "period",
-        label_of("family").alias("family"),
-        label_of("sales_force").alias("force_label"),
-        label_of("route_description").alias("route_label"),
-        label_of("seller_name").alias("seller_label"),
-        "amount", "quantity",
-        seen.alias("seen"),
-        period.in_selected().alias("cur"),
-        (seen & period.in_comparison()).alias("prev"),
+        "client_key", "date", "invoice", "period", label_of("family").alias("family"), "amount", "quantity",
+        seen.alias("seen"), period.in_selected().alias("cur"), (seen & period.in_comparison()).alias("prev"),
     )
     real_family = F.when(F.col("family") != "Sin familia", F.col("family"))
     totals = rows.groupBy("client_key").agg(
-        F.max(F.when(F.col("seen"), F.struct("date", "client"))).alias("last"),
         amount_where(F.col("cur")).alias("cur_sales"),
         amount_where(F.col("prev")).alias("prev_sales"),
         amount_where(F.col("seen")).alias("all_sales"),
@@ -112,15 +122,15 @@ def client_stats(fact: DataFrame, period: Period) -> DataFrame:
         F.count_distinct(F.when(F.col("seen"), F.col("invoice"))).alias("all_orders"),
         F.count_distinct(F.when(F.col("cur"), real_family)).alias("cur_families"),
         F.count_distinct(F.when(F.col("seen"), real_family)).alias("all_families"),
-        F.mode("force_label", True).alias("sales_force"),
-        F.mode("route_label", True).alias("route_description"),
-        F.mode("seller_label", True).alias("seller_name"),
     )
+    combos = fact.select("client_key", "client", *[label_of(f).alias(f) for f in owner], F.when(seen, F.col("date")).alias("day")).groupBy(
+        "client_key", "client", *owner).agg(F.count("*").alias("n"), F.max("day").alias("day"))
+    names = combos.groupBy("client_key").agg(F.max(F.when(F.col("day").isNotNull(), F.struct("day", "client"))).alias("last"))
     gaps = purchase_gaps(fact.filter(seen))
     bought = F.col("cur_rows") > 0
     orders = F.when(bought, F.col("cur_orders")).otherwise(F.col("all_orders"))
     recency = F.date_diff(day(period.selected_end), F.col("last_date"))
-    return totals.join(gaps, "client_key").select(
+    return totals.join(gaps, "client_key").join(names, "client_key").join(usual_values(combos, "client_key", owner), "client_key").select(
         "client_key",
         F.col("last.client").alias("client"),
         dbl("cur_sales").alias("sales"),
@@ -138,9 +148,7 @@ def client_stats(fact: DataFrame, period: Period) -> DataFrame:
         recency.cast("long").alias("recency_days"),
         "avg_gap_days",
         client_status(recency, "avg_gap_days").alias("status"),
-        "sales_force",
-        "route_description",
-        "seller_name",
+        *owner,
     )
 
 

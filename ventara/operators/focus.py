@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ventara.functions.numbers import dbl, pct_change_abs, ratio, share_pct, to_tenth
 from ventara.functions.text import first_text, folded, label_of
-from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, status_rank
+from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, status_rank, usual_values
 from ventara.plans.period import Period
 
 NO_SELLER = "Sin vendedor"
@@ -28,8 +28,10 @@ def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:
     base = rows.groupBy("seller").agg(
         amount_where(cur).alias("sales"), amount_where(prev).alias("previous_sales"), amount_where(cur, "quantity").alias("quantity"),
         F.count_distinct(F.when(cur, F.col("invoice"))).alias("orders"),
-        *[F.coalesce(F.mode(F.when(cur, F.col(f)), True), F.mode(F.when(prev, F.col(f)), True)).alias(f) for f in ("force", "route")],
     )
+    # Usual force and route of the selected period, else of the comparison.
+    combos = rows.groupBy("seller", "force", "route", "cur").agg(F.count("*").alias("n"))
+    usual = usual_values(combos, "seller", ("force", "route"), "cur")
     pairs = rows.filter(F.col("client").isNotNull()).groupBy("seller", "client").agg(
         amount_where(cur).alias("value"), F.bool_or("cur").alias("in_cur"), F.bool_or("prev").alias("in_prev"))
     moves = pairs.groupBy("seller").agg(
@@ -39,7 +41,7 @@ def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:
     )
     top3 = ranked(pairs.filter("in_cur").select("seller", "client", "value"), 3, [F.desc("value"), "client"], by=["seller"])
     top3 = top3.groupBy("seller").agg(F.sum("value").alias("top3"))
-    joined = base.join(moves, "seller", "left").join(top3, "seller", "left").na.fill(
+    joined = base.join(usual, "seller").join(moves, "seller", "left").join(top3, "seller", "left").na.fill(
         0, ["clients", "previous_clients", "recovered_clients", "dropped_clients"])
     growth, delta = to_tenth(pct_change_abs("sales", "previous_sales")), F.col("clients") - F.col("previous_clients")
     status = F.when((growth <= -12) | (delta <= -6), "En riesgo").when((growth >= 5) & (delta >= 0), "Sólido").otherwise("Atento")

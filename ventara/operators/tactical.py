@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ventara.functions.numbers import dbl, pct_change_abs, ratio, share_pct, to_tenth
 from ventara.functions.rows import literal_rows
 from ventara.functions.text import first_text, label_of
-from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, unpivot_dimensions
+from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, unpivot_dimensions, usual_values
 from ventara.plans.period import MonthWindow, between, day, month_end, shift_month
 
 # Dimensions of the month dashboard.
@@ -148,28 +148,31 @@ def client_movement(fact: DataFrame, m: MonthWindow) -> DataFrame:
 def month_clients(fact: DataFrame, m: MonthWindow) -> DataFrame:
     """Clients of the month with orders, breadth, usual owner, change and lifecycle."""
     cur, prev = in_current(m), in_previous(m)
+    family = F.when(~F.lower(label_of("family")).startswith("sin "), F.col("family"))
     rows = fact.filter(F.col("date") <= day(m.as_of)).select(
-        client_id().alias("client_id"), first_text("client", "client_name", "client_key").alias("client"), "date", invoice_id().alias("invoice"),
-        "amount", "quantity",
-        F.when(~F.lower(label_of("family")).startswith("sin "), F.col("family")).alias("family"),
-        label_of("seller_name").alias("seller"), label_of("route_description").alias("route"), label_of("sales_force").alias("force"),
+        client_id().alias("client_id"), "date", invoice_id().alias("invoice"), "amount", "quantity", family.alias("family"),
         cur.alias("cur"), prev.alias("prev"), in_previous_full(m).alias("full"), (F.col("date") < day(m.start)).alias("past"),
     )
     c = F.col("cur")
     stats = rows.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(
-        F.max(F.when(c, F.struct("date", "client"))).alias("last"),
+        F.max(F.when(c, F.col("date"))).alias("last_date"),
         amount_where(c).alias("sales"), amount_where(c, "quantity").alias("quantity"), amount_where(F.col("prev")).alias("previous_sales"),
         amount_where(F.col("past")).alias("history_sales"),
         F.count_distinct(F.when(c, F.col("invoice"))).alias("orders"), F.count_distinct(F.when(c, F.col("family"))).alias("families"),
-        *[F.mode(F.when(c, F.col(f)), True).alias(f) for f in ("seller", "route", "force")],
         F.bool_or("cur").alias("buys"), F.bool_or("full").alias("bought_full"), F.bool_or("past").alias("bought_before"),
     ).filter("buys")
+    owner = {"seller": "seller_name", "route": "route_description", "force": "sales_force"}
+    name = first_text("client", "client_name", "client_key").alias("client")
+    combos = fact.filter(cur & client_id().isNotNull()).select(client_id().alias("client_id"), name, "date", *[label_of(f).alias(n) for n, f in owner.items()])
+    combos = combos.groupBy("client_id", "client", *owner).agg(F.count("*").alias("n"), F.max("date").alias("date"))
+    names = combos.groupBy("client_id").agg(F.max(F.struct("date", "client")).alias("last"))
+    stats = stats.join(names, "client_id").join(usual_values(combos, "client_id", owner), "client_id")
     total = one_row(fact.filter(cur), F.coalesce(F.sum("amount"), F.lit(0)).alias("t")).t
     status = F.when(~F.col("bought_before"), "Nuevo").when(~F.col("bought_full"), "Recuperado").otherwise("Activo")
     return stats.select(
         "client_id", F.col("last.client").alias("client"), dbl("sales").alias("sales"), dbl("quantity").alias("quantity"), "orders",
         ratio("sales", "orders").alias("avg_ticket"), ratio("quantity", "orders").alias("avg_units_per_order"), "families",
-        F.col("last.date").alias("last_date"), "seller", "route", F.col("force").alias("sales_force"),
+        "last_date", "seller", "route", F.col("force").alias("sales_force"),
         dbl("previous_sales").alias("previous_sales"), pct_change_abs("sales", "previous_sales").alias("sales_delta_pct"),
         share_pct("sales", total).alias("share_pct"), status.alias("status"), dbl("history_sales").alias("history_sales"),
     )
