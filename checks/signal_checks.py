@@ -19,11 +19,12 @@ _CHURN = """ch AS (SELECT *, active / total_clients * 100 AS active_pct, recurri
       count(*) FILTER (status = 'Perdido') AS lost, count(*) FILTER (months_active >= 4) AS recurring, sum(orders12) AS orders12m, count(*) FILTER (orders12 > 0) AS buyers12m,
       avg(round(avg_ticket, 2)) AS avg_ticket, CAST(sum(CAST(history_sales AS DECIMAL(28,4))) FILTER (status IN ('Dormido', 'Reactivable')) AS DOUBLE) AS at_risk_sales FROM churn))"""
 _BR = """br AS (SELECT CAST(sum(breadth) AS DOUBLE) / count(*) AS avg_breadth, count(*) FILTER (breadth <= 1) AS low, count(*) FILTER (breadth <= 1) / count(*) * 100 AS low_pct FROM breadth)"""
-_RT = """rt AS (SELECT sum(value) AS total, count(*) AS routes, coalesce(sum(value) FILTER (NOT covered), 0) / sum(value) * 100 AS uncovered_pct FROM route_rows)"""
+_RT = """rt AS (SELECT CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total, count(*) AS routes,
+    CAST(coalesce(sum(CAST(value AS DECIMAL(28,4))) FILTER (NOT covered), 0) AS DOUBLE) / CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) * 100 AS uncovered_pct FROM route_rows)"""
 _MG = """mg AS (SELECT CAST(sum(amount) AS DOUBLE) AS revenue, CAST(sum(amount) - sum(cost) AS DOUBLE) AS margin, CAST(sum(amount) - sum(cost) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) * 100 AS margin_pct FROM fact),
   mi AS (SELECT count(*) FILTER (round(p, 1) < 10) AS low, max(p) AS best, arg_max(label, p) AS best_label FROM (
     SELECT coalesce(brand, '') AS label, CAST(sum(amount) - sum(cost) AS DOUBLE) / greatest(CAST(sum(amount) AS DOUBLE), 1) * 100 AS p FROM fact GROUP BY 1))"""
-_CN = "cn AS (SELECT count(*) AS n, sum(value) AS total, arg_max(label, value) AS leader, max(share_pct) AS leader_share FROM channels)"
+_CN = "cn AS (SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS total, arg_max(label, value) AS leader, max(share_pct) AS leader_share FROM channels)"
 BASE = (_TREND, _RANK, a.CHURN_CTE, _CHURN, a.BREADTH_CTE, _BR, f"se AS ({a._perf_summary_sql('seller_name')})", f"fo AS ({a._perf_summary_sql('sales_force')})",
         f"pr AS ({a._perf_summary_sql('family')})", a.ROUTES_CTE, _RT, _MG, a.CHANNEL_CTE, _CN)
 

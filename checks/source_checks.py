@@ -242,7 +242,7 @@ def erp_routes_raw(spark, sf_dir):
 @C.add("route_dedupe", """WITH b AS (SELECT n_nationkey, n_name, n_regionkey, c_mktsegment, CAST(floor(c_custkey / 200) AS BIGINT) AS block, count(*) AS cc FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
     r AS (SELECT *, CASE WHEN block % 4 <> 0 THEN '2000-01-01' END AS vf, CASE WHEN block % 3 = 0 THEN '2001-01-01' ELSE '2005-12-31' END AS vt, block % 4 <> 0 AND block % 3 <> 0 AND block % 5 <> 0 AS act FROM b),
     best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY n_nationkey, c_mktsegment ORDER BY act DESC, vt DESC, coalesce(vf, '') DESC, cc DESC, block DESC) = 1),
-    l AS (SELECT c_nationkey, c_mktsegment, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FILTER (c_custkey <> 0) AS ck FROM customer GROUP BY 1, 2)
+    l AS (SELECT c_nationkey, c_mktsegment, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FILTER (c_custkey <> 0), '') AS ck FROM customer GROUP BY 1, 2)
   SELECT substr(best.c_mktsegment, 1, 3) AS route_key, n_name || ' ' || best.c_mktsegment AS route_description, CASE WHEN n_nationkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS seller_key, n_name AS seller_name,
     '1' AS sales_scheme_key, 'F1' AS sales_scheme_name, '1' AS sales_force_key, 'F1' AS sales_force, CAST(n_regionkey + 1 AS VARCHAR) AS branch_key, 'S' AS branch_name, '' AS mode, 'LU' AS visit_days, 'MA' AS delivery_days,
     vf AS valid_from, vt AS valid_to, cc AS client_count, act AS is_active, ck AS client_keys FROM best JOIN l ON l.c_nationkey = n_nationkey AND l.c_mktsegment = best.c_mktsegment""", on_fact=False)

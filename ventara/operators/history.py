@@ -48,12 +48,13 @@ def cohorts(fact: DataFrame) -> DataFrame:
     """New, active, recovered, lost and current clients per month.
 
     Works on distinct (client, month) pairs with a dense month number, so a client contributes at
-    most one row per month to its window. A client's loss counts in the month after its last one.
+    most one row per month to its window. The number is the position in the list of months, which
+    spares a join. A client's loss counts in the month after its last one.
     """
+    months = one_row(fact, F.sort_array(F.collect_set("period")).alias("m")).m
     pairs = fact.select(client_id().alias("client"), "period").filter(F.col("client").isNotNull()).distinct()
-    calendar = fact.select("period").distinct().withColumn("month_no", F.row_number().over(Window.orderBy("period")))
     own = Window.partitionBy("client").orderBy("month_no")
-    seen = pairs.join(calendar, "period").select(
+    seen = pairs.select("client", F.array_position(months, F.col("period")).alias("month_no")).select(
         "month_no",
         F.lag("month_no").over(own).alias("previous"),
         F.lead("month_no").over(own).alias("next"),
@@ -67,6 +68,7 @@ def cohorts(fact: DataFrame) -> DataFrame:
     count = lambda e: F.count_if(F.col("event") == e).alias(e)
     counts = events.groupBy("month_no").agg(
         *[count(e) for e in ("new", "active", "recovered", "lost")], F.count_if(F.col("event") != "lost").alias("current_clients"))
+    calendar = fact.sparkSession.range(1).select(F.posexplode(months).alias("n", "period")).select((F.col("n") + 1).cast("long").alias("month_no"), "period")
     return calendar.join(counts, "month_no", "left").na.fill(0).select("period", "new", "active", "recovered", "lost", "current_clients")
 
 
