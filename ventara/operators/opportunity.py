@@ -27,23 +27,22 @@ def force_benchmark(clients: DataFrame) -> DataFrame:
     return buying.groupBy("sales_force").agg((dbl(F.sum(_exact("sales"))) / F.count("*")).alias("benchmark"))
 
 
-def below_benchmark(clients: DataFrame) -> DataFrame:
-    """Active clients under 60 % of their force's benchmark."""
-    rows = clients.filter(F.col("status") == "Activo").join(force_benchmark(clients), "sales_force")
-    gap = F.greatest(F.col("benchmark") - F.col("sales"), F.lit(0.0))
-    return rows.filter((F.col("benchmark") > 0) & (F.col("sales") < F.col("benchmark") * 0.6)).select(
-        F.lit(BELOW_BENCHMARK).alias("type"), F.col("client").alias("name"), F.col("seller_name").alias("owner"),
-        F.col("sales_force").alias("segment"), (gap * 0.35).alias("potential"), "families",
-    )
-
-
-def short_mix(clients: DataFrame) -> DataFrame:
-    """Active clients that buy one family or none."""
-    rows = clients.filter((F.col("status") == "Activo") & (F.col("families") <= 1) & (F.col("sales") > 0))
-    return rows.select(
-        F.lit(SHORT_MIX).alias("type"), F.col("client").alias("name"), F.col("seller_name").alias("owner"),
-        F.col("sales_force").alias("segment"), (F.col("sales") * 0.18).alias("potential"), "families",
+def client_opportunities(clients: DataFrame) -> DataFrame:
+    """Active clients under 60 % of their force's benchmark, and active clients that buy one family or none.
+
+    Both kinds come from one pass over the clients; a client can be listed under both.
+    """
+    sales, benchmark = F.col("sales"), F.coalesce("benchmark", F.lit(0.0))
+    kind = lambda name, potential: F.struct(F.lit(name).alias("type"), potential.alias("potential"))
+    found = F.array(
+        F.when((benchmark > 0) & (sales < benchmark * 0.6), kind(BELOW_BENCHMARK, F.greatest(benchmark - sales, F.lit(0.0)) * 0.35)),
+        F.when((F.col("families") <= 1) & (sales > 0), kind(SHORT_MIX, sales * 0.18)),
     )
+    active = clients.filter(F.col("status") == "Activo").join(force_benchmark(clients), "sales_force", "left")
+    rows = active.select(
+        F.col("client").alias("name"), F.col("seller_name").alias("owner"), F.col("sales_force").alias("segment"), "families",
+        F.inline_outer(F.filter(found, lambda x: x.isNotNull())))
+    return rows.filter(F.col("type").isNotNull()).select(*COLUMNS)
 
 
 def low_productivity(dimensions: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def channel_potential(fact: DataFrame, period: Period, dimensions: DataFrame) ->
 
 
 def all_opportunities(fact: DataFrame, period: Period, clients: DataFrame, dimensions: DataFrame) -> DataFrame:
-    frames = [below_benchmark(clients), short_mix(clients), low_productivity(dimensions), channel_potential(fact, period, dimensions)]
+    frames = [client_opportunities(clients), low_productivity(dimensions), channel_potential(fact, period, dimensions)]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
