@@ -59,7 +59,7 @@ def facet_options(fact):
 
 
 @C.add("filter_usage", with_fact(
-    f"""SELECT f AS field, s AS selected, available, nots = 0 AND available > 0 AS no_effect, available > 0 AND s / available >= 0.85 AS broad FROM (
+    f"""SELECT f AS field, CAST(s AS BIGINT) AS selected, available, nots = 0 AND available > 0 AS no_effect, available > 0 AND s / available >= 0.85 AS broad FROM (
       SELECT 'channel' AS f, 5 AS s, count(DISTINCT channel) AS available, count(DISTINCT channel) FILTER (lower(channel) NOT IN ('building','machinery','automobile','furniture','household')) AS nots FROM fact WHERE {CUR}
       UNION ALL SELECT 'month', 2, count(DISTINCT month), count(DISTINCT month) FILTER (month NOT IN (5, 6)) FROM fact WHERE {CUR}
       UNION ALL SELECT 'family', 6, count(DISTINCT family_l), count(DISTINCT family_l) FILTER (lower(family_l) NOT IN ('economy','small','large','medium','promo','standard')) FROM fact WHERE {CUR})"""))

@@ -73,7 +73,7 @@ OPP_CTE = f"""opp AS (SELECT *, recover_dormant + cross_sell + route_optimizatio
 
 SUMMARY_CTE = f"summary AS ({SUMMARY_SQL})"
 
-ALERTS_CTE = f"""alerts AS (SELECT rule, topic, severity, CAST(value AS DOUBLE) AS value, label FROM (
+ALERTS_CTE = f"""alerts AS (SELECT CAST(rule AS BIGINT) AS rule, topic, severity, CAST(value AS DOUBLE) AS value, label FROM (
     SELECT 1 AS rule, 'rutas' AS topic, 'high' AS severity, route_pct AS value, CAST(NULL AS VARCHAR) AS label, round(route_pct, 1) < 85 AS fires FROM summary
     UNION ALL SELECT 2, 'articulos', 'medium', article_pct, NULL, round(article_pct, 1) < 85 FROM summary
     UNION ALL SELECT 3, 'cartera', 'high', top10_share_pct, NULL, round(top10_share_pct, 1) >= 55 FROM summary
@@ -224,7 +224,7 @@ def cube_totals(fact):
 
 
 @C.add("report_triggers", with_fact(
-    """SELECT rule, kind, topic, CAST(value AS DOUBLE) AS value FROM (
+    """SELECT CAST(rule AS BIGINT) AS rule, kind, topic, CAST(value AS DOUBLE) AS value FROM (
       SELECT 1 AS rule, 'insight' AS kind, 'evolución' AS topic, units_growth_pct AS value, TRUE AS fires FROM summary
       UNION ALL SELECT 2, 'insight', 'productividad', units_per_seller, TRUE FROM summary UNION ALL SELECT 3, 'insight', 'mix', top_brand_pct, TRUE FROM summary
       UNION ALL SELECT 4, 'insight', 'calidad de datos', route_pct, TRUE FROM summary UNION ALL SELECT 5, 'insight', 'proyección', projected_units, TRUE FROM fc

@@ -191,9 +191,9 @@ def erp_lines(spark, sf_dir):
     return erp.erp_sales(erp_lines_raw(spark, sf_dir))
 
 
-@C.add("article_groups", """SELECT product_key, NULL AS row_version, name AS product_name, p_type AS family, CASE WHEN v = 1 THEN 'Linea B' ELSE 'Linea A' END AS line, 'Prov ' || p_size AS supplier, NULL AS flavor,
-    CASE WHEN p_partkey % 3 = 0 THEN 'MS ' || p_brand ELSE p_brand END AS brand, NULL AS business_unit, NULL AS segment, NULL AS division, NULL AS generic,
-    CASE WHEN p_partkey % 3 = 0 THEN 'MS ' || p_brand END AS mark_flavor, NULL AS caliber, CASE WHEN p_partkey % 2 = 0 THEN '12' END AS uxb, p_partkey * 2 + v AS load_seq
+@C.add("article_groups", """SELECT product_key, CAST(NULL AS VARCHAR) AS row_version, name AS product_name, p_type AS family, CASE WHEN v = 1 THEN 'Linea B' ELSE 'Linea A' END AS line, 'Prov ' || p_size AS supplier, CAST(NULL AS VARCHAR) AS flavor,
+    CASE WHEN p_partkey % 3 = 0 THEN 'MS ' || p_brand ELSE p_brand END AS brand, CAST(NULL AS VARCHAR) AS business_unit, CAST(NULL AS VARCHAR) AS segment, CAST(NULL AS VARCHAR) AS division, CAST(NULL AS VARCHAR) AS generic,
+    CASE WHEN p_partkey % 3 = 0 THEN 'MS ' || p_brand END AS mark_flavor, CAST(NULL AS VARCHAR) AS caliber, CASE WHEN p_partkey % 2 = 0 THEN '12' END AS uxb, p_partkey * 2 + v AS load_seq
   FROM (SELECT *, 'A' || p_partkey AS product_key, CASE WHEN v = 1 THEN p_name || ' v2' ELSE p_name END AS name FROM part, (VALUES (0), (1)) t(v) WHERE NOT (v = 1 AND p_partkey % 4 <> 0) AND NOT (v = 0 AND p_partkey % 7 = 0))
   QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY v DESC) = 1""", on_fact=False)
 def article_groups(spark, sf_dir):
@@ -214,7 +214,7 @@ def article_groups(spark, sf_dir):
 
 
 @C.add("staff_dedupe", """SELECT rv AS row_version, CASE WHEN n_nationkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS seller_key, name AS seller_name, '3' AS sales_scheme_key, force AS sales_scheme_name, force AS sales_force,
-    CAST(n_regionkey + 1 AS VARCHAR) AS branch_key, 'Sucursal' AS branch_name, role, '' AS sale_type, NULL AS supervisor_key, '' AS supervisor_name FROM (
+    CAST(n_regionkey + 1 AS VARCHAR) AS branch_key, 'Sucursal' AS branch_name, role, '' AS sale_type, CAST(NULL AS VARCHAR) AS supervisor_key, '' AS supervisor_name FROM (
     SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'VENDEDOR' ELSE 'SUPERVISOR' END AS role, CASE WHEN s_suppkey % 3 = 0 THEN 'Fuerza' ELSE '' END AS force,
       CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS rv, CASE WHEN n_nationkey = 0 THEN 'Sin Clave' ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
   QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY role = 'VENDEDOR' DESC, force <> '' DESC, rv IS NOT NULL DESC, name DESC, s_suppkey DESC) = 1""", on_fact=False)
@@ -277,7 +277,7 @@ def _last(attr, key):
 
 
 @C.add("derived_sellers", with_fact(
-    f"""SELECT k AS seller_key, seller_name, route_description, NULL AS sales_scheme_key, sales_scheme_name, sales_force FROM {_last('seller_name', 'seller_key')} a
+    f"""SELECT k AS seller_key, seller_name, route_description, CAST(NULL AS VARCHAR) AS sales_scheme_key, sales_scheme_name, sales_force FROM {_last('seller_name', 'seller_key')} a
     LEFT JOIN {_last('route_description', 'seller_key')} b USING (k) LEFT JOIN {_last('sales_scheme_name', 'seller_key')} c USING (k) LEFT JOIN {_last('sales_force', 'seller_key')} d USING (k)"""))
 def derived_sellers(fact):
     return erp.derived_sellers(_sequenced(fact).withColumn("sales_scheme_key", F.lit(None).cast("string")))
@@ -287,7 +287,7 @@ _RKEY = "lower(coalesce(route_description, seller_name))"
 
 
 @C.add("derived_routes", with_fact(
-    f"""SELECT sales_force, seller_name, coalesce(route_description, seller_name) AS route_description, NULL AS sales_scheme_key, sales_scheme_name FROM {_last('seller_name', _RKEY)} a
+    f"""SELECT sales_force, seller_name, coalesce(route_description, seller_name) AS route_description, CAST(NULL AS VARCHAR) AS sales_scheme_key, sales_scheme_name FROM {_last('seller_name', _RKEY)} a
     LEFT JOIN {_last('route_description', _RKEY)} b USING (k) LEFT JOIN {_last('sales_scheme_name', _RKEY)} c USING (k) LEFT JOIN {_last('sales_force', _RKEY)} d USING (k)"""))
 def derived_routes(fact):
     return erp.derived_routes(_sequenced(fact).withColumn("sales_scheme_key", F.lit(None).cast("string")))

@@ -280,7 +280,7 @@ def _board_sql():
               ("salerts", "Vendedores", "Jefatura ventas", 84, 60, "label"), ("calerts", "Clientes", "Key accounts", 88, 64, "label"))
     for i, (t, area, owner, hi, lo, label) in enumerate(tables, 1):
         parts.append(f"SELECT '{area}', '{owner}', topic, severity, CASE severity WHEN 'critical' THEN {hi} ELSE {lo} END, CAST(value AS DOUBLE), {label}, {i} FROM {t}")
-    return f"""SELECT rank, area, owner, topic, severity, score, value, label, CASE severity WHEN 'critical' THEN 'Alta' ELSE 'Media' END AS priority,
+    return f"""SELECT rank, area, owner, topic, severity, CAST(score AS BIGINT) AS score, value, label, CASE severity WHEN 'critical' THEN 'Alta' ELSE 'Media' END AS priority,
       CASE WHEN t LIKE '%cierre%' OR t LIKE '%objetivo%' THEN 'plan de cierre' WHEN t LIKE '%presupuesto%' OR t LIKE '%plan%' THEN 'ajuste de presupuesto'
         WHEN t LIKE '%cliente%' THEN 'recuperación de cartera' WHEN t LIKE '%canal%' THEN 'cobertura de canal' WHEN t LIKE '%vendedor%' THEN 'meta del responsable' ELSE 'acción correctiva' END AS action
       FROM (SELECT *, lower(concat_ws(' ', area, topic, label)) AS t, row_number() OVER (ORDER BY score DESC, source, topic) AS rank FROM ({' UNION ALL '.join(parts)}) WHERE severity <> 'good') WHERE rank <= 6"""
