@@ -1 +1,8 @@
 """Operators for preparing training data; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package reach the Python workers by value, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +60,22 @@ class Scratch:
 def bucket_of(id_column: str, modulus: int):
     """crc32 of the id as text, modulo a number; 0 for a missing id."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
+
+
+def map_values(df: DataFrame, keep: list[str], value: str, fields: list[tuple[str, str]], make, rows: int = 500) -> DataFrame:
+    """The columns `keep` as they are, and new columns that make(list of values) returns as one list for each field.
+
+    Arrow batches are cut into parts of at most `rows` rows; fields are (name, DDL type). Kept columns never leave Arrow.
+    """
+    picked = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[value].alias("v"))
+    out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields])
+    kinds, names, n = [to_arrow_type(f.dataType) for f in out.fields[len(keep) :]], out.names, len(keep)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = make(part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
+
+    return picked.mapInArrow(run, out)

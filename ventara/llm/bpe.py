@@ -14,13 +14,13 @@ import hashlib
 import json
 import sys
 from array import array
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ventara.llm.base import map_values
+
 #: Fixed value: the splitting pattern of byte-level tokenizers with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -187,7 +187,12 @@ _GAP = regex.compile(r" (?:\s|\Z)")
 
 
 def load(path: str) -> Automaton:
-    """Compile a tokenizer file (byte-level BPE in JSON form), on the driver: its size is that of the vocabulary."""
+    """Compile a tokenizer file."""
+    return Automaton(**read(path))
+
+
+def read(path: str) -> dict:
+    """Labels, merges and special tokens of a tokenizer file (byte-level BPE in JSON form); as large as the vocabulary."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, alphabet = spec["model"], byte_alphabet()
@@ -202,54 +207,36 @@ def load(path: str) -> Automaton:
     for token, i in specials.items():
         labels[i] = token.encode()
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], specials)
-
-
-def map_encoded(df: DataFrame, text: str, automaton: Automaton, columns: list[str], schema: str, make: Callable[[Automaton, str], tuple]) -> DataFrame:
-    """Arrow batches through one automaton per worker: the named columns, then what make returns for each text."""
-    held = df.sparkSession.sparkContext.broadcast(automaton)
+    return {"labels": labels, "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], "specials": specials}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = held.value
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                made = [make(a, t or "") for t in part["_text"]]
-                out = part[columns].reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame(made, columns=_names(schema, len(columns)))], axis=1)
 
-    return df.select(*[f"`{c}`" for c in columns], df[text].alias("_text")).mapInPandas(run, schema)
+def _compiled(held) -> Automaton:
+    """The automaton of a broadcast tokenizer, compiled once in each Python worker."""
+    value = held.value
+    if "automaton" not in value:
+        value["automaton"] = Automaton(value["labels"], value["merges"], value["specials"])
+    return value["automaton"]
 
 
-def _names(schema: str, skip: int) -> list[str]:
-    return [x.split()[0].strip("`") for x in schema.split(",")][skip:]
-
-
-def encode(df: DataFrame, automaton: Automaton, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids array<bigint>) of every row; null text counts as empty, repeated rows are encoded each."""
-    kind = df.schema[id_column].dataType.simpleString()
-    return map_encoded(df, text, automaton, [id_column], f"`{id_column}` {kind}, ids array<bigint>", lambda a, t: (np.frombuffer(a.encode(t), "<u4").astype("int64"),))
+    held = df.sparkSession.sparkContext.broadcast(read(tokenizer))
+    return map_values(df, [id_column], text, [("ids", "array<bigint>")], lambda texts: [[np.frombuffer(_compiled(held).encode(t or ""), "<u4").astype("int64") for t in texts]])
 
 
-def decode(df: DataFrame, automaton: Automaton, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, tokenizer: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(id, text) of every row of ids; null ids give the empty text."""
-    kind = df.schema[id_column].dataType.simpleString()
-    held = df.sparkSession.sparkContext.broadcast(automaton)
-
-    def run(batches):
-        for batch in batches:
-            texts = [held.value.decode(np.array([] if x is None else x, "<u4").tobytes()).decode() for x in batch["_ids"]]
-            yield pd.DataFrame({id_column: batch[id_column], "text": texts})
-
-    return df.select(f"`{id_column}`", df[ids].alias("_ids")).mapInPandas(run, f"`{id_column}` {kind}, text string")
+    held = df.sparkSession.sparkContext.broadcast(read(tokenizer))
+    return map_values(df, [id_column], ids, [("text", "string")], lambda rows: [[_compiled(held).decode(np.array(x or [], "<u4").tobytes()).decode() for x in rows]])
 
 
-def digests(df: DataFrame, automaton: Automaton, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from the ids. Null text counts as empty."""
-    kind = df.schema[id_column].dataType.simpleString()
+    held = df.sparkSession.sparkContext.broadcast(read(tokenizer))
 
-    def make(a: Automaton, t: str) -> tuple:
-        ids = a.encode(t)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(a.decode(ids)).hexdigest()
+    def make(texts: list) -> list:
+        automaton = _compiled(held)
+        ids = [automaton.encode(t or "") for t in texts]
+        return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(automaton.decode(x)).hexdigest() for x in ids]]
 
-    return map_encoded(df, text, automaton, [id_column], f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return map_values(df, [id_column], text, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")], make)

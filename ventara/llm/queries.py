@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ventara.llm import bpe
+from ventara.llm import bpe, media
 from ventara.llm.base import table
 
 
@@ -17,10 +17,15 @@ def tokenizer_path() -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(tokenizer_path()))
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op9_bpe": op9_bpe,
 }
 
