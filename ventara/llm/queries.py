@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ventara.llm import bpe, media
-from ventara.llm.base import table
+from ventara.llm import bpe, langid, media, quality
+from ventara.llm.base import bucket_of, table
 
 
 def tokenizer_path() -> str:
@@ -24,8 +25,23 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0).select("doc_id", "quality")
+    scored = quality.score(documents, quality.fit(documents, learned), ["doc_id"])
+    return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = langid.learn(documents.where(bucket_of("doc_id", 4) != 2))
+    return langid.predict(documents, profiles, ["doc_id"]).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
+    "op5_quality": op5_quality,
+    "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
 
