@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import bpe, langid, media, quality
+from ventara.llm import bpe, langid, lines, media, quality
 from ventara.llm.base import bucket_of, table
 
 
@@ -32,6 +32,29 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), lines AS (
+  SELECT rid, doc_id, i AS pos, parts[i] AS line,
+         translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rid, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS parts FROM rows))
+), owners AS (
+  SELECT key, min(doc_id) AS owner, max(doc_id) AS last FROM lines WHERE length(key) >= 10 GROUP BY key
+), judged AS (
+  SELECT l.*, coalesce(o.owner <> o.last AND o.owner <> l.doc_id, false) AS gone FROM lines l LEFT JOIN owners o ON l.key = o.key AND length(l.key) >= 10
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid, doc_id
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     profiles = langid.learn(documents.where(bucket_of("doc_id", 4) != 2))
@@ -41,8 +64,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op5_quality": op5_quality,
+    "op7_lines": op7_lines,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_lines": OP7_SQL,
+}
