@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import bpe, langid, lines, media, quality
+from ventara.llm import bpe, langid, lines, media, neardup, quality
 from ventara.llm.base import bucket_of, table
 
 
@@ -25,6 +25,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     learned = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0).select("doc_id", "quality")
@@ -63,6 +67,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
+    "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
     "op7_lines": op7_lines,
     "op8_language": op8_language,
