@@ -25,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; Spark removes its files with the last reference where cleanCheckpoints is set."""
+    """Reliable checkpoint of a result; Spark removes its files with the last reference where cleanCheckpoints is set.
+
+    Not for loops: a checkpointed plan keeps the size estimates of the plan it replaces, which square with every join. Loops
+    cut their lineage with Scratch.keep.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -39,21 +43,23 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
 
+        self.made = 0
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
-        return self.read(name, df.schema)
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def read(self, name: str, schema=None) -> DataFrame:
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(self.path(name))
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a frame under the next number and read it back."""
+        self.made += 1
+        return self.write(df, f"step-{self.made}")
 
-    def drop(self, name: str) -> None:
-        """Free a table nothing refers to any more."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        """Free a table, or all of them, that nothing refers to any more."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

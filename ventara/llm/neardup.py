@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     scratch = Scratch(df.sparkSession, "neardup")
     base = scratch.write(described(df, id_column, text), "base")
-    classes = checkpoint(base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id")))
+    classes = scratch.keep(base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id")))
     members = base.join(classes, ["id", "digest"], "left_semi").select("id", "bands", "signature")
     banded = members.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
@@ -181,11 +181,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     signatures = scratch.write(members.join(shared.select("id").distinct(), "id", "left_semi").select("id", "signature"), "signatures")
     stars = scratch.write(surviving(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), signatures), "stars")
-    first = checkpoint(stars.groupBy("b").agg(F.min(F.struct((-F.col("matches")).alias("m"), "a")).alias("best")).select("best.a", "b"))
+    first = scratch.keep(stars.groupBy("b").agg(F.min(F.struct((-F.col("matches")).alias("m"), "a")).alias("best")).select("best.a", "b"))
     rows = df.select(df[id_column].alias("id"), df[text].alias("text"))
     texts = scratch.write(rows.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
-    links = checkpoint(confirmed(first, texts))
-    roots = checkpoint(components(links))
+    links = scratch.keep(confirmed(first, texts))
+    roots = components(links, scratch)
 
     # across the components that still meet in a bucket
     placed = scratch.write(_rooted(shared.select("key", "id"), roots), "placed")
@@ -197,17 +197,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     met = outside.join(others, "key").where("cx <> cy and (cy = main or x < y)")
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     across = scratch.write(_crossing(surviving(pairs, signatures), roots), "across")
-    best = checkpoint(across.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b"))
-    links = checkpoint(links.union(confirmed(best, texts)))
-    roots = checkpoint(components(links))
+    best = scratch.keep(across.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b"))
+    links = scratch.keep(links.union(confirmed(best, texts)))
+    roots = components(links, scratch)
     rest = _crossing(across.select("a", "b"), roots).select("a", "b").join(best, ["a", "b"], "left_anti")
-    found = checkpoint(confirmed(rest, texts))
+    found = scratch.keep(confirmed(rest, texts))
     if not found.isEmpty():
-        roots = checkpoint(components(links.union(found)))
+        roots = components(links.union(found), scratch)
 
     of_class = _rooted(classes, roots).select("digest", "component")
     kept = base.select("id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     out = checkpoint(kept.select(F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")))
-    for name in ("base", "shared", "signatures", "stars", "texts", "placed", "open", "across"):
-        scratch.drop(name)
+    scratch.drop()
     return out

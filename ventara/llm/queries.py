@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import bpe, chat, html, langid, lines, media, neardup, quality
+from ventara.llm import bpe, chat, html, langid, lines, media, mixing, neardup, quality
 from ventara.llm.base import bucket_of, table
 
 
@@ -101,6 +101,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, profiles, ["doc_id"]).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ppm = lambda c: F.round(F.col(f"_mix.{c}") * 1_000_000).cast("bigint").alias(f"{c}_ppm")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "_mix.topic", "_mix.tokens", ppm("factor"), ppm("probability"), "_mix.sampled")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_media": op2_media,
@@ -110,9 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lines": op7_lines,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op7_lines": OP7_SQL,
+    "op10_mixing": mixing.oracle(),
 }
