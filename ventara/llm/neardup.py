@@ -6,8 +6,8 @@ pruned as soon as the posterior probability (uniform prior) that its similarity
 probability. Survivors are confirmed on their full sets.
 
 A bucket with m members is not expanded into its pairs. Its members are compared with its smallest member; each class has its best
-such pair confirmed first. What still stands in several components of a bucket is compared across components: the
-members outside the bucket's largest component with the members of the others. So the components are those of all candidate pairs.
+such pair confirmed first. Members outside a bucket's largest component then meet other members of that, and what still stands apart
+is compared with all members of other components, block by block. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ HASHES = BANDS * ROWS
 #: Hashes of a comparison batch, and the probability that a pair of the threshold's similarity or more is pruned.
 BATCH, MISS = 32, 1e-4
 
+#: Rounds in which a bucket's other components meet one member of the largest, and members of a comparison block.
+ROUNDS, BLOCK = 2, 64
+
 _RANDOM = np.random.default_rng(20)
 FACTORS = _RANDOM.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _RANDOM.integers(0, 1 << 32, HASHES, np.uint32)
@@ -117,21 +120,25 @@ def surviving(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, HASHES)
-            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, HASHES)
-            alive, matches, at = np.arange(n), np.zeros(n, np.int64), 0
-            for end, least in steps:
-                matches[alive] += (left[alive, at:end] == right[alive, at:end]).sum(axis=1)
-                alive, at = alive[matches[alive] >= least], end
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches[alive])], names=["a", "b", "matches"])
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+                rows = np.arange(batch.num_rows)
+                kept, matches = _sequential(left, right, rows, rows, steps)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(matches)], names=["a", "b", "matches"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, matches bigint")
 
 
+def _sequential(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (left[i], right[j]) survive all batches, and their matches."""
+    alive, matches, at = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+    for end, least in steps:
+        matches[alive] += (left[i[alive], at:end] == right[j[alive], at:end]).sum(axis=1)
+        alive, at = alive[matches[alive] >= least], end
+    return alive, matches[alive]
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar enough."""
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -164,6 +171,47 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return sides.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """(a, b): the most similar pair between each two components."""
+    return pairs.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, component, main, n, outside) of buckets with several components: their largest one, members, and those outside it."""
+    placed = _rooted(shared.select("key", "id"), roots)
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(main.select("key", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.n")).alias("outside")), "key")
+
+
+def _compared(opened: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b, matches) of the surviving pairs across components: members outside the largest component with all others.
+
+    Both sides travel in blocks of about BLOCK members with their signatures, and a task compares two blocks at once, so
+    the pairs are no rows.
+    """
+    signed = opened.join(signatures, "id")
+    block = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).alias("block")
+    packed = lambda df, size, name: df.groupBy("key", block(size)).agg(F.collect_list("id").alias(f"{name}_id"), F.collect_list("component").alias(f"{name}_c"), F.collect_list("signature").alias(f"{name}_s"), F.first("main").alias("main"))
+    left, right = packed(signed.where("component <> main"), "outside", "x"), packed(signed, "n", "y")
+    both = left.join(right.drop("main", "block"), "key").select("x_id", "x_c", "x_s", "y_id", "y_c", "y_s", "main")
+    steps = bounds()
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                xi, xc, yi, yc = (np.array(row[k]) for k in ("x_id", "x_c", "y_id", "y_c"))
+                wanted = (xc[:, None] != yc) & ((yc == row["main"])[None, :] | (xi[:, None] < yi))
+                i, j = np.nonzero(wanted)
+                xs, ys = (np.frombuffer(b"".join(row[k]), np.uint8).reshape(-1, HASHES) for k in ("x_s", "y_s"))
+                kept, matches = _sequential(xs, ys, i, j, steps)
+                x, y = xi[i[kept]], yi[j[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(matches)], names=["a", "b", "matches"])
+
+    kind = opened.schema["id"].dataType.simpleString()
+    return both.mapInArrow(run, f"a {kind}, b {kind}, matches bigint").distinct()
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; the id column keeps its name.
 
@@ -187,17 +235,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     links = scratch.keep(confirmed(first, texts))
     roots = components(links, scratch)
 
-    # across the components that still meet in a bucket
-    placed = scratch.write(_rooted(shared.select("key", "id"), roots), "placed")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("main"))
-    open_buckets = scratch.write(placed.join(main, "key"), "open")
-    outside = open_buckets.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
-    others = open_buckets.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    met = outside.join(others, "key").where("cx <> cy and (cy = main or x < y)")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = scratch.write(_crossing(surviving(pairs, signatures), roots), "across")
-    best = scratch.keep(across.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b"))
+    for turn in range(ROUNDS):
+        # members outside a bucket's largest component meet another member of that
+        opened = scratch.keep(_open(shared, roots))
+        heads = opened.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id")).alias("head")).select("key", F.col("head.id").alias("a"))
+        pairs = opened.where("component <> main").select("key", F.col("id").alias("b")).join(heads, "key").select("a", "b").distinct()
+        met = scratch.keep(_crossing(surviving(pairs, signatures), roots))
+        links = scratch.keep(links.union(confirmed(_best(met), texts)))
+        roots = components(links, scratch)
+
+    # and what is left is compared with all others in the bucket
+    across = scratch.keep(_crossing(_compared(_open(shared, roots), signatures), roots))
+    best = scratch.keep(_best(across))
     links = scratch.keep(links.union(confirmed(best, texts)))
     roots = components(links, scratch)
     rest = _crossing(across.select("a", "b"), roots).select("a", "b").join(best, ["a", "b"], "left_anti")
