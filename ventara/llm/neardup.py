@@ -28,10 +28,12 @@ WIDTH, PERCENT = 5, 75
 
 #: Bands and their rows: a pair of similarity 0.75 meets in a bucket with probability 0.9997.
 BANDS, ROWS = 42, 6
-HASHES = BANDS * ROWS
+
+#: Hashes of a signature, the banded ones first.
+HASHES = 3 * BANDS * ROWS
 
 #: Hashes of a comparison batch, and the probability that a pair of the threshold's similarity or more is pruned.
-BATCH, MISS = 32, 1e-4
+BATCH, MISS = 84, 5e-4
 
 #: Rounds in which a bucket's other components meet one member of the largest, and members of a comparison block.
 ROUNDS, BLOCK = 2, 64
@@ -105,7 +107,7 @@ def described(df: DataFrame, id_column: str, text: str) -> DataFrame:
                 continue
             low = minima(own)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-            bands.append(_mix((low.reshape(BANDS, ROWS).astype(np.uint64) * BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            bands.append(_mix((low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
             signatures.append(low.astype(np.uint8).tobytes())
         return [sizes, digests, bands, signatures]
 
