@@ -15,7 +15,7 @@ from ventara.llm.base import Scratch, checkpoint
 MARGINS = ("source", "lang", "topic")
 
 #: Exponent that tempers the observed share of each margin's values into a target (1: as observed, 0: all alike), and rounds of raking.
-TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+TEMPER = {"source": 0.85, "lang": 0.9, "topic": 0.95}
 ITERATIONS = 10
 
 #: Cells up to which their factors are broadcast; beyond that they are joined by shuffle.

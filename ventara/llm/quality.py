@@ -181,3 +181,11 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name
         return [vote(_unit(rows), own).tolist()]
 
     return map_values(df, keep, text, [(name, "double")], make, rows=256)
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df with a score of at least the threshold, all their columns as they are."""
+    name = "_score"
+    while name in df.columns:
+        name += "_"
+    return score(df, model, df.columns, text, name).where(F.col(name) >= threshold).drop(name)
