@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import bpe, chat, html, langid, lines, media, mixing, neardup, quality
+from ventara.llm import bpe, chat, html, langid, lines, media, mixing, neardup, quality, vectors
 from ventara.llm.base import bucket_of, table
 
 
@@ -61,6 +61,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     learned = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0).select("doc_id", "quality")
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_media": op2_media,
     "op3_minhash": op3_minhash,
+    "op4_vectors": op4_vectors,
     "op5_quality": op5_quality,
     "op6_html": op6_html,
     "op7_lines": op7_lines,
