@@ -21,10 +21,10 @@ from ventara.llm.base import Scratch, checkpoint
 from ventara.llm.components import components
 
 #: Smallest cosine of a link, rounds and sign bits of the leader search.
-COSINE, ROUNDS, BITS = 0.95, 4, 20
+COSINE, ROUNDS, BITS = 0.95, 8, 20
 
 #: Neighbours of a list at first, sorted orders it starts from and rows of their blocks, most descent turns between two audits.
-NEIGHBOURS, ORDERS, BLOCK, TURNS = 6, 3, 64, 3
+NEIGHBOURS, ORDERS, BLOCK, TURNS = 6, 4, 64, 3
 
 #: Vectors of an audit, recall to reach, and audits after which the descent ends.
 AUDITED, RECALL, AUDITS = 200, 0.98, 4
