@@ -35,8 +35,8 @@ HASHES = 3 * BANDS * ROWS
 #: Hashes of a comparison batch, and the probability that a pair of the threshold's similarity or more is pruned.
 BATCH, MISS = 84, 5e-4
 
-#: Rounds in which a bucket's other components meet one member of the largest, and members of a comparison block.
-ROUNDS, BLOCK = 2, 64
+#: Members of a comparison block.
+BLOCK = 64
 
 _RANDOM = np.random.default_rng(20)
 FACTORS = _RANDOM.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,7 +93,7 @@ def bounds() -> list[tuple[int, int]]:
 
 
 def described(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, n_shingles, digest of the set, bands, signature); the last three are null without words."""
+    """(id, n_shingles, digest of the set, bands, signature); the last three are null without words. A signature ends with the bands' bytes."""
 
     def make(texts: list) -> list:
         sizes, digests, bands, signatures = [], [], [], []
@@ -108,7 +108,7 @@ def described(df: DataFrame, id_column: str, text: str) -> DataFrame:
             low = minima(own)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             bands.append(_mix((low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            signatures.append(low.astype(np.uint8).tobytes())
+            signatures.append(low.astype(np.uint8).tobytes() + bands[-1].astype("<i8").tobytes())
         return [sizes, digests, bands, signatures]
 
     found = map_values(df.select(df[id_column].alias("id"), df[text].alias("text")), ["id"], "text", [("n_shingles", "bigint"), ("digest", "binary"), ("bands", "array<bigint>"), ("signature", "binary")], make)
@@ -123,7 +123,7 @@ def surviving(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+                left, right = (_bytes(batch.column(k).to_pylist())[:, :HASHES] for k in (2, 3))
                 rows = np.arange(batch.num_rows)
                 kept, matches = _sequential(left, right, rows, rows, steps)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(matches)], names=["a", "b", "matches"])
@@ -132,6 +132,10 @@ def surviving(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, matches bigint")
 
 
+def _bytes(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+
+
 def _sequential(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs (left[i], right[j]) survive all batches, and their matches."""
     alive, matches, at = np.arange(len(i)), np.zeros(len(i), np.int64), 0
@@ -142,24 +146,36 @@ def _sequential(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarra
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose full sets are similar enough."""
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    """(ca, cb): the components of the pairs (a, b, ca, cb) whose full sets are similar enough."""
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
         last, left = None, None
         for batch in batches:
             keep = []
-            for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+            for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
                 if last is None or last != a:
                     last, left = a, shingles(ta.as_py())
                 right = shingles(tb.as_py())
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * shared >= PERCENT * (len(left) + len(right) - shared):
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (3, 4)], names=["ca", "cb"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "ta", "tb", "ca", "cb").mapInArrow(run, f"ca {kind}, cb {kind}")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components so far (node, component), joined where links (ca, cb) stand between them. A node without links has no row."""
+    links = scratch.keep(links)
+    if roots is not None and links.isEmpty():
+        return roots
+    up = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    if roots is None:
+        return up
+    raised = roots.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return scratch.keep(raised.union(up.join(roots.select("node"), "node", "left_anti")))
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -175,7 +191,7 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _best(pairs: DataFrame) -> DataFrame:
     """(a, b): the most similar pair between each two components."""
-    return pairs.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b")
+    return pairs.groupBy(F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max(F.struct("matches", "a", "b")).alias("best")).select("best.a", "best.b", F.col("c1").alias("ca"), F.col("c2").alias("cb"))
 
 
 def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -190,13 +206,13 @@ def _compared(opened: DataFrame, signatures: DataFrame) -> DataFrame:
     """(a, b, matches) of the surviving pairs across components: members outside the largest component with all others.
 
     Both sides travel in blocks of about BLOCK members with their signatures, and a task compares two blocks at once, so
-    the pairs are no rows.
+    the pairs are no rows. A pair that meets in several buckets is told by that with the smallest key.
     """
     signed = opened.join(signatures, "id")
     block = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).alias("block")
     packed = lambda df, size, name: df.groupBy("key", block(size)).agg(F.collect_list("id").alias(f"{name}_id"), F.collect_list("component").alias(f"{name}_c"), F.collect_list("signature").alias(f"{name}_s"), F.first("main").alias("main"))
     left, right = packed(signed.where("component <> main"), "outside", "x"), packed(signed, "n", "y")
-    both = left.join(right.drop("main", "block"), "key").select("x_id", "x_c", "x_s", "y_id", "y_c", "y_s", "main")
+    both = left.join(right.drop("main", "block"), "key").select("key", "x_id", "x_c", "x_s", "y_id", "y_c", "y_s", "main")
     steps = bounds()
 
     def run(batches):
@@ -205,13 +221,16 @@ def _compared(opened: DataFrame, signatures: DataFrame) -> DataFrame:
                 xi, xc, yi, yc = (np.array(row[k]) for k in ("x_id", "x_c", "y_id", "y_c"))
                 wanted = (xc[:, None] != yc) & ((yc == row["main"])[None, :] | (xi[:, None] < yi))
                 i, j = np.nonzero(wanted)
-                xs, ys = (np.frombuffer(b"".join(row[k]), np.uint8).reshape(-1, HASHES) for k in ("x_s", "y_s"))
-                kept, matches = _sequential(xs, ys, i, j, steps)
+                xs, ys = _bytes(row["x_s"]), _bytes(row["y_s"])
+                kept, matches = _sequential(xs[:, :HASHES], ys[:, :HASHES], i, j, steps)
+                keys = [np.ascontiguousarray(m[:, HASHES:]).view("<i8") for m in (xs, ys)]
+                met = np.where((a := keys[0][i[kept]]) == keys[1][j[kept]], a, np.iinfo(np.int64).max).min(axis=1) == row["key"]
+                kept, matches = kept[met], matches[met]
                 x, y = xi[i[kept]], yi[j[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(matches)], names=["a", "b", "matches"])
 
     kind = opened.schema["id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}, matches bigint").distinct()
+    return both.mapInArrow(run, f"a {kind}, b {kind}, matches bigint")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,30 +250,23 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     signatures = scratch.write(members.join(shared.select("id").distinct(), "id", "left_semi").select("id", "signature"), "signatures")
     stars = scratch.write(surviving(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), signatures), "stars")
-    first = scratch.keep(stars.groupBy("b").agg(F.min(F.struct((-F.col("matches")).alias("m"), "a")).alias("best")).select("best.a", "b"))
+    first = scratch.keep(stars.groupBy("b").agg(F.min(F.struct((-F.col("matches")).alias("m"), "a")).alias("best")).select("best.a", "b", F.col("best.a").alias("ca"), F.col("b").alias("cb")))
     rows = df.select(df[id_column].alias("id"), df[text].alias("text"))
     texts = scratch.write(rows.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
-    links = scratch.keep(confirmed(first, texts))
-    roots = components(links, scratch)
-
-    for turn in range(ROUNDS):
-        # members outside a bucket's largest component meet another member of that
-        opened = scratch.keep(_open(shared, roots))
-        heads = opened.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id")).alias("head")).select("key", F.col("head.id").alias("a"))
-        pairs = opened.where("component <> main").select("key", F.col("id").alias("b")).join(heads, "key").select("a", "b").distinct()
-        met = scratch.keep(_crossing(surviving(pairs, signatures), roots))
-        links = scratch.keep(links.union(confirmed(_best(met), texts)))
-        roots = components(links, scratch)
-
-    # and what is left is compared with all others in the bucket
+    roots = _merged(None, confirmed(first, texts), scratch)
+
+    # members outside a bucket's largest component meet another member of that
+    opened = scratch.keep(_open(shared, roots))
+    heads = opened.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("head")).select("key", F.col("head.id").alias("a"))
+    pairs = opened.where("component <> main").select("key", F.col("id").alias("b")).join(heads, "key").select("a", "b").distinct()
+    roots = _merged(roots, confirmed(_best(_crossing(surviving(pairs, signatures), roots)), texts), scratch)
+
+    # and what is left is compared with all others in the bucket, the most similar pairs of two components first
     across = scratch.keep(_crossing(_compared(_open(shared, roots), signatures), roots))
     best = scratch.keep(_best(across))
-    links = scratch.keep(links.union(confirmed(best, texts)))
-    roots = components(links, scratch)
-    rest = _crossing(across.select("a", "b"), roots).select("a", "b").join(best, ["a", "b"], "left_anti")
-    found = scratch.keep(confirmed(rest, texts))
-    if not found.isEmpty():
-        roots = components(links.union(found), scratch)
+    roots = _merged(roots, confirmed(best, texts), scratch)
+    rest = _crossing(across.select("a", "b"), roots).join(best, ["a", "b"], "left_anti")
+    roots = _merged(roots, confirmed(rest, texts), scratch)
 
     of_class = _rooted(classes, roots).select("digest", "component")
     kept = base.select("id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
