@@ -15,15 +15,8 @@ SUPPLIER = "Supplier#000000007"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A fact table that comes as one small file is one task; it is spread over the cores then.
-
-    Tables of many files have more splits than cores and are read as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name == "lineitem" and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, "l_orderkey")
-    return df
+    """A test table, as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:

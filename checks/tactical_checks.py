@@ -274,16 +274,41 @@ _ALL = (GAPS_CTE, CLIENTS_CTE, DIMS_CTE, *MONTH_ALL, RALERT_CTE, dash._MS_CTE, d
         dash._BALERT_CTE, dash._OPP_CTE, dash._OSUM_CTE, dash._OALERT_CTE, dash._SELLERS_CTE, dash._SSUM_CTE, dash._SALERT_CTE, dash._DASH_CTE, dash._CSUM_CTE, dash._CALERT_CTE, OWNER_CTE)
 
 
+# The full texts of the alerts, without their figures and labels, in rule order.
+_TEXTS = {
+    "ralerts": ("Riesgo de cierre El cierre proyectado viene debajo del objetivo mensual.", "Cierre controlado El ritmo actual deja el cierre contra el objetivo del mes.",
+                "Vendedor a corregir cae y necesita reencauzar cartera este mes.", "Ruta debilitada perdió clientes activos vs el mes anterior.", "Canal con baja rotación cae con clientes activos.",
+                "Familia en retracción pierde share y cae en el tramo mensual.", "Clientes relevantes sin compra cuentas relevantes del mes pasado siguen sin compra este mes."),
+    "balerts": ("último mes bajo plan|Gap contra plan El último mes queda debajo del presupuesto.", "acumulado bajo plan|Gap contra plan El acumulado del rango queda por debajo del plan visible."),
+    "halerts": ("caída mensual|Señal estructural El último mes cae vs el mes previo.", "dependencia de clientes|Señal estructural El negocio depende de solo 10 clientes.",
+                "concentración|Señal estructural El HHI de clientes sugiere concentración alta."),
+    "oalerts": ("potencial accionable|Potencial comercial Hay de potencial accionable en las 30 oportunidades priorizadas.", "clientes con oportunidad|Potencial comercial Se acumulan clientes por debajo del benchmark o con mix corto.",
+                "canales bajo promedio|Potencial comercial canales muestran venta por cliente por debajo del promedio general."),
+    "salerts": ("dependencia|Productividad La venta depende de solo 3 vendedores.", "vendedor en caída|Productividad cae y pierde clientes.", "cartera liviana|Productividad Hay vendedores con cartera liviana o poco desarrollada."),
+    "calerts": ("concentración|Cartera La cartera concentra en solo 10 cuentas.", "sin recompra|Cartera Hay clientes del período anterior sin recompra.", "mix corto|Cartera clientes activos compran 1 familia o menos.",
+                "cuenta en riesgo|Cartera está en con días sin compra."),
+}
+
+
+def _said(table):
+    texts = [t.split("|") if "|" in t else (next(n for n in _ROLE_TITLES if t.startswith(n)), t) for t in _TEXTS[table]]
+    whens = lambda f: "CASE topic " + " ".join(f"WHEN '{topic}' THEN {f(i, text)}" for i, (topic, text) in enumerate(texts)) + " END"
+    return f"{whens(lambda i, t: i)} AS rule, {whens(lambda i, t: repr(t))} AS said"
+
+
+_ROLE_TITLES = ("Riesgo de cierre", "Cierre controlado", "Vendedor a corregir", "Ruta debilitada", "Canal con baja rotación", "Familia en retracción", "Clientes relevantes sin compra")
+
+
 def _board_sql():
-    parts = ["""SELECT role AS area, role AS owner, topic, severity, CASE severity WHEN 'critical' THEN 95 WHEN 'good' THEN 25 ELSE 70 END AS score, CAST(value AS DOUBLE) AS value, label, 0 AS source FROM ralerts"""]
+    parts = ["""SELECT role AS area, role AS owner, topic, severity, CASE severity WHEN 'critical' THEN 95 WHEN 'good' THEN 25 ELSE 70 END AS score, CAST(value AS DOUBLE) AS value, label, 0 AS source, """ + _said("ralerts") + " FROM ralerts"]
     tables = (("balerts", "Presupuesto", "Dirección", 92, 72, "NULL"), ("halerts", "Histórico", "Dirección", 90, 66, "NULL"), ("oalerts", "Oportunidad", "Comercial", 86, 62, "NULL"),
               ("salerts", "Vendedores", "Jefatura ventas", 84, 60, "label"), ("calerts", "Clientes", "Key accounts", 88, 64, "label"))
     for i, (t, area, owner, hi, lo, label) in enumerate(tables, 1):
-        parts.append(f"SELECT '{area}', '{owner}', topic, severity, CASE severity WHEN 'critical' THEN {hi} ELSE {lo} END, CAST(value AS DOUBLE), {label}, {i} FROM {t}")
+        parts.append(f"SELECT '{area}', '{owner}', topic, severity, CASE severity WHEN 'critical' THEN {hi} ELSE {lo} END, CAST(value AS DOUBLE), {label}, {i}, {_said(t)} FROM {t}")
     return f"""SELECT rank, area, owner, topic, severity, CAST(score AS BIGINT) AS score, value, label, CASE severity WHEN 'critical' THEN 'Alta' ELSE 'Media' END AS priority,
       CASE WHEN t LIKE '%cierre%' OR t LIKE '%objetivo%' THEN 'plan de cierre' WHEN t LIKE '%presupuesto%' OR t LIKE '%plan%' THEN 'ajuste de presupuesto'
         WHEN t LIKE '%cliente%' THEN 'recuperación de cartera' WHEN t LIKE '%canal%' THEN 'cobertura de canal' WHEN t LIKE '%vendedor%' THEN 'meta del responsable' ELSE 'acción correctiva' END AS action
-      FROM (SELECT *, lower(concat_ws(' ', area, topic, label)) AS t, row_number() OVER (ORDER BY score DESC, source, topic) AS rank FROM ({' UNION ALL '.join(parts)}) WHERE severity <> 'good') WHERE rank <= 6"""
+      FROM (SELECT *, lower(concat_ws(' ', area, said, label)) AS t, row_number() OVER (ORDER BY score DESC, source, rule) AS rank FROM ({' UNION ALL '.join(parts)}) WHERE severity <> 'good') WHERE rank <= 6"""
 
 
 def _parts(fact):

@@ -171,3 +171,21 @@ def test_periods():
 def test_period_defaults_to_the_span_of_the_fact(spark):
     p = resolve_period(fact_of(spark, [(date(2024, 5, 1), "a", "1", "A", "S1", 1), (date(2024, 5, 10), "a", "1", "A", "S1", 1)]))
     assert (p.selected_start, p.selected_end, p.comparison_start, p.comparison_end, p.days) == (date(2024, 5, 1), date(2024, 5, 10), date(2024, 4, 21), date(2024, 4, 30), 10)
+
+
+def test_board_actions_follow_the_texts(spark):
+    from ventara.operators import board
+
+    role = spark.createDataFrame([(1, "Supervisión", "Ruta debilitada", "warn", 1.0, "R1"), (2, "Canales", "Canal con baja rotación", "warn", 1.0, "C1"), (3, "Jefatura ventas", "Vendedor a corregir", "warn", 1.0, "V")], "rule int, role string, topic string, severity string, value double, label string")
+    others = {
+        "sellers": [("vendedor en caída", "S"), ("dependencia", None)], "history": [("concentración", None), ("caída mensual", None)],
+        "opportunities": [("canales bajo promedio", None)], "budget": [("último mes bajo plan", None)],
+    }
+    frames = {b: spark.createDataFrame([(b, "warn", t, 1.0, label) for t, label in rows], "board string, severity string, topic string, value double, label string") for b, rows in others.items()}
+    rows = board.direction_board(role, frames, 20).collect()
+    actions = {(r.area, r.topic): r.action for r in rows}
+    recover = {("Supervisión", "Ruta debilitada"), ("Canales", "Canal con baja rotación"), ("Vendedores", "vendedor en caída"), ("Histórico", "concentración"), ("Oportunidad", "canales bajo promedio")}
+    assert {k for k, v in actions.items() if v == "recuperación de cartera"} == recover
+    assert actions["Vendedores", "dependencia"] == actions["Jefatura ventas", "Vendedor a corregir"] == "meta del responsable"
+    assert actions["Histórico", "caída mensual"] == "acción correctiva" and actions["Presupuesto", "último mes bajo plan"] == "ajuste de presupuesto"
+    assert [r.topic for r in rows if r.area == "Histórico"] == ["caída mensual", "concentración"]

@@ -84,9 +84,3 @@ def week_of(x) -> Column:
 def serial_to_date(x) -> Column:
     """Workbook serial day number to a date."""
     return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(col(x)).cast("int"))
-
-
-def month_sequence(start, end) -> Column:
-    """Array of YYYY-MM labels from start to end, both included."""
-    months = F.sequence(F.trunc(col(start), "MM"), F.trunc(col(end), "MM"), F.expr("interval 1 month"))
-    return F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))

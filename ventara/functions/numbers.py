@@ -9,32 +9,35 @@ from pyspark.sql import Column, functions as F
 
 from ventara.functions.text import col
 
-MEASURE = "decimal(18,4)"
+MEASURE = "decimal(38,6)"
 
 
 def dbl(x) -> Column:
     return col(x).cast("double") if not isinstance(x, (int, float)) else F.lit(float(x))
 
 
-def zero(x) -> Column:
-    return F.coalesce(col(x), F.lit(0))
-
-
 # Marks that only group digits. A mark is one when the text's last mark is the other one; the
 # lookahead finds that out in a single pass, so the cell is read once whatever its format.
 _GROUPING = r"\.(?=.*,[^.]*$)|,(?=.*\.[^,]*$)| "
-# In ERP numbers every dot groups as soon as there is a comma.
-_ERP_GROUPING = r"\.(?=.*,)|(?<=,.{0,60})\.| "
+_PLAIN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _measure(text: Column, target: str) -> Column:
+    """The number, NULL for a text that is none, and an error for a number that the type cannot hold."""
+    value = text.try_cast(target)
+    too_large = F.raise_error(F.concat(F.lit(f"number beyond {target}: "), text)).cast(target)
+    return F.when(value.isNull() & text.rlike(_PLAIN), too_large).otherwise(value)
 
 
 def parse_number(x, target: str = MEASURE) -> Column:
     """Locale number: with both marks present the last one is the decimal mark; a lone comma is one too."""
-    return F.translate(F.regexp_replace(col(x).cast("string"), _GROUPING, ""), ",", ".").try_cast(target)
+    return _measure(F.translate(F.regexp_replace(col(x).cast("string"), _GROUPING, ""), ",", "."), target)
 
 
 def parse_erp_number(x, target: str = MEASURE) -> Column:
-    """ERP number: with both marks present the dot separates thousands and the comma decimals."""
-    return F.translate(F.regexp_replace(col(x).cast("string"), _ERP_GROUPING, ""), ",", ".").try_cast(target)
+    """ERP number: as soon as there is a comma it marks decimals and every dot groups."""
+    text = col(x).cast("string")
+    return _measure(F.when(F.contains(text, F.lit(",")), F.translate(text, ",. ", ".")).otherwise(F.translate(text, " ", "")), target)
 
 
 def first_number(*xs) -> Column:

@@ -17,6 +17,17 @@ SOURCES = {
 }
 ROLE_SCORES = {"critical": 95, "good": 25, "warn": 70}
 
+# Alerts in the order of their rules, with those words of their full texts that the action words below can meet.
+SAID = {
+    "role": (("Riesgo de cierre", "cierre objetivo"), ("Cierre controlado", "cierre objetivo"), ("Vendedor a corregir", ""), ("Ruta debilitada", "clientes"),
+             ("Canal con baja rotación", "clientes"), ("Familia en retracción", ""), ("Clientes relevantes sin compra", "")),
+    "budget": (("último mes bajo plan", "plan presupuesto"), ("acumulado bajo plan", "plan")),
+    "history": (("caída mensual", ""), ("dependencia de clientes", "clientes"), ("concentración", "clientes")),
+    "opportunities": (("potencial accionable", ""), ("clientes con oportunidad", "clientes"), ("canales bajo promedio", "canales cliente")),
+    "sellers": (("dependencia", "vendedores"), ("vendedor en caída", "clientes"), ("cartera liviana", "vendedores")),
+    "clients": (("concentración", ""), ("sin recompra", "clientes"), ("mix corto", "clientes"), ("cuenta en riesgo", "")),
+}
+
 # Words in an alert that give its action category; the first line that applies wins.
 ACTION_WORDS = (
     (("cierre", "objetivo"), "plan de cierre"),
@@ -40,8 +51,10 @@ def _seed(df: DataFrame, board: str | None = None) -> DataFrame:
         name, who, high, low = SOURCES[board]
         score, area, owner = F.when(critical, high).otherwise(low), F.lit(name), F.lit(who)
         source = F.lit(1 + list(SOURCES).index(board))
+    known = SAID[board or "role"]
+    pick = lambda i, otherwise: F.coalesce(*[F.when(F.col("topic") == a[0], F.lit(k if i is None else a[i])) for k, a in enumerate(known)], F.lit(otherwise))
     return df.select(
-        area.alias("area"), owner.alias("owner"), "topic", "severity", score.cast("long").alias("score"), dbl("value").alias("value"), label.alias("label"),
+        pick(None, len(known)).alias("rule"), pick(1, "").alias("said"), area.alias("area"), owner.alias("owner"), "topic", "severity", score.cast("long").alias("score"), dbl("value").alias("value"), label.alias("label"),
         source.cast("long").alias("source"))
 
 
@@ -51,8 +64,8 @@ def direction_board(role_alerts: DataFrame, by_board: dict[str, DataFrame], n: i
     for board in SOURCES:
         if board in by_board:
             rows = rows.unionByName(_seed(by_board[board], board))
-    top = ranked(rows.filter(F.col("severity") != "good"), n, [F.desc("score"), "source", "topic"])
-    text = F.lower(F.concat_ws(" ", "area", "topic", "label"))
+    top = ranked(rows.filter(F.col("severity") != "good"), n, [F.desc("score"), "source", "rule", "topic"])
+    text = F.lower(F.concat_ws(" ", "area", "topic", "said", "label"))
     action = F.lit(DEFAULT_ACTION)
     for words, name in reversed(ACTION_WORDS):
         hit = text.contains(words[0])

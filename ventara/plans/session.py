@@ -1,7 +1,7 @@
 """Session settings the operators rely on."""
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,12 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the one the cluster names, else a temporary one (local runs only)."""
+    """Shared folder for cut lineage: spark.checkpoint.dir, else a folder of the warehouse, which executors share as well."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="ventara-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -40,11 +38,21 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df):
+    """A frame written once to the shared folder and read back, for a report whose blocks all read it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int = 8, partitions: int | None = None, app: str = "ventara") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")  # as at scale: orders are joined by shuffle, small masters broadcast
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("VENTARA_DRIVER_MEMORY", "8g"))

@@ -49,8 +49,12 @@ def text_schema(fields) -> str:
 
 
 def read_erp_json(spark: SparkSession, path, schema: str) -> DataFrame:
-    """JSON records with a declared schema; `load_seq` keeps the order they were read in."""
-    return spark.read.schema(schema).json(path).withColumn("load_seq", F.monotonically_increasing_id())
+    """JSON records with a declared schema; `load_seq` orders them by file path and place in the file.
+
+    Spark packs files into tasks by size, so the row number of a task orders rows inside a file block only.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.schema(schema).json(path).withColumn("load_seq", place)
 
 
 def _with(df: DataFrame, fields) -> DataFrame:

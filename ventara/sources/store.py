@@ -6,10 +6,11 @@ rewriting only the months it touches.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ventara.functions.numbers import MEASURE
 from ventara.functions.rows import literal_rows
@@ -23,8 +24,8 @@ MEASURES = ("amount", "amount_net", "amount_final", "internal_taxes", "amount_ne
 STORE_SCHEMA = (
     "date date, invoice string, client_key string, product_key string, seller_key string, sales_scheme_key string, route_description string, "
     "channel string, client_name string, seller_name string, sales_scheme_name string, sales_force string, product_name string, "
-    "amount decimal(28,6), amount_net decimal(28,6), amount_final decimal(28,6), internal_taxes decimal(28,6), "
-    "amount_net_internal decimal(28,6), quantity decimal(28,6), line_id string, document_key string, line_key string, year int, month int"
+    "amount decimal(38,6), amount_net decimal(38,6), amount_final decimal(38,6), internal_taxes decimal(38,6), "
+    "amount_net_internal decimal(38,6), quantity decimal(38,6), line_id string, document_key string, line_key string, year int, month int"
 )
 EMPTY_CONFIRMATIONS = ("no devolvió ventas", "no generó lotes")
 SYNC_CHUNK_DAYS = 31
@@ -60,7 +61,7 @@ def _shaped(records: DataFrame) -> DataFrame:
     extra = [_text(records, c).alias(c) for c in ("document_key", "line_key")]
     return records.filter(F.col("date").isNotNull()).select(
         "date", invoice.alias("invoice"), *[_text(records, k).alias(k) for k in KEY_FIELDS], *[v.alias(n) for n, v in names.items()],
-        *[v.cast("decimal(28,6)").alias(n) for n, v in _measures(records).items()], *extra, seq.alias("seq"))
+        *[v.cast("decimal(38,6)").alias(n) for n, v in _measures(records).items()], *extra, seq.alias("seq"))
 
 
 def _first_filled(name: str):
@@ -71,7 +72,7 @@ def _first_filled(name: str):
 def compact(records: DataFrame) -> DataFrame:
     """One row per date, client, invoice, product, seller, scheme, route and channel: summed measures, first filled names."""
     grouped = _shaped(records).groupBy("date", "invoice", *KEY_FIELDS).agg(
-        *[_first_filled(n) for n in NAME_FIELDS], *[F.sum(m).cast("decimal(28,6)").alias(m) for m in MEASURES])
+        *[_first_filled(n) for n in NAME_FIELDS], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
     return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
 
 
@@ -88,7 +89,7 @@ def compact_lines(records: DataFrame) -> DataFrame:
     shaped = _shaped(records)
     shaped = shaped.withColumn("line_id", line_id(shaped))
     others = ("invoice", *KEY_FIELDS, "document_key", "line_key", *NAME_FIELDS)
-    grouped = shaped.groupBy("line_id", "date").agg(*[_first_filled(n) for n in others], *[F.sum(m).cast("decimal(28,6)").alias(m) for m in MEASURES])
+    grouped = shaped.groupBy("line_id", "date").agg(*[_first_filled(n) for n in others], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
     return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
 
 
@@ -100,11 +101,21 @@ def replace_range(existing: DataFrame, incoming: DataFrame, start: date, end: da
     return existing.filter(~between("date", start, end)).unionByName(incoming.filter(between("date", start, end)), allowMissingColumns=True)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
-    """Incoming rows, plus existing rows whose key does not come in. Incoming rows without a key are dropped."""
+def last_of_key(incoming: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the last by `load_seq`, or by all columns where there is none. Rows without a key are dropped."""
     valid = incoming
     for key in keys:
         valid = valid.filter(clean(key) != "")
+    rest = [c for c in incoming.columns if c not in keys]
+    if not rest:
+        return valid.distinct()
+    order = F.struct(*[c for c in ("load_seq", *rest) if c in rest])
+    return valid.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*incoming.columns)
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
+    """Incoming rows, the last of each key, plus existing rows whose key does not come in."""
+    valid = last_of_key(incoming, *keys)
     return existing.join(valid.select(*keys).distinct(), list(keys), "left_anti").unionByName(valid, allowMissingColumns=True)
 
 
@@ -144,7 +155,7 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """The whole store. The declared schema spares a look at every file; a column an old file lacks gets its default."""
     df = spark.read.schema(STORE_SCHEMA).parquet(path)
     texts = {c: F.coalesce(c, F.lit("")) for c in ("seller_name", "sales_scheme_key", "sales_scheme_name", "sales_force")}
-    zero = F.lit(0).cast("decimal(28,6)")
+    zero = F.lit(0).cast("decimal(38,6)")
     sums = {c: F.coalesce(c, F.col("amount") if c != "internal_taxes" else zero) for c in MEASURES if c not in ("amount", "quantity")}
     return df.withColumns({**texts, **sums})
 
@@ -180,16 +191,27 @@ def sync_range(
     Nothing is written when the incoming side is empty, unless the source confirmed that there were
     no sales. Running it twice with the same input leaves the same table.
     """
-    incoming = incoming.filter(between("date", start, end))
+    # The input is evaluated once: counts, months and rows all come from the staged lines.
+    staging = f"{path}.staging/{uuid.uuid4().hex}"
+    incoming.filter(between("date", start, end)).write.parquet(staging)
+    incoming = spark.read.schema(incoming.schema).parquet(staging)
+    try:
+        return _publish(spark, path, incoming, start, end, log_path, warning, confirmed_empty, origin, full_detail)
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _publish(spark, path, incoming, start, end, log_path, warning, confirmed_empty, origin, full_detail) -> dict:
+    received = incoming.count()
     confirmed = confirmed_empty or empty_is_confirmed(warning)
     run = {"entity": "sales", "range_start": start, "range_end": end, "empty_confirmed": confirmed, "warning": warning, "origin": origin}
-    if incoming.isEmpty() and not confirmed:
+    if not received and not confirmed:
         if log_path:
             append_run(spark, log_path, {**run, "records_received": 0, "status": "aborted_empty_response"})
         raise RuntimeError(f"no valid rows from {start} to {end}; stored data is left as it is")
     labels = month_labels(start, end)
-    counted = Observation("incoming")
-    rows = (compact_lines if full_detail else compact)(incoming).observe(counted, F.count("*").alias("rows"))
+    rows = (compact_lines if full_detail else compact)(incoming)
     months = incoming.select(F.date_format("date", "yyyy-MM").alias("label"))
     if _exists(spark, path):
         kept = read_sales(spark, path).filter(_in_months(labels) & ~between("date", start, end))
@@ -198,7 +220,7 @@ def sync_range(
     present = {r.label for r in months.distinct().collect()}  # at most one row per month of the range
     if present:
         write_sales(rows, path)
-    run["records_received"] = counted.get["rows"] if present else 0
+    run["records_received"] = received
     for label in labels:
         if label not in present:
             _drop_month(spark, path, label)
@@ -229,15 +251,18 @@ def prune_store(spark: SparkSession, path: str, cutoff: date) -> None:
 def write_master(incoming: DataFrame, path: str, *keys: str, replace_all: bool = False) -> None:
     """Store a master: add and update rows by key, or replace all of them."""
     spark = incoming.sparkSession
-    valid = incoming
-    for key in keys:
-        valid = valid.filter(clean(key) != "")
+    valid = last_of_key(incoming, *keys)
     if replace_all or not _exists(spark, path):
         valid.write.mode("overwrite").parquet(path)
         return
-    # Spark cannot overwrite a table it is reading: write the merged table beside it, then swap it in.
+    # Spark cannot overwrite a table it is reading: write the merged table beside it, then put its folder in the place.
     upsert(spark.read.parquet(path), valid, *keys).write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"the merged master is left in {path}.next")
     spark.catalog.refreshByPath(path)
 
 
@@ -269,13 +294,19 @@ def _usable(runs: DataFrame) -> DataFrame:
     return runs.filter((F.col("status") == "success") & counts & F.col("range_start").isNotNull() & F.col("range_end").isNotNull())
 
 
-def covered_ranges(runs: DataFrame, start: date, end: date, by=()) -> DataFrame:
-    """Merged ranges of successful runs inside the request; ranges that overlap or touch become one.
+def _of_entity(runs: DataFrame, entity: str | None, by) -> DataFrame:
+    return runs if entity is None or "entity" in by else runs.filter(F.col("entity") == entity)
+
+
+def covered_ranges(runs: DataFrame, start: date, end: date, by=(), entity: str | None = "sales") -> DataFrame:
+    """Merged ranges of an entity's successful runs inside the request; ranges that overlap or touch become one.
+
+    With `entity` None, or with "entity" in `by`, runs of all entities count.
 
     Runs are first reduced to the latest end per start day, so a window holds at most one row per
     calendar day of the request.
     """
-    inside = _usable(runs).filter((F.col("range_start") <= day(end)) & (F.col("range_end") >= day(start)))
+    inside = _usable(_of_entity(runs, entity, by)).filter((F.col("range_start") <= day(end)) & (F.col("range_end") >= day(start)))
     clipped = inside.select(*by, F.greatest("range_start", day(start)).alias("start"), F.least("range_end", day(end)).alias("end")).filter("start <= end")
     days = clipped.groupBy(*by, "start").agg(F.max("end").alias("end"))
     order = Window.partitionBy(*by).orderBy("start") if by else Window.orderBy("start")
@@ -301,9 +332,9 @@ def _gaps(ranges: DataFrame, start: date, end: date, by, scopes: DataFrame | Non
     return gaps.select(*by, F.col("from").alias("start"), F.date_sub("start", 1).alias("end"))
 
 
-def uncovered_ranges(runs: DataFrame, start: date, end: date, by=()) -> DataFrame:
+def uncovered_ranges(runs: DataFrame, start: date, end: date, by=(), entity: str | None = "sales") -> DataFrame:
     """Parts of the request that still have to be fetched."""
-    return _gaps(covered_ranges(runs, start, end, by), start, end, by, runs if by else None)
+    return _gaps(covered_ranges(runs, start, end, by, entity), start, end, by, _of_entity(runs, entity, by) if by else None)
 
 
 def reused_ranges(uncovered: DataFrame, start: date, end: date) -> DataFrame:
@@ -311,12 +342,12 @@ def reused_ranges(uncovered: DataFrame, start: date, end: date) -> DataFrame:
     return _gaps(uncovered, start, end, (), None)
 
 
-def range_coverage(runs: DataFrame, start: date, end: date, by=()) -> DataFrame:
+def range_coverage(runs: DataFrame, start: date, end: date, by=(), entity: str | None = "sales") -> DataFrame:
     """Whether the request is fully covered, and the first part that is missing."""
-    missing = uncovered_ranges(runs, start, end, by)
+    missing = uncovered_ranges(runs, start, end, by, entity)
     first = F.min(F.struct("start", "end"))
     if by:
-        scopes = runs.select(*by).distinct()
+        scopes = _of_entity(runs, entity, by).select(*by).distinct()
         found = missing.groupBy(*by).agg(first.alias("m"))
         rows = scopes.join(found, list(by), "left")
     else:

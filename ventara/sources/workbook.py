@@ -107,7 +107,7 @@ def sheet_rows(content: bytes, only_sheet: str | None = None, max_rows: int | No
 
 
 def read_workbooks(spark: SparkSession, path, sheet: str | None = None, max_rows: int | None = None) -> DataFrame:
-    """Rows of all workbooks under a path (any file system Spark reads): file, sheet, row_no and cells.
+    """Rows of all workbooks under a path (any file system Spark reads): file (its whole path), sheet, row_no and cells.
 
     Spark lists the files and spreads them over tasks; a task decodes one workbook at a time and
     emits its rows in batches. A sheet holds about a million rows at most by its format.
@@ -121,7 +121,7 @@ def read_workbooks(spark: SparkSession, path, sheet: str | None = None, max_rows
                 rows = []
                 for name, number, cells in sheet_rows(content, sheet, max_rows):
                     found = True
-                    rows.append((file.rsplit("/", 1)[-1], name, number, cells))
+                    rows.append((file, name, number, cells))
                     if len(rows) >= BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
                         rows = []
@@ -134,6 +134,11 @@ def read_workbooks(spark: SparkSession, path, sheet: str | None = None, max_rows
     return files.select("path", "content").mapInPandas(decode, ROWS_SCHEMA)
 
 
+def file_label(file="file"):
+    """Base name of a file, to show; two files may share it, so rows are keyed by the whole path."""
+    return F.substring_index(file, "/", -1)
+
+
 def preview_sheet(spark: SparkSession, path, sheet: str, n: int = 12) -> DataFrame:
     """First rows of a sheet."""
     return read_workbooks(spark, path, sheet, n)
