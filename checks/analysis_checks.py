@@ -132,7 +132,7 @@ def churn_status(fact):
       count(*) FILTER (status = 'Reactivable') AS reactivable, count(*) FILTER (status = 'Perdido') AS lost,
       count(*) FILTER (months_active >= 4) AS recurring, CAST(sum(orders12) AS BIGINT) AS orders12m, count(*) FILTER (orders12 > 0) AS buyers12m,
       round(avg(round(avg_ticket, 2)), 6) AS avg_ticket,
-      CAST(sum(CAST(history_sales AS DECIMAL(28,4))) FILTER (status IN ('Dormido', 'Reactivable')) AS DOUBLE) AS at_risk_sales FROM churn)""", CHURN_CTE))
+      CAST(sum(CAST(history_sales AS DECIMAL(28,4))) FILTER (status IN ('Dormido', 'Reactivable')) AS DOUBLE) AS at_risk_sales FROM churn)""", CHURN_CTE), once=True)
 def churn_summary(fact):
     return analyses.churn_summary(_churn(fact))
 

@@ -9,6 +9,7 @@ from checks.fixtures import CUR, PERIOD, PREV, SEEN, Checks, with_fact
 from ventara.functions.rows import literal_rows
 from ventara.operators import consistency, core, focus, history, opportunity
 from ventara.plans.period import slice_history
+from ventara.plans.session import stored
 
 C = Checks()
 
@@ -105,12 +106,12 @@ _SALERT_CTE = """salerts AS (SELECT 'sellers' AS board, 'warn' AS severity, 'dep
     UNION ALL SELECT 'sellers', 'warn', 'cartera liviana', light_portfolios, NULL FROM ssum WHERE light_portfolios > 0)"""
 
 
-@C.add("sellers_summary", with_fact("SELECT * FROM ssum", _SELLERS_CTE, _SSUM_CTE), rounded=("top3_pct", "sales_per_seller",))
+@C.add("sellers_summary", with_fact("SELECT * FROM ssum", _SELLERS_CTE, _SSUM_CTE), rounded=("top3_pct", "sales_per_seller",), once=True)
 def sellers_summary(fact):
     return focus.sellers_summary(_sellers(fact))
 
 
-@C.add("sellers_alerts", with_fact("SELECT * FROM salerts", _SELLERS_CTE, _SSUM_CTE, _SALERT_CTE))
+@C.add("sellers_alerts", with_fact("SELECT * FROM salerts", _SELLERS_CTE, _SSUM_CTE, _SALERT_CTE), once=True)
 def sellers_alerts(fact):
     return focus.sellers_alerts(_sellers(fact))
 
@@ -118,7 +119,7 @@ def sellers_alerts(fact):
 @C.add("sellers_charts", with_fact(" UNION ALL ".join(
     f"SELECT '{n}' AS chart, rank, seller, CAST({m} AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (ORDER BY {m} {d}, seller) AS rank FROM sellers) WHERE rank <= {k}"
     for n, m, d, k in (("venta", "sales", "DESC", 8), ("caídas", "growth_pct", "ASC", 8), ("subas", "growth_pct", "DESC", 4), ("clientes", "clients", "DESC", 8),
-                       ("concentración", "top3_clients_pct", "DESC", 8))), _SELLERS_CTE))
+                       ("concentración", "top3_clients_pct", "DESC", 8))), _SELLERS_CTE), once=True)
 def sellers_charts(fact):
     return focus.sellers_charts(_sellers(fact))
 
@@ -154,15 +155,15 @@ def lifecycle_counts(fact):
     return focus.lifecycle_counts(focus.clients_dashboard(fact, PERIOD, _clients(fact)))
 
 
-@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",))
+@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",), once=True)
 def clients_summary(fact):
-    return focus.clients_summary(fact, PERIOD, focus.clients_dashboard(fact, PERIOD, _clients(fact)))
+    return focus.clients_summary(fact, PERIOD, stored(focus.clients_dashboard(fact, PERIOD, stored(_clients(fact)))))
 
 
-@C.add("clients_alerts", with_fact("SELECT * FROM calerts", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE, _CALERT_CTE))
+@C.add("clients_alerts", with_fact("SELECT * FROM calerts", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE, _CALERT_CTE), once=True)
 def clients_alerts(fact):
-    clients = _clients(fact)
-    dashboard = focus.clients_dashboard(fact, PERIOD, clients)
+    clients = stored(_clients(fact))
+    dashboard = stored(focus.clients_dashboard(fact, PERIOD, clients))
     return focus.clients_alerts(focus.clients_summary(fact, PERIOD, dashboard), dashboard, clients)
 
 
@@ -338,7 +339,8 @@ _OALERT_CTE = """oalerts AS (SELECT 'opportunities' AS board, 'warn' AS severity
 
 
 def _opps(fact):
-    return opportunity.all_opportunities(fact, PERIOD, _clients(fact), core.dimension_stats(fact, PERIOD, ("seller_name", "channel")))
+    fact = stored(fact)
+    return opportunity.all_opportunities(fact, PERIOD, stored(_clients(fact)), stored(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
 
 
 @C.add("opportunities_all", with_fact("SELECT * FROM opps", GAPS_CTE, CLIENTS_CTE, DIMS_CTE, _OPP_CTE))

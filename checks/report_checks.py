@@ -87,12 +87,12 @@ ALERTS_CTE = f"""alerts AS (SELECT CAST(rule AS BIGINT) AS rule, topic, severity
 
 
 def _base(fact):
-    return ops.report_base(fact, PERIOD)
+    return ops.report_base(fact, PERIOD, keep=True)
 
 
 @C.add("coverage", with_fact("SELECT * FROM cov", COV_CTE))
 def coverage(fact):
-    return _base(fact).coverage
+    return ops.coverage(fact.filter(PERIOD.in_selected()))
 
 
 @C.add("period_totals", with_fact("SELECT * FROM totals", TOTALS_CTE))

@@ -9,6 +9,7 @@ from checks.fixtures import CUR, MONTH, MONTH_PREV, MTD, MTD_PREV, MTD_YEAR_AGO,
 from ventara.functions.rows import literal_rows
 from ventara.operators import board, tactical as ops
 from ventara.operators import core, focus, history, opportunity
+from ventara.plans.session import stored
 
 C = Checks()
 
@@ -109,19 +110,19 @@ MC_CTE = f"""mc AS (SELECT s.client_canonical AS client_id, client, sales, quant
   JOIN {_cmode('sales_force')} f USING (client_canonical) WHERE g.c)"""
 
 
-@C.add("mtd_clients", with_fact("SELECT * FROM mc", TOT_CTE, FLAGS_CTE, MC_CTE))
+@C.add("mtd_clients", with_fact("SELECT * FROM mc", TOT_CTE, FLAGS_CTE, MC_CTE), once=True)
 def mtd_clients(fact):
     return ops.month_clients(fact, MONTH)
 
 
-@C.add("mtd_client_table", with_fact("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sales DESC, client_id) AS rank FROM mc) WHERE rank <= 50", TOT_CTE, FLAGS_CTE, MC_CTE))
+@C.add("mtd_client_table", with_fact("SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sales DESC, client_id) AS rank FROM mc) WHERE rank <= 50", TOT_CTE, FLAGS_CTE, MC_CTE), once=True)
 def mtd_client_table(fact):
     return ops.month_client_table(ops.month_clients(fact, MONTH))
 
 
 @C.add("executive_table", with_fact(
     """SELECT rank, client, status, sales, quantity AS units, avg_ticket, avg_units_per_order, families, last_date, sales_force, route, seller, share_pct, sales_delta_pct
-    FROM (SELECT *, row_number() OVER (ORDER BY sales DESC, client_id) AS rank FROM mc) WHERE rank <= 50""", TOT_CTE, FLAGS_CTE, MC_CTE))
+    FROM (SELECT *, row_number() OVER (ORDER BY sales DESC, client_id) AS rank FROM mc) WHERE rank <= 50""", TOT_CTE, FLAGS_CTE, MC_CTE), once=True)
 def executive_table(fact):
     return ops.executive_table(ops.month_clients(fact, MONTH))
 
@@ -187,12 +188,12 @@ RALERT_CTE = f"""ralerts AS (
   UNION ALL SELECT 7, 'Key accounts', 'Clientes relevantes sin compra', CASE WHEN n >= 20 THEN 'critical' ELSE 'warn' END, n, NULL FROM (SELECT count(*) AS n FROM lost) WHERE n > 0)"""
 
 
-@C.add("tactical_alerts", with_fact("SELECT CAST(rule AS BIGINT) AS rule, topic, severity, CAST(value AS DOUBLE) AS value, label FROM malerts ORDER BY rule LIMIT 8", *MONTH_ALL, MALERT_CTE))
+@C.add("tactical_alerts", with_fact("SELECT CAST(rule AS BIGINT) AS rule, topic, severity, CAST(value AS DOUBLE) AS value, label FROM malerts ORDER BY rule LIMIT 8", *MONTH_ALL, MALERT_CTE), once=True)
 def tactical_alerts(fact):
     return ops.month_alerts(fact, MONTH)
 
 
-@C.add("role_alerts", with_fact("SELECT CAST(rule AS BIGINT) AS rule, role, topic, severity, CAST(value AS DOUBLE) AS value, label FROM ralerts ORDER BY rule LIMIT 6", *MONTH_ALL, RALERT_CTE))
+@C.add("role_alerts", with_fact("SELECT CAST(rule AS BIGINT) AS rule, role, topic, severity, CAST(value AS DOUBLE) AS value, label FROM ralerts ORDER BY rule LIMIT 6", *MONTH_ALL, RALERT_CTE), once=True)
 def role_alerts(fact):
     return ops.role_alerts(fact, MONTH)
 
@@ -313,15 +314,15 @@ def _board_sql():
 
 def _parts(fact):
     hist, cur = dash._hist(fact), fact.filter(PERIOD.in_selected())
-    clients = core.client_stats(fact, PERIOD)
-    dashboard = focus.clients_dashboard(fact, PERIOD, clients)
+    clients = stored(core.client_stats(fact, PERIOD))
+    dashboard = stored(focus.clients_dashboard(fact, PERIOD, clients))
     return {
         "budget": history.budget_summary(history.budget_monthly(hist, dash.budget_of(fact))), "history": history.history_summary(hist, cur),
         "opportunities": opportunity.opportunities_summary(dash._opps(fact)), "clients": focus.clients_summary(fact, PERIOD, dashboard),
     }, clients, dashboard
 
 
-@C.add("direction_board", with_fact(_board_sql(), *_ALL))
+@C.add("direction_board", with_fact(_board_sql(), *_ALL), once=True)
 def direction_board(fact):
     sums, clients, dashboard = _parts(fact)
     alerts = {
@@ -339,7 +340,7 @@ def direction_board(fact):
       UNION ALL SELECT 3, 'Gap responsables', gap_pct, CASE WHEN round(gap_pct, 1) >= 0 THEN 'good' ELSE 'warn' END FROM osumm
       UNION ALL SELECT 4, 'Potencial accionable', total_potential, 'good' FROM osum
       UNION ALL SELECT 5, 'Clientes en riesgo', at_risk, CASE WHEN at_risk > 120 THEN 'bad' WHEN at_risk > 60 THEN 'warn' ELSE 'good' END FROM csum
-      UNION ALL SELECT 6, 'Concentración top 10', top10_clients_pct, CASE WHEN round(top10_clients_pct, 1) < 30 THEN 'good' WHEN round(top10_clients_pct, 1) < 40 THEN 'warn' ELSE 'bad' END FROM hsum)""", *_ALL))
+      UNION ALL SELECT 6, 'Concentración top 10', top10_clients_pct, CASE WHEN round(top10_clients_pct, 1) < 30 THEN 'good' WHEN round(top10_clients_pct, 1) < 40 THEN 'warn' ELSE 'bad' END FROM hsum)""", *_ALL), once=True)
 def board_kpis(fact):
     sums, _, _ = _parts(fact)
     owners = ops.owner_summary(ops.owner_tracking(_dims(fact), _owner_targets(fact), MONTH))

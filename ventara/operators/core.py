@@ -133,12 +133,12 @@ def client_stats(fact: DataFrame, period: Period) -> DataFrame:
     return totals.join(gaps, "client_key").join(names, "client_key").join(usual_values(combos, "client_key", owner), "client_key").select(
         "client_key",
         F.col("last.client").alias("client"),
-        dbl("cur_sales").alias("sales"),
-        dbl("prev_sales").alias("previous_sales"),
-        dbl("all_sales").alias("history_sales"),
-        dbl("cur_units").alias("quantity"),
-        dbl("prev_units").alias("previous_quantity"),
-        dbl("all_units").alias("history_quantity"),
+        F.col("cur_sales").alias("sales"),
+        F.col("prev_sales").alias("previous_sales"),
+        F.col("all_sales").alias("history_sales"),
+        F.col("cur_units").alias("quantity"),
+        F.col("prev_units").alias("previous_quantity"),
+        F.col("all_units").alias("history_quantity"),
         "months_active",
         ratio(F.when(bought, F.col("cur_sales")).otherwise(F.col("all_sales")), orders).alias("avg_ticket"),
         ratio("cur_units", orders).alias("avg_units_per_order"),
@@ -163,11 +163,11 @@ def dimension_stats(fact: DataFrame, period: Period, dimensions=REPORT_DIMENSION
     )
     long = unpivot_dimensions(rows, dimensions, ["cur", "prev", "order_key", "client_key", "amount", "quantity"])
     stats = long.groupBy("dimension", "label").agg(
-        dbl(amount_where(cur)).alias("sales"),
-        dbl(amount_where(prev)).alias("previous_sales"),
+        amount_where(cur).alias("sales"),
+        amount_where(prev).alias("previous_sales"),
         F.count_distinct(F.when(cur, F.col("client_key"))).alias("clients"),
         F.count_distinct(F.when(cur, F.col("order_key"))).alias("orders"),
-        dbl(amount_where(cur, "quantity")).alias("quantity"),
+        amount_where(cur, "quantity").alias("quantity"),
     )
     return stats.select(
         "*",

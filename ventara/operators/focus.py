@@ -13,7 +13,7 @@ NO_SELLER = "Sin vendedor"
 
 
 def _exact(c):
-    return F.col(c).cast("decimal(28,4)")
+    return F.col(c).cast("decimal(38,4)")
 
 
 def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:

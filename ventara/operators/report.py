@@ -8,6 +8,7 @@ Single-row inputs enter as scalar subqueries; nothing is collected to the driver
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,7 +20,7 @@ from ventara.operators.core import (
 )
 from ventara.plans.period import Period, month_labels
 from ventara.plans.schema import CUBE_DIMENSIONS, CUBE_METRICS
-from ventara.plans.session import checkpoint
+from ventara.plans.session import stored
 
 
 @dataclass
@@ -30,23 +31,48 @@ class ReportBase:
     period: Period
     clients: DataFrame
     dimensions: DataFrame
+    keep: bool = False
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return stored(df) if self.keep else df
 
     @property
     def coverage(self) -> DataFrame:
         return coverage(self.fact.filter(self.period.in_selected()))
 
+    @cached_property
+    def figures(self) -> DataFrame:
+        """One row: totals of the period, and client totals `c`, dimension totals `by`, coverage `cov` and the share `top10` of the largest clients."""
+        row = period_totals(self.fact, self.period)
+        cov = one_row(self.coverage, F.max(F.struct("*")).alias("c")).c
+        return self._kept(row.select("*", _client_totals(self.clients).alias("c"), _dimension_totals(self.dimensions).alias("by"), cov.alias("cov"), _top_share(self.clients, 10).alias("top10")))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self._kept(summary(self))
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return self._kept(_forecast_row(self.fact, self.period))
+
 
 def report_base(fact: DataFrame, period: Period, keep: bool = False) -> ReportBase:
-    """Client and dimension statistics; with `keep` they are computed now and stored in the checkpoint folder."""
+    """Client and dimension statistics.
+
+    With `keep` the fact is read once: it is stored in the shared folder, and so are the statistics and the one-row figures that
+    several blocks use, each when it is first asked for.
+    """
+    if keep:
+        fact = stored(fact)
     clients, dimensions = client_stats(fact, period), dimension_stats(fact, period)
     if keep:
-        clients, dimensions = checkpoint(clients), checkpoint(dimensions)
-    return ReportBase(fact, period, clients, dimensions)
+        clients, dimensions = stored(clients), stored(dimensions)
+    return ReportBase(fact, period, clients, dimensions, keep)
 
 
 def exact(x) -> Column:
-    """Double back to the exact decimal it came from, so that sums do not depend on row order."""
-    return F.col(x).cast("decimal(28,4)") if isinstance(x, str) else x.cast("decimal(28,4)")
+    """Amounts with the four decimals of the fact, so that sums do not depend on row order."""
+    return F.col(x).cast("decimal(38,4)") if isinstance(x, str) else x.cast("decimal(38,4)")
 
 
 # --- coverage, totals -----------------------------------------------------------------------
@@ -138,9 +164,7 @@ def _dim(by: Column, name: str, field: str, default) -> Column:
 def summary(base: ReportBase) -> DataFrame:
     """Headline figures of the period in one row."""
     months = base.period.months
-    c, by = _client_totals(base.clients), _dimension_totals(base.dimensions)
-    cov = one_row(base.coverage, F.max(F.struct("*")).alias("c")).c
-    row = period_totals(base.fact, base.period).withColumn("c", c).withColumn("by", by).withColumn("cov", cov)
+    row = base.figures
     total = F.col("c.clients")
     b = F.col("by")
     real = {d: _dim(b, d, "real", 0) for d in (
@@ -164,7 +188,7 @@ def summary(base: ReportBase) -> DataFrame:
         share_pct("c.recurring", total).alias("recurring_pct"),
         ratio("c.ticket_sum", total).alias("avg_ticket"),
         ratio("c.families", total).alias("avg_families_per_client"),
-        _top_share(base.clients, 10).alias("top10_share_pct"),
+        F.col("top10").alias("top10_share_pct"),
         real["seller_name"].alias("seller_count"), real["sales_force"].alias("sales_force_count"),
         real["route_description"].alias("route_count"), real["family"].alias("family_count"),
         real["brand"].alias("brand_count"), real["business_unit"].alias("business_unit_count"),
@@ -183,9 +207,7 @@ def summary(base: ReportBase) -> DataFrame:
 def ratios(base: ReportBase) -> DataFrame:
     """Values per client, buyer and seller, concentration, breadth, portfolio shares and leakage."""
     months = base.period.months
-    c, by = _client_totals(base.clients), _dimension_totals(base.dimensions)
-    cov = one_row(base.coverage, F.max(F.struct("*")).alias("c")).c
-    row = period_totals(base.fact, base.period).withColumn("c", c).withColumn("by", by).withColumn("cov", cov)
+    row = base.figures
     total, b = F.col("c.clients"), F.col("by")
     sellers = F.greatest(_dim(b, "seller_name", "real", 0), F.lit(1))
     leak = lambda f: (100 - F.col(f"cov.{f}"))
@@ -206,7 +228,7 @@ def ratios(base: ReportBase) -> DataFrame:
         ratio("sales", "units").alias("avg_unit_price"),
         _dim(b, "sales_force", "top3_pct", 0.0).alias("top3_forces_pct"),
         _dim(b, "seller_name", "top3_pct", 0.0).alias("top3_sellers_pct"),
-        _top_share(base.clients, 10).alias("top10_clients_pct"),
+        F.col("top10").alias("top10_clients_pct"),
         _dim(b, "brand", "top1_pct", 0.0).alias("top_brand_pct"),
         _dim(b, "business_unit", "top1_pct", 0.0).alias("top_business_unit_pct"),
         _dim(b, "channel", "top1_pct", 0.0).alias("top_channel_pct"),
@@ -324,9 +346,7 @@ def forecast_summary(fact: DataFrame, period: Period) -> DataFrame:
 
 def opportunity_totals(base: ReportBase) -> DataFrame:
     """Sales that could be recovered: dormant clients, cross-selling, routes and the leading family."""
-    c, by = _client_totals(base.clients), _dimension_totals(base.dimensions)
-    row = base.coverage.select("sales_without_route").withColumn("c", c).withColumn("by", by)
-    row = row.select(
+    row = base.figures.select(F.col("cov.sales_without_route").alias("sales_without_route"), "c", "by").select(
         (F.col("c.at_risk_history") * 0.15).alias("recover_dormant"),
         (dbl("c.low_breadth") * ratio("c.sales", "c.families_min1") * 0.12).alias("cross_sell"),
         (F.col("sales_without_route") * 0.08).alias("route_optimization"),
@@ -354,11 +374,11 @@ def _none() -> Column:
 
 def alerts(base: ReportBase, limit: int = 8) -> DataFrame:
     """Alerts that fire, in rule order, with the value that triggered them."""
-    head = one_row(summary(base), F.max(F.struct("top10_share_pct", "top_brand_pct", "top_channel_pct", "route_pct", "article_pct")).alias("s")).s
-    by = _dimension_totals(base.dimensions)
+    head = one_row(base.summary, F.max(F.struct("top10_share_pct", "top_brand_pct", "top_channel_pct", "route_pct", "article_pct")).alias("s")).s
+    by = one_row(base.figures, F.first("by").alias("by")).by
     falling = base.dimensions.filter((F.col("dimension") == "family") & (to_tenth("growth_pct") <= -15))
     worst = one_row(falling, F.min(F.struct("growth_pct", "label")).alias("w")).w
-    low = one_row(base.clients, F.count_if((F.col("status") == "Activo") & (F.col("families") <= 1)).alias("n")).n
+    low = one_row(base.figures, F.max("c.low_breadth").alias("n")).n
     row = base.fact.sparkSession.range(1).select(head.alias("s"), by.alias("by"), worst.alias("w"), low.alias("low"))
     b = F.col("by")
     sellers, forces = _dim(b, "seller_name", "top3_pct", 0.0), _dim(b, "sales_force", "top3_pct", 0.0)
@@ -380,9 +400,9 @@ def alerts(base: ReportBase, limit: int = 8) -> DataFrame:
 
 def semaphores(base: ReportBase) -> DataFrame:
     """Six traffic lights; growth and projection use units when there are any."""
-    s = one_row(summary(base), F.max(F.struct(
+    s = one_row(base.summary, F.max(F.struct(
         "volume_mode", "units_growth_pct", "sales_growth_pct", "portfolio_health_pct", "route_pct", "article_pct", "seller_pct")).alias("s")).s
-    f = one_row(_forecast_row(base.fact, base.period), F.max(F.struct("volume_mode", "units_trend_pct", "trend_pct")).alias("f")).f
+    f = one_row(base.forecast, F.max(F.struct("volume_mode", "units_trend_pct", "trend_pct")).alias("f")).f
     row = base.fact.sparkSession.range(1).select(s.alias("s"), f.alias("f"))
     lights = [
         ("Evolución del período", F.when(F.col("s.volume_mode"), F.col("s.units_growth_pct")).otherwise(F.col("s.sales_growth_pct")), 0.0, 8.0),
@@ -505,10 +525,10 @@ def rankings(clients: DataFrame, dimensions: DataFrame, n: int = 10) -> DataFram
 def report_triggers(base: ReportBase) -> DataFrame:
     """Which insights and actions apply, with the figure each one states."""
     opp = one_row(opportunity_totals(base), F.max(F.struct("recover_dormant", "cross_sell", "route_optimization")).alias("o")).o
-    s = one_row(summary(base), F.max(F.struct(
+    s = one_row(base.summary, F.max(F.struct(
         "volume_mode", "units_growth_pct", "sales_growth_pct", "units_per_seller", "sales_per_seller", "top_brand_pct", "route_pct", "article_pct")).alias("s")).s
-    cov = one_row(base.coverage, F.max(F.struct("sales_without_route", "sales_without_article")).alias("c")).c
-    f = one_row(_forecast_row(base.fact, base.period), F.max(F.struct("projected_sales", "projected_units")).alias("f")).f
+    cov = one_row(base.figures, F.max(F.struct("cov.sales_without_route", "cov.sales_without_article")).alias("c")).c
+    f = one_row(base.forecast, F.max(F.struct("projected_sales", "projected_units")).alias("f")).f
     n_alerts = one_row(alerts(base), F.count("*").alias("n")).n
     row = base.fact.sparkSession.range(1).select(opp.alias("o"), s.alias("s"), cov.alias("c"), f.alias("f"), n_alerts.alias("n"))
     volume = F.col("s.volume_mode")

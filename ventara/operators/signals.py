@@ -8,6 +8,7 @@ from ventara.functions.numbers import dbl, moderated, to_tenth, traffic_light
 from ventara.operators import analyses
 from ventara.operators.core import one_row
 from ventara.operators.profile import TASKS
+from ventara.plans.session import stored
 
 # Thresholds (yellow, green); yellow above green means the scale is inverted.
 THRESHOLDS = {
@@ -25,12 +26,15 @@ def _row(df: DataFrame) -> Column:
     return one_row(df, F.max(F.struct("*")).alias("r")).r
 
 
-def headlines(fact: DataFrame, ranking_dimension: str = "client", margin_dimension: str | None = None) -> DataFrame:
+def headlines(fact: DataFrame, ranking_dimension: str = "client", margin_dimension: str | None = None, keep: bool = True) -> DataFrame:
     """One row with the summary of every analysis as a struct column.
 
-    The analyses stay independent scalar subqueries, so Spark can run them side by side and a
-    caller that reads only some columns computes only those.
+    The fact is read once and stored, the analyses are scalar subqueries that Spark runs side by side over it, and the row is
+    stored: rules name its columns many times, and each would otherwise carry a copy of the analyses. Without `keep` nothing
+    is computed here.
     """
+    if keep:
+        return stored(headlines(stored(fact), ranking_dimension, margin_dimension, keep=False))
     trend = analyses.trend_outlook(fact).orderBy("forecast_period").limit(1)
     ranking = analyses.dimension_ranking(fact, ranking_dimension)
     leader = one_row(ranking, F.min_by(F.struct("label", "share_pct"), "rank").alias("top"), F.count("*").alias("items"))

@@ -23,7 +23,7 @@ FOCUS_DIMENSIONS = {"channel": "channel", "seller": "seller_name", "family": "fa
 
 
 def _exact(c):
-    return F.col(c).cast("decimal(28,4)")
+    return F.col(c).cast("decimal(38,4)")
 
 
 def in_current(m: MonthWindow) -> Column:
