@@ -144,7 +144,7 @@ BREADTH_CTE = """breadth AS (SELECT client_key AS client, string_agg(family, ','
 @C.add("cross_sell_mix", with_fact(
     "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY breadth DESC, value DESC, client) AS rank FROM breadth) WHERE rank <= 50", BREADTH_CTE))
 def cross_sell_mix(fact):
-    top = analyses.cross_sell_mix(analyses.client_breadth(fact))
+    top = analyses.cross_sell_mix(fact)
     return top.withColumn("categories", F.array_join("categories", ","))
 
 

@@ -233,7 +233,7 @@ def cube_totals(fact):
       UNION ALL SELECT 9, 'acción', 'depurar rutas', sales_without_route, round(route_pct, 1) < 95 FROM cov
       UNION ALL SELECT 10, 'acción', 'completar artículos', sales_without_article, round(article_pct, 1) < 95 FROM cov
       UNION ALL SELECT 11, 'acción', 'revisar proyección', projected_sales, TRUE FROM fc
-      UNION ALL SELECT 12, 'acción', 'atender alerta', count(*), count(*) > 0 FROM alerts) WHERE fires""", *BASE, SUMMARY_CTE, FORECAST_CTE, OPP_CTE, ALERTS_CTE))
+      UNION ALL SELECT 12, 'acción', 'atender alerta', count(*), count(*) > 0 FROM alerts) WHERE fires""", *BASE, SUMMARY_CTE, FORECAST_CTE, OPP_CTE, ALERTS_CTE), rounded=("value",))
 def report_triggers(fact):
     return ops.report_triggers(_base(fact))
 

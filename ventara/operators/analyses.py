@@ -221,22 +221,26 @@ def churn_summary(clients: DataFrame) -> DataFrame:
 
 
 def client_breadth(fact: DataFrame, client: str = "client_key", product: str = "family", metric: str = "amount") -> DataFrame:
-    """Distinct categories and value per client. Sets are kept per (client, category) first."""
+    """Number of distinct categories and value per client, counted per (client, category) first."""
+    return _breadth(_bought(fact, client, product, metric))
+
+
+def _bought(fact: DataFrame, client: str, product: str, metric: str) -> DataFrame:
     rows = fact.select(clean(client).alias("client"), clean(product).alias("category"), F.col(metric).alias("metric"))
     rows = rows.filter((F.col("client") != "") & (F.col("category") != ""))
-    return (
-        rows.groupBy("client", "category").agg(F.sum("metric").alias("exact"))
-        .groupBy("client")
-        .agg(
-            F.sort_array(F.collect_list("category")).alias("categories"),
-            F.count("*").alias("breadth"),
-            dbl(F.sum("exact")).alias("value"),
-        )
-    )
+    return rows.groupBy("client", "category").agg(F.sum("metric").alias("exact"))
+
+
+def _breadth(bought: DataFrame) -> DataFrame:
+    return bought.groupBy("client").agg(F.count("*").alias("breadth"), dbl(F.sum("exact")).alias("value"))
 
 
-def cross_sell_mix(breadth: DataFrame, n: int = 50) -> DataFrame:
-    return ranked(breadth, n, [F.desc("breadth"), F.desc("value"), "client"])
+def cross_sell_mix(fact: DataFrame, n: int = 50, client: str = "client_key", product: str = "family", metric: str = "amount") -> DataFrame:
+    """The n clients with most categories; only theirs are listed."""
+    bought = _bought(fact, client, product, metric)
+    top = ranked(_breadth(bought), n, [F.desc("breadth"), F.desc("value"), "client"])
+    listed = bought.join(F.broadcast(top.select("client")), "client", "left_semi").groupBy("client").agg(F.sort_array(F.collect_list("category")).alias("categories"))  # n rows on the right
+    return top.join(listed, "client")
 
 
 def breadth_distribution(breadth: DataFrame) -> DataFrame:
@@ -374,7 +378,7 @@ ANALYSES = {
     "temporal_trend": lambda fact, dim: temporal_trend_by(fact, dim) if dim else temporal_trend(fact),
     "dimension_ranking": lambda fact, dim: dimension_ranking(fact, dim or "client"),
     "recurrence_churn": lambda fact, dim: churn_risk_list(churn_clients(fact, segment=dim)),
-    "cross_sell_mix": lambda fact, dim: cross_sell_mix(client_breadth(fact)),
+    "cross_sell_mix": lambda fact, dim: cross_sell_mix(fact),
     "seller_performance": lambda fact, dim: seller_performance(fact),
     "geographic_coverage": lambda fact, dim: geographic_coverage(fact),
     "margin_analysis": lambda fact, dim: margin_analysis(fact, dim),

@@ -13,6 +13,7 @@ from ventara.functions.dates import period_of, week_of
 from ventara.functions.text import blank_to_null, clean, first_text, folded, is_operational_route
 from ventara.plans.schema import ARTICLE_ATTRIBUTES
 
+# Fields of the masters.
 MASTER_FIELDS = {
     "articles": ("product_key", *ARTICLE_ATTRIBUTES),
     "sellers": ("seller_key", "seller_name", "route_description", "sales_force"),

@@ -95,6 +95,7 @@ TASKS = {
                          ("DIM_PROVEEDOR", "DIM_LINEA", "DIM_CANAL", "DIM_CLIENTE")),
     "channel_analysis": ("canal", 2, {"channel": ("DIM_CANAL",), "metric": _SALE}, ("DIM_FAMILIA", "DIM_VENDEDOR", "DIM_FUERZA")),
 }
+# Analyses that take a pair of dimensions, and the order of the domains.
 CROSSED = ("dimension_ranking",)
 DOMAINS = ("tiempo", "cartera", "territorio", "producto", "canal", "margen")
 MIN_COMBO_COVERAGE = 0.10
