@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.fixtures import Checks, with_fact
-from ventara.operators import analyses
+from ventara.operators import analyses, profile
 
 C = Checks()
 
@@ -247,3 +247,18 @@ def route_coverage_summary(fact):
       UNION ALL SELECT 'Total', TRUE, sum(amount), sum(cost), count(*) FROM fact)"""))
 def margin_by_dim(fact):
     return analyses.margin_analysis(fact, "brand")
+
+
+# --- analyses on resolved fields --------------------------------------------------------------
+
+
+@C.add("run_task", with_fact(f"""SELECT 'line' AS dataset, label, value FROM ({_perf_sql("brand")})
+    UNION ALL SELECT 'units', period, CAST(sum(quantity) AS DOUBLE) FROM fact GROUP BY period"""))
+def run_task(fact):
+    """A dataset without families, where the product slot falls to the line, and one that has units only."""
+    lined = fact.withColumn("line", F.col("brand")).drop("family", "brand")
+    slots = profile.slots_of(profile.profile(lined, ("date", "line", "product_name", "amount", "quantity")), "product_analysis")
+    units = fact.drop("amount", "period")
+    metric = profile.slots_of(profile.profile(units, ("date", "channel", "quantity")), "temporal_trend")
+    by_line = analyses.run_task(lined, "product_analysis", slots).select(F.lit("line").alias("dataset"), "label", "value")
+    return by_line.unionByName(analyses.run_task(units, "temporal_trend", metric).select(F.lit("units").alias("dataset"), F.col("period").alias("label"), "value"))

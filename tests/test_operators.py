@@ -189,3 +189,9 @@ def test_board_actions_follow_the_texts(spark):
     assert actions["Vendedores", "dependencia"] == actions["Jefatura ventas", "Vendedor a corregir"] == "meta del responsable"
     assert actions["Histórico", "caída mensual"] == "acción correctiva" and actions["Presupuesto", "último mes bajo plan"] == "ajuste de presupuesto"
     assert [r.topic for r in rows if r.area == "Histórico"] == ["caída mensual", "concentración"]
+
+
+def test_run_all_isolates_errors_of_running_analyses(spark):
+    fact = fact_of(spark, random_fact(spark, 9)).withColumn("channel", F.raise_error(F.lit("bad cell")).cast("string"))
+    frames, errors = analyses.run_all(fact, ("temporal_trend", "channel_analysis"), keep=True)
+    assert set(frames) == {"temporal_trend"} and set(errors) == {"channel_analysis"}

@@ -12,6 +12,7 @@ from ventara.functions.text import clean
 from ventara.operators.core import (
     amount_where, client_status, money, one_row, purchase_gaps, ranked, status_rank, usual_values,
 )
+from ventara.plans.session import stored
 
 # Routes counted as not covered.
 UNCOVERED_ROUTES = ("", "sin ruta")
@@ -397,12 +398,32 @@ def run_analysis(fact: DataFrame, name: str, dim_a: str | None = None, dim_b: st
     return ANALYSES[name](fact, dim_a)
 
 
-def run_all(fact: DataFrame, names=tuple(ANALYSES)) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Lazy frames for every analysis that the fact's columns allow, and the reason for each that failed."""
+# The column an analysis reads for each slot.
+SLOT_COLUMNS = {
+    "date": "date", "metric": "amount", "client": "client_key", "product": "family", "seller": "seller_name", "route": "route_description",
+    "sales_force": "sales_force", "channel": "channel", "revenue": "amount", "cost": "cost",
+}
+
+
+def run_task(fact: DataFrame, name: str, slots: dict[str, str], dim_a: str | None = None, dim_b: str | None = None) -> DataFrame:
+    """One analysis on the fields that its slots were resolved to (see profile.slots_of)."""
+    columns = {SLOT_COLUMNS[slot]: F.col(f"`{field}`") for slot, field in slots.items()}
+    if "date" in slots and "period" not in fact.columns:
+        columns["period"] = F.date_format(F.col(f"`{slots['date']}`"), "yyyy-MM")
+    return run_analysis(fact.withColumns(columns), name, dim_a, dim_b)
+
+
+def run_all(fact: DataFrame, names=tuple(ANALYSES), slots: dict[str, dict] | None = None, keep: bool = False) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Frames of every analysis that the fact's columns allow, and the reason for each that failed.
+
+    With `slots` the analyses run on their resolved fields. With `keep` each is computed and stored here, so that an error while it
+    runs is caught as well and the others go on.
+    """
     frames, errors = {}, {}
     for name in names:
         try:
-            frames[name] = run_analysis(fact, name)
+            frame = run_task(fact, name, slots[name]) if slots and name in slots else run_analysis(fact, name)
+            frames[name] = stored(frame) if keep else frame
         except Exception as error:  # noqa: BLE001 - one analysis must not stop the others
             errors[name] = str(error).splitlines()[0]
     return frames, errors

@@ -280,6 +280,11 @@ def resolve_slots(profiled: DataFrame) -> DataFrame:
     return slots.join(available_analyses(profiled), "analysis", "left_semi").join(blocked, "analysis", "left_anti").select("analysis", "slot", "field")
 
 
+def slots_of(profiled: DataFrame, analysis: str) -> dict[str, str]:
+    """The fields an analysis runs on, by slot; empty when it cannot run. A few rows at most."""
+    return {r["slot"]: r["field"] for r in resolve_slots(profiled).filter(F.col("analysis") == analysis).collect() if r["field"]}
+
+
 def tasks(profiled: DataFrame) -> DataFrame:
     """Analyses that can run, by domain and priority."""
     catalog = [(a, d, DOMAINS.index(d), p, i) for i, (a, (d, p, _, _)) in enumerate(TASKS.items())]
