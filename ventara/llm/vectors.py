@@ -77,14 +77,18 @@ def clean(df: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def balls(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, leader, v): leaders lead themselves, and have the smallest id of their ball."""
-    state = scratch.keep(vectors.select("id", F.col("id").alias("leader"), "v"))
+    """(id, leader, v, cos): leaders lead themselves, and have the smallest id of their ball; cos is that to the leader."""
+    state = scratch.keep(vectors.select("id", F.col("id").alias("leader"), "v", F.lit(1.0).alias("cos")))
     for turn in range(ROUNDS):
         active = scratch.keep(sketched(state.where("id = leader"), turn))
         bosses = active.groupBy("sketch").agg(F.min("id").alias("boss"), F.count("*").alias("n")).where("n > 1").join(active.select(F.col("id").alias("boss"), F.col("v").alias("bv")), "boss")
         moves = scratch.keep(active.join(bosses.select("sketch", "boss", "bv"), "sketch").where(F.col("id") != F.col("boss")).where(_dot("v", "bv") >= TIGHT).select(F.col("id").alias("leader"), "boss", "bv"))
-        near = F.when(F.col("boss").isNull(), F.col("leader")).when(_dot("v", "bv") >= TIGHT, F.col("boss")).otherwise(F.col("id"))
-        state = scratch.keep(state.join(moves, "leader", "left").select("id", near.alias("leader"), "v"))
+        stays, close = F.col("boss").isNull(), F.col("near") >= TIGHT
+        moved = state.join(moves, "leader", "left").withColumn("near", F.when(F.col("boss").isNotNull(), _dot("v", "bv")))
+        state = scratch.keep(moved.select(
+            "id", F.when(stays, F.col("leader")).when(close, F.col("boss")).otherwise(F.col("id")).alias("leader"), "v",
+            F.when(stays, F.col("cos")).when(close, F.col("near")).otherwise(1.0).alias("cos"),
+        ))
     return state
 
 
@@ -262,8 +266,7 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
     scratch = Scratch(df.sparkSession, "vectors")
     members = balls(clean(df, id_column, vector), scratch)
     own = members.where("id = leader").select(F.col("id").alias("leader"), F.col("v").alias("lv"))
-    width = F.acos(F.least(_dot("v", "lv"), F.lit(1.0)))
-    stats = members.join(own, "leader").groupBy("leader").agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == F.col("leader"), 0.0).otherwise(width)).alias("radius"))
+    stats = members.groupBy("leader").agg(F.count("*").alias("n"), F.max(F.acos(F.least("cos", F.lit(1.0)))).alias("radius"))
     leaders = scratch.keep(stats.join(own, "leader").select(F.col("leader").alias("id"), F.col("lv").alias("v"), "n", "radius"))
     links, recall = descend(leaders, scratch)
     found = scratch.keep(_member_links(links, members, leaders))
