@@ -99,8 +99,8 @@ def usual_values(combos: DataFrame, key: str, fields, prefer: str | None = None)
 def client_stats(fact: DataFrame, period: Period) -> DataFrame:
     """One row per client: recency, status, sales of the periods, orders, breadth and usual owner.
 
-    Three aggregations share the client key, so their joins need no further shuffle: measures and
-    distinct counts, the client's name and usual owner (from counted combinations), and the gaps.
+    The aggregations share the client key, so their joins need no further shuffle: measures, distinct counts, the
+    client's name and usual owner (from counted combinations), and the gaps.
     """
     seen = F.col("date") <= day(period.selected_end)
     owner = ("sales_force", "route_description", "seller_name")
@@ -117,12 +117,15 @@ def client_stats(fact: DataFrame, period: Period) -> DataFrame:
         amount_where(F.col("prev"), "quantity").alias("prev_units"),
         amount_where(F.col("seen"), "quantity").alias("all_units"),
         F.count_if("cur").alias("cur_rows"),
-        F.count_distinct(F.when(F.col("cur"), F.col("period"))).alias("months_active"),
-        F.count_distinct(F.when(F.col("cur"), F.col("invoice"))).alias("cur_orders"),
-        F.count_distinct(F.when(F.col("seen"), F.col("invoice"))).alias("all_orders"),
-        F.count_distinct(F.when(F.col("cur"), real_family)).alias("cur_families"),
-        F.count_distinct(F.when(F.col("seen"), real_family)).alias("all_families"),
     )
+    # Distinct values: reduced per (client, value) first, then counted, both by plain aggregates.
+    values = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("month", F.col("period")), ("order", F.col("invoice")), ("family", real_family))])
+    reduced = rows.select("client_key", "cur", "seen", F.inline(values)).filter(F.col("value").isNotNull()).groupBy("client_key", "field", "value").agg(F.bool_or("cur").alias("cur"), F.bool_or("seen").alias("seen"))
+    number = lambda field, when: F.count_if((F.col("field") == field) & F.col(when))
+    distinct = reduced.groupBy("client_key").agg(
+        number("month", "cur").alias("months_active"), number("order", "cur").alias("cur_orders"), number("order", "seen").alias("all_orders"),
+        number("family", "cur").alias("cur_families"), number("family", "seen").alias("all_families"))
+    totals = totals.join(distinct, "client_key", "left").na.fill(0, ["months_active", "cur_orders", "all_orders", "cur_families", "all_families"])
     combos = fact.select("client_key", "client", *[label_of(f).alias(f) for f in owner], F.when(seen, F.col("date")).alias("day")).groupBy(
         "client_key", "client", *owner).agg(F.count("*").alias("n"), F.max("day").alias("day"))
     names = combos.groupBy("client_key").agg(F.max(F.when(F.col("day").isNotNull(), F.struct("day", "client"))).alias("last"))
@@ -162,13 +165,12 @@ def dimension_stats(fact: DataFrame, period: Period, dimensions=REPORT_DIMENSION
         order_key().alias("order_key"),
     )
     long = unpivot_dimensions(rows, dimensions, ["cur", "prev", "order_key", "client_key", "amount", "quantity"])
-    stats = long.groupBy("dimension", "label").agg(
-        amount_where(cur).alias("sales"),
-        amount_where(prev).alias("previous_sales"),
-        F.count_distinct(F.when(cur, F.col("client_key"))).alias("clients"),
-        F.count_distinct(F.when(cur, F.col("order_key"))).alias("orders"),
-        amount_where(cur, "quantity").alias("quantity"),
-    )
+    # Orders, then clients, then labels: each level is a plain aggregate, and an order belongs to one client.
+    by_order = long.groupBy("dimension", "label", "client_key", "order_key").agg(
+        amount_where(cur).alias("sales"), amount_where(prev).alias("previous_sales"), amount_where(cur, "quantity").alias("quantity"), F.bool_or(cur).alias("cur"))
+    sums = [F.sum(c).alias(c) for c in ("sales", "previous_sales", "quantity")]
+    by_client = by_order.groupBy("dimension", "label", "client_key").agg(*sums, F.count_if(F.col("cur") & F.col("order_key").isNotNull()).alias("orders"), F.bool_or("cur").alias("cur"))
+    stats = by_client.groupBy("dimension", "label").agg(*sums, F.count_if(F.col("cur") & F.col("client_key").isNotNull()).alias("clients"), F.sum("orders").alias("orders"))
     return stats.select(
         "*",
         ratio("sales", "orders").alias("avg_order_value"),
