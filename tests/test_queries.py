@@ -38,6 +38,11 @@ def test_reports_read_the_fact_once(spark, sf_dir, name):
     assert plan.count("lineitem.parquet") <= 1
 
 
+@pytest.mark.parametrize("name", ("client_stats", "dimension_stats", "consistency_totals"))
+def test_distinct_counts_do_not_expand_the_fact(spark, sf_dir, name):
+    assert "Expand" not in entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_date_filters_reach_the_scan(spark, sf_dir):
     plan = entry.queries()["coverage"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan

@@ -3,23 +3,24 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ventara.functions.numbers import dbl, ratio, share_pct, to_tenth
+from ventara.operators.core import one_row
 
 
 def consistency_totals(rows: DataFrame) -> DataFrame:
-    """Totals, distinct counts, coverage and row defects in one aggregation.
+    """Totals, distinct counts, coverage and row defects.
 
-    Duplicates are the rows beyond the first of each fact key, that is rows minus distinct keys.
+    Distinct values are reduced per (field, value) first and counted per field, so no task gathers them all. Duplicates are the rows beyond the first of each fact key, that is rows minus distinct keys.
     """
     total = F.count("*")
+    fields = {"clients": F.nullif("client_key", F.lit("")), "sellers": F.col("seller_name"), "routes": F.col("route_description"), "products": F.nullif("product_key", F.lit("")), "keys": F.col("fact_key")}
+    values = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in fields.items()]))
+    counted = rows.select(values).filter(F.col("value").isNotNull()).distinct().groupBy("field").agg(F.count("*").alias("n"))
+    numbers = one_row(counted, *[F.coalesce(F.max(F.when(F.col("field") == n, F.col("n"))), F.lit(0)).alias(n) for n in fields])
     row = rows.agg(
         total.alias("rows"),
         dbl(F.coalesce(F.sum("amount"), F.lit(0))).alias("sales"),
         dbl(F.coalesce(F.sum("quantity"), F.lit(0))).alias("quantity"),
-        F.count_distinct(F.nullif("client_key", F.lit(""))).alias("clients"),
-        F.count_distinct("seller_name").alias("sellers"),
-        F.count_distinct("route_description").alias("routes"),
-        F.count_distinct(F.nullif("product_key", F.lit(""))).alias("products"),
-        (F.count("fact_key") - F.count_distinct("fact_key")).alias("duplicates"),
+        F.count("fact_key").alias("keyed"),
         share_pct(F.count("route_description"), total).alias("route_pct"),
         share_pct(F.count("seller_name"), total).alias("seller_pct"),
         share_pct(F.count_if("has_article_match"), total).alias("article_pct"),
@@ -28,6 +29,7 @@ def consistency_totals(rows: DataFrame) -> DataFrame:
         F.count_if(F.abs(F.coalesce("amount", F.lit(0))) < 0.0001).alias("zero_rows"),
         F.count_if(F.col("amount") < 0).alias("negative_rows"),
     )
+    row = row.select("*", *[numbers[n].alias(n) for n in fields if n != "keys"], (F.col("keyed") - numbers["keys"]).alias("duplicates")).drop("keyed")
     return row.select(
         "*", ratio("clients", "routes").alias("clients_per_route"),
         share_pct("duplicates", "rows").alias("duplicate_pct"), share_pct("dated_rows", "rows").alias("dated_pct"),
