@@ -18,7 +18,7 @@ def test_parse_number_follows_the_last_mark(spark):
 
 def test_parse_erp_number_groups_with_dots(spark):
     got = values(spark, ["1.234,56", "1,234.56", "12.5", "12,5", "x"], numbers.parse_erp_number)
-    assert [None if g is None else float(g) for g in got] == [1234.56, 1.2346, 12.5, 12.5, None]
+    assert [None if g is None else float(g) for g in got] == [1234.56, 1.23456, 12.5, 12.5, None]
 
 
 def test_erp_key(spark):
