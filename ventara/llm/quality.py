@@ -130,9 +130,9 @@ def fit(df: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text: str
         own = own.distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(SAMPLE)
         picked = own if picked is None else picked.union(own)
     narrow = df.select(df[id_column].alias("sample_id"), df[text].alias("sample_text"))
-    rows = map_values(narrow.join(F.broadcast(picked), "sample_id"), ["sample_id", "sample_label"], "sample_text", [("own", "array<bigint>"), ("n", "array<bigint>")], lambda texts: list(zip(*map(terms, texts), strict=True)))
+    rows = map_values(narrow.join(F.broadcast(picked), "sample_id"), ["sample_id", "sample_label"], "sample_text", [("own", "binary"), ("n", "binary")], lambda texts: list(zip(*([x.astype("<i8").tobytes() for x in terms(t)] for t in texts), strict=True)))
     rows = sorted(rows.dropDuplicates(["sample_id"]).collect(), key=lambda r: r["sample_id"])
-    kept = [(np.array(r["own"], np.int64), _weights(np.array(r["own"], np.int64), np.array(r["n"], np.int64), idf)) for r in rows]
+    kept = [(own, _weights(own, np.frombuffer(r["n"], "<i8"), idf)) for r in rows for own in [np.frombuffer(r["own"], "<i8")]]
     labels = np.array([r["sample_label"] for r in rows], np.float32)
     size = min(DIMENSIONS, len(kept))
     if not size:
