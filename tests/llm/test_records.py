@@ -128,6 +128,31 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _group(n, noise=0.186, size=64, seed=5):
+    """Unit vectors whose cosines are about 1 / (1 + noise ** 2): linked, but in no ball."""
+    rng = np.random.default_rng(seed)
+    base, more = rng.standard_normal(size), rng.standard_normal((n, size))
+    base /= np.linalg.norm(base)
+    more -= np.outer(more @ base, base)
+    rows = base + noise * more / np.linalg.norm(more, axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _leaders(spark, rows):
+    return spark.createDataFrame([(k, [float(x) for x in v], 1, 0.0) for k, v in enumerate(rows)], "id long, v array<double>, n long, radius double")
+
+
+def test_longer_lists_fill(spark):
+    rows = _group(30)
+    near = rows @ rows.T
+    np.fill_diagonal(near, -2)
+    graph = spark.createDataFrame([(k, int(j), float(near[k, j])) for k in range(30) for j in np.argsort(-near[k])[:6]], "src long, dst long, sim double")
+    leaders = _leaders(spark, rows)
+    sizes = leaders.selectExpr("id", "12 as size")
+    lists = vectors._best(graph.union(vectors._refined(graph, leaders, sizes)), sizes).groupBy("src").count().collect()
+    assert [r["count"] for r in lists] == [12] * 30
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 200 + k) for k in range(40)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)] + [(None, 1), (5, 5)]

@@ -135,25 +135,33 @@ def _block_edges(leaders: DataFrame, seed: int) -> DataFrame:
     return ordered.select("id", "v").mapInArrow(run, "src bigint, dst bigint, sim double")
 
 
-def _refined(graph: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(src, dst, sim): better entries found by comparing each vector's neighbours, in both directions, with each other."""
-    back = graph.withColumn("rank", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("sim"), "src"))).where(F.col("rank") <= NEIGHBOURS)
+def _refined(graph: DataFrame, leaders: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(src, dst, sim): better entries found by comparing each vector's neighbours, in both directions, with each other.
+
+    A list with free places takes any entry, a full one only those above its last.
+    """
+    listed = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
+    held = sizes.select("id", "size").join(listed.withColumnRenamed("src", "id"), "id", "left")
+    bounds = held.select("id", "size", F.when(F.col("n") >= F.col("size"), F.col("worst")).otherwise(-2.0).alias("worst"))
+    back = graph.withColumn("rank", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("sim"), "src"))).join(sizes.select(F.col("id").alias("dst"), "size"), "dst").where(F.col("rank") <= F.col("size"))
     own = graph.select("src").distinct().select(F.col("src").alias("v_id"), F.col("src").alias("u"))
     around = graph.select(F.col("src").alias("v_id"), F.col("dst").alias("u")).union(back.select(F.col("dst").alias("v_id"), F.col("src").alias("u"))).union(own).distinct()
-    worst = graph.groupBy("src").agg(F.min("sim").alias("worst"))
-    points = leaders.join(worst.withColumnRenamed("src", "id"), "id", "left").select(F.col("id").alias("u"), F.transform("v", lambda x: x.cast("float")).alias("v"), F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    met = around.join(points, "u").groupBy("v_id").agg(F.collect_list(F.struct("u", "v", "worst")).alias("met"))  # at most the list twice and itself
+    points = leaders.join(bounds, "id").select(F.col("id").alias("u"), F.transform("v", lambda x: x.cast("float")).alias("v"), "worst", "size")
+    met = around.join(points, "u").groupBy("v_id").agg(F.collect_list(F.struct("u", "v", "worst", "size")).alias("met"))  # at most the list twice and itself
 
     def run(batches):
         for batch in batches:
             src, dst, sims = [], [], []
             for entries in batch.column(0):
                 item = entries.values
-                u, worst = item.field("u").to_numpy(), item.field("worst").to_numpy()
+                u, worst, size = (item.field(x).to_numpy() for x in ("u", "worst", "size"))
                 m = item.field("v").flatten().to_numpy().reshape(len(u), -1)
                 near = (m @ m.T).astype(np.float64)
                 np.fill_diagonal(near, -2)
-                i, j = np.nonzero(near > worst[:, None] + 1e-6)
+                # of these entries a list can take no more than its size
+                top = np.zeros(near.shape, bool)
+                np.put_along_axis(top, np.argsort(-near, axis=1), np.arange(len(u)) < size[:, None], axis=1)
+                i, j = np.nonzero(top & (near > worst[:, None] + 1e-6))
                 src.append(u[i])
                 dst.append(u[j])
                 sims.append(near[i, j])
@@ -182,7 +190,7 @@ def descend(leaders: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
     known, recall = links.count(), 1.0
     for audit in range(AUDITS):
         for _ in range(TURNS):
-            graph = scratch.keep(_best(graph.select("src", "dst", "sim").union(_refined(graph, leaders)), sizes))
+            graph = scratch.keep(_best(graph.select("src", "dst", "sim").union(_refined(graph, leaders, sizes)), sizes))
             close = reach(graph, "src", "dst")
             links = scratch.keep(links.union(close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))).distinct())
             full = close.groupBy("src").agg(F.count("*").alias("n")).join(sizes.withColumnRenamed("id", "src"), "src").where("n >= size").select(F.col("src").alias("id"), F.lit(True).alias("full"))
