@@ -153,6 +153,31 @@ def test_longer_lists_fill(spark):
     assert [r["count"] for r in lists] == [12] * 30
 
 
+def test_dense_group_without_audit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_audited", lambda leaders, turn: leaders.selectExpr("id as a", "id as b").where("false"))
+    rows = np.concatenate([_group(200, 0.17), np.random.default_rng(6).standard_normal((150, 64))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    near = np.triu(rows @ rows.T, 1)
+    assert (near >= 0.95).sum() == (near >= 0.9499).sum() == 19_900 and near.max() < vectors.TIGHT
+    scratch = Scratch(spark, "test")
+    links, _ = vectors.descend(scratch.keep(_leaders(spark, rows)), scratch)
+    assert {(r["a"], r["b"]) for r in links.collect()} == set(zip(*(x.tolist() for x in np.nonzero(near >= 0.95)), strict=True))
+    scratch.drop()
+
+
+def test_low_recall_compares_all(spark, monkeypatch):
+    # pairs in different blocks of tiny lists: the audits see what the lists lack
+    monkeypatch.setattr(vectors, "AUDITS", 1)
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    rows = np.repeat(np.random.default_rng(7).standard_normal((60, 64)), 2, axis=0) + 0.1 * np.random.default_rng(8).standard_normal((120, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    monkeypatch.setattr(vectors, "AUDITED", 5)
+    scratch = Scratch(spark, "test")
+    links, recall = vectors.descend(scratch.keep(_leaders(spark, rows)), scratch)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(k, k + 1) for k in range(0, 120, 2)} and recall == 1.0
+    scratch.drop()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 200 + k) for k in range(40)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)] + [(None, 1), (5, 5)]

@@ -4,13 +4,15 @@ Vectors whose cosine to a leader is at least that of half the link angle are all
 needs no pairs: leaders are found in rounds of sign sketches, each bucket's smallest leader taking in what is close enough.
 The leaders' neighbour graph is refined by NN-descent: lists start from blocks of sketch-sorted vectors, then each vector compares its
 neighbours with each other (neighbours of neighbours), and every list keeps its best. A list whose last entry may still be
-a link is saturated and doubles. A brute-force audit of a sample measures recall, and below the goal lists double and the descent goes
-on. Edges within reach of a link are kept; where balls are involved, their members are compared in blocks.
+a link is saturated and doubles; a leader whose longest list is saturated is compared with all others. A brute-force audit of a sample
+measures recall, and below the goal lists double, new orders come in and the descent goes on; where that does not reach the goal, all
+leaders are compared. Edges within reach of a link are kept; where balls are involved, their members are compared in blocks.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,15 @@ from ventara.llm.components import components
 #: Smallest cosine of a link, rounds and sign bits of the leader search.
 COSINE, ROUNDS, BITS = 0.95, 8, 20
 
-#: Neighbours of a list at first, sorted orders it starts from and rows of their blocks, most descent turns between two audits.
-NEIGHBOURS, ORDERS, BLOCK, TURNS = 6, 4, 64, 3
+#: Neighbours of a list at first, sorted orders it starts from and rows of their blocks, and share of new links below which a turn is the last before an audit.
+NEIGHBOURS, ORDERS, BLOCK, GROWTH = 6, 4, 64, 0.001
 
-#: Vectors of an audit, recall to reach, and audits after which the descent ends.
+#: Vectors of an audit, recall to reach, and audits after which all leaders are compared.
 AUDITED, RECALL, AUDITS = 200, 0.98, 4
 
+#: Entries of the longest list, and leaders that are compared with all others at a time.
+LONGEST, PART = 48, 1000
+
 LIMIT = math.acos(COSINE)
 #: A little inside half the angle, so that rounding never links two members of a ball wrongly.
 TIGHT = math.cos(LIMIT / 2 - 1e-7)
@@ -177,63 +182,91 @@ def _reach(a: str = "ra", b: str = "rb"):
 
 
 def descend(leaders: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
-    """(a, b) with a < b: leaders (id, v, radius) whose balls may hold links; and the recall of the last audit."""
+    """(a, b) with a < b: leaders (id, v, radius) whose balls may hold links; and the recall of the last audit, without the audits' own pairs.
+
+    Ends when no list is saturated and the recall is reached. A saturated list of LONGEST entries is given up: its leader is
+    compared with all. So are all leaders that are left when AUDITS audits stay below the recall.
+    """
     radii = leaders.select("id", "radius")
     reach = lambda e, x, y: e.join(radii.select(F.col("id").alias(x), F.col("radius").alias("ra")), x).join(radii.select(F.col("id").alias(y), F.col("radius").alias("rb")), y).where(F.col("sim") >= _reach() - 1e-5)
-    sizes = scratch.keep(leaders.select("id", F.lit(NEIGHBOURS).alias("size")))
-    start = None
-    for k in range(ORDERS):
-        part = _block_edges(leaders, 100 + k)
-        start = part if start is None else start.union(part)
-    graph = scratch.keep(_best(start, sizes))
-    links = scratch.keep(reach(graph, "src", "dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    known, recall = links.count(), 1.0
-    for audit in range(AUDITS):
-        for _ in range(TURNS):
-            graph = scratch.keep(_best(graph.select("src", "dst", "sim").union(_refined(graph, leaders, sizes)), sizes))
-            close = reach(graph, "src", "dst")
-            links = scratch.keep(links.union(close.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))).distinct())
-            full = close.groupBy("src").agg(F.count("*").alias("n")).join(sizes.withColumnRenamed("id", "src"), "src").where("n >= size").select(F.col("src").alias("id"), F.lit(True).alias("full"))
-            sizes = scratch.keep(sizes.join(full, "id", "left").select("id", F.when(F.col("full"), F.col("size") * 2).otherwise(F.col("size")).alias("size"), "full"))
-            saturated, now = sizes.where("full").count(), links.count()
-            sizes = sizes.drop("full")
-            if not saturated and now == known:
-                break
-            known = now
+    pairs = lambda e: e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    # whole: the leader has been compared with all
+    sizes = scratch.keep(leaders.select("id", F.lit(NEIGHBOURS).alias("size"), F.lit(False).alias("whole")))
+    graph = scratch.keep(_best(_starts(leaders, 0), sizes))
+    links = scratch.keep(pairs(reach(graph, "src", "dst")).distinct())
+    known, audit, extra = links.count(), 0, None
+    while True:
+        graph = scratch.keep(_best(graph.select("src", "dst", "sim").union(_refined(graph, leaders, sizes)), sizes))
+        close = reach(graph, "src", "dst")
+        links = scratch.keep(links.union(pairs(close)).distinct())
+        full = close.groupBy("src").agg(F.count("*").alias("n")).join(sizes.withColumnRenamed("id", "src"), "src").where("n >= size and not whole").select(F.col("src").alias("id"), F.lit(True).alias("full"))
+        held = scratch.keep(sizes.join(full, "id", "left").withColumn("due", F.col("full").isNotNull() & (F.col("size") >= LONGEST)))
+        saturated, due = held.where("full").count(), held.where("due")
+        if not due.isEmpty():
+            links = scratch.keep(links.union(_compared(leaders, due, scratch)).distinct())
+        longer = F.when(F.col("full") & ~F.col("due"), F.col("size") * 2).otherwise(F.col("size"))
+        sizes = scratch.keep(held.select("id", longer.alias("size"), (F.col("whole") | F.col("due")).alias("whole")))
+        before, known = known, links.count()
+        if saturated or known - before > known * GROWTH:
+            continue
         true = scratch.keep(_audited(leaders, audit))
         total = true.count()
         hit = true.join(links, ["a", "b"], "left_semi").count()
         recall = hit / total if total else 1.0
-        links = scratch.keep(links.union(true).distinct())
-        known = links.count()
+        extra = true if extra is None else extra.union(true)
+        audit += 1
         if recall >= RECALL:
-            break
-        sizes = scratch.keep(sizes.select("id", (F.col("size") * 2).alias("size")))
-    return links, recall
+            return scratch.keep(links.union(extra).distinct()), recall
+        if audit == AUDITS:
+            return scratch.keep(links.union(_compared(leaders, sizes.where("not whole"), scratch)).distinct()), 1.0
+        # longer lists, and new orders that bring what no neighbour of a neighbour leads to
+        sizes = scratch.keep(sizes.select("id", F.least(F.col("size") * 2, F.lit(LONGEST)).alias("size"), "whole"))
+        graph = scratch.keep(_best(graph.select("src", "dst", "sim").union(_starts(leaders, audit)), sizes))
+
+
+def _starts(leaders: DataFrame, turn: int) -> DataFrame:
+    """(src, dst, sim) of the blocks of ORDERS sorted orders, others at each turn."""
+    parts = [_block_edges(leaders, 100 + turn * ORDERS + k) for k in range(ORDERS)]
+    return reduce(DataFrame.union, parts)
 
 
 def _audited(leaders: DataFrame, turn: int) -> DataFrame:
     """(a, b) of all pairs within reach that have one of AUDITED leaders (a bounded sample by hash), by brute force."""
-    sample = [(r["id"], np.array(r["v"]), r["radius"]) for r in leaders.orderBy(F.xxhash64(F.lit(turn), "id"), "id").limit(AUDITED).collect()]
-    held = leaders.sparkSession.sparkContext.broadcast(sample)
+    return _against(leaders, leaders.orderBy(F.xxhash64(F.lit(turn), "id"), "id").limit(AUDITED)).distinct()
+
+
+def _compared(leaders: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of all pairs within reach that have a leader of `some` (id): about PART of these at a time with all leaders."""
+    parts = max(1, -(-some.count() // PART))
+    chosen = scratch.keep(leaders.join(some.select("id"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))))
+    found = [scratch.keep(_against(leaders, chosen.where(F.col("part") == k)).distinct()) for k in range(parts)]
+    return reduce(DataFrame.union, found)
+
+
+def _against(leaders: DataFrame, few: DataFrame) -> DataFrame:
+    """(a, b) of all pairs within reach of the leaders `few`, which are gathered, with all leaders."""
+    by_size: dict[int, list] = {}
+    for r in few.select("id", "v", "radius").collect():
+        by_size.setdefault(len(r["v"]), []).append((r["id"], np.array(r["v"]), r["radius"]))
+    packed = {d: (np.array([x[0] for x in own]), np.stack([x[1] for x in own]), np.array([x[2] for x in own])) for d, own in by_size.items()}
+    held = leaders.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        for batch in batches:
-            ids, rows, radii = batch.column(0).to_numpy(), _rows(batch.column(1)), batch.column(2).to_numpy()
-            sizes = np.array([len(r) for r in rows])
-            a, b = [], []
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                m = np.stack([rows[k] for k in at])
-                for own, v, radius in held.value:
-                    if len(v) == d:
-                        found = ids[at][(m @ v >= np.cos(np.minimum(LIMIT + radius + radii[at], math.pi))) & (ids[at] != own)]
-                        a.append(np.minimum(found, own))
-                        b.append(np.maximum(found, own))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return leaders.select("id", "v", "radius").mapInArrow(run, "a bigint, b bigint").distinct()
+        for whole in batches:
+            for start in range(0, whole.num_rows, PART):
+                batch = whole.slice(start, PART)
+                ids, rows, radii = batch.column(0).to_numpy(), _rows(batch.column(1)), batch.column(2).to_numpy()
+                sizes = np.array([len(r) for r in rows])
+                for d in np.unique(sizes):
+                    if d not in held.value:
+                        continue
+                    at, (own, vectors, wide) = np.flatnonzero(sizes == d), held.value[d]
+                    least = np.cos(np.minimum(LIMIT + SLACK + radii[at][:, None] + wide, math.pi))
+                    i, j = np.nonzero((np.stack([rows[k] for k in at]) @ vectors.T >= least - 1e-9) & (ids[at][:, None] != own))
+                    a, b = ids[at][i], own[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return leaders.select("id", "v", "radius").mapInArrow(run, "a bigint, b bigint")
 
 
 def _member_links(links: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
