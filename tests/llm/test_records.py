@@ -95,6 +95,21 @@ def test_pages(spark, sf_dir):
         html.main_text("".join(rng.choice(["<", ">", '"', "'", "a", "<p>", "</p>", '<div class="ad', "<!--", "-->", "&amp", "<script>", "<b>", "=", "</"]) for _ in range(50)))
 
 
+_PROSE = "A sentence of some length, with marks; and more of it, to be sure."
+
+
+def test_story_beside_a_marked_teaser():
+    story = " ".join([_PROSE] * 8)
+    page = f"<article><p>Teaser</p></article><div><p>{story}</p><p>{story}</p></div>"
+    assert html.main_text(page).endswith(f"{story}\n\n{story}")
+
+
+def test_words_do_not_remove_the_story():
+    for words in ("has-sidebar", "entry-content has-sidebar", "post comments-open", "elementor-widget", "widget"):
+        assert html.main_text(f"<div class='{words}'><article><p>{_PROSE}</p></article></div>") == _PROSE
+        assert html.main_text(f"<div class='{words}'><p>{_PROSE}</p></div><div class='ad'><p>Buy it, now.</p></div>") == _PROSE
+
+
 def _components(ids, linked):
     comp = np.array(ids)
     while True:

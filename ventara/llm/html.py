@@ -3,7 +3,7 @@
 Every text node has a root-to-leaf tag path. Per path the text length and the punctuation are summed and divided by the number
 of nodes. The two ratios are smoothed along the text nodes of one container (a title takes part in the paragraphs beside it),
 fused, and the paths above a share of the page's best value are content. Elements that are never part of an article by their
-tag, class, id or role are left out before, and where a page marks its article, only that is looked at.
+tag are left out before. Words in class, id or role lower the value of what an element holds, <article> and <main> raise it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame
 
 from ventara.llm.base import map_values
 
-#: Share of the best fused value that a path needs, in a page and in a marked article, and weights of the neighbours at distance 0, 1 and 2 in the smoothing.
-SHARE, SHARE_MARKED, KERNEL = 0.25, 0.02, (0.4, 0.24, 0.06)
+#: Share of the best value that a path needs, and weights of the neighbours at distance 0, 1 and 2 in the smoothing.
+SHARE, KERNEL = 0.25, (0.4, 0.24, 0.06)
+
+#: What a marked article adds to a fused value, in best fused values of the page, and factors where a word is a whole class or a part of one.
+MARKING, WHOLE_WORD, PART_WORD = 3.2, 0.1, 0.5
+
+#: How many times the text of the page's marked articles an element with such words must hold to be spared beside them.
+OUTWEIGH = 4
 
 #: Elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,7 +33,7 @@ APART = frozenset("nav footer header aside form head menu dialog button fieldset
 MARKED = frozenset("article main".split())
 #: An element that starts closes these open ones.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
-#: Words in class, id or role that set an element apart.
+#: Words in class, id or role that speak against an element.
 APART_WORDS = re.compile(
     r"(?i)(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|replies|respond|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|contentinfo|complementary|masthead|site-header|page-header)(?![a-z])"
 )
@@ -39,17 +45,31 @@ _HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、\"'()«»„“”]")
 
 
-def text_nodes(source: str) -> list[tuple[int, tuple, tuple, bool, str]]:
-    """(block number, path, container, inside a marked article, text) of every text node that is not set apart."""
+def _against(words: str) -> float:
+    """Factor by which the words of an element lower what it holds."""
+    if not APART_WORDS.search(words):
+        return 1.0
+    return WHOLE_WORD if any(APART_WORDS.fullmatch(x) for x in words.split()) else PART_WORD
+
+
+def text_nodes(source: str) -> list[tuple[int, tuple, tuple, float, str]]:
+    """(block number, path, container, factor by the words round it, text) of every text node that is not set apart.
+
+    Words do not count for an element that holds a marked article, or most of the page's punctuated text and OUTWEIGH times the text of marked articles.
+    """
     nodes: list = []
-    stack: list[tuple[str, bool]] = []  # element, set apart
+    stack: list[tuple[str, bool, int]] = []  # element, set apart, number among those with words or -1
+    factors: list[float] = []  # of the elements with words
+    named: tuple = ()
     apart = marked = block = at = 0
     n = len(source)
     path: tuple = ()
 
     def pop() -> None:
-        nonlocal apart, marked
-        name, out = stack.pop()
+        nonlocal apart, marked, named
+        name, out, number = stack.pop()
+        if number >= 0:
+            named = named[:-1]
         apart -= out
         marked -= name in MARKED
 
@@ -66,7 +86,7 @@ def text_nodes(source: str) -> list[tuple[int, tuple, tuple, bool, str]]:
             container = len(path)
             while container and path[container - 1] not in _CONTAINERS:
                 container -= 1
-            nodes.append((block, path, path[:container], marked > 0, html.unescape(text)))
+            nodes.append((block, path, path[:container], named, html.unescape(text)))
 
     while at < n:
         lt = source.find("<", at)
@@ -96,7 +116,7 @@ def text_nodes(source: str) -> list[tuple[int, tuple, tuple, bool, str]]:
         if name in BLOCK:
             block += 1
         if name == "br" and not apart:
-            nodes.append((block, path, path, marked > 0, " "))
+            nodes.append((block, path, path, named, " "))
         if closing:
             if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
@@ -112,12 +132,28 @@ def text_nodes(source: str) -> list[tuple[int, tuple, tuple, bool, str]]:
                 close(CLOSES[name])
             if not attributes.rstrip().endswith("/") or name in BLOCK:
                 words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
-                out = name in APART and not (name == "header" and marked) or bool(words and name not in ("html", "body", "article", "main") and APART_WORDS.search(words)) or bool(attributes and _HIDDEN.search(attributes))
-                stack.append((name, out))
+                out = name in APART and not (name == "header" and marked) or bool(attributes and _HIDDEN.search(attributes))
+                factor = _against(words) if words and name not in ("html", "body", "article", "main") else 1.0
+                stack.append((name, out, len(factors) if factor < 1 else -1))
+                if factor < 1:
+                    named += (len(factors),)
+                    factors.append(factor)
+                if name in MARKED and not apart:
+                    for k in named:
+                        factors[k] = 1.0
                 apart += out
                 marked += name in MARKED
         path = tuple(x[0] for x in stack)
-    return nodes
+    lengths = [0] * len(factors)
+    total = inside = 0
+    for _, at_path, _, own, text in nodes:
+        inside += 0 if MARKED.isdisjoint(at_path) else len(text.strip())
+        here = len(text.strip()) if _PUNCTUATION.search(text) else 0
+        total += here
+        for k in own:
+            lengths[k] += here
+    factors = [1.0 if 2 * n > total and n > OUTWEIGH * inside else f for f, n in zip(factors, lengths, strict=True)]
+    return [(block, path, container, min((factors[k] for k in own), default=1.0), text) for block, path, container, own, text in nodes]
 
 
 _CONTAINERS = frozenset("html body article main section div td table ul ol dl blockquote".split())
@@ -125,47 +161,45 @@ _SCOPES = frozenset("table td th caption button object".split())
 
 
 def content_paths(nodes: list, share: float = SHARE) -> set[tuple]:
-    """Paths whose smoothed, fused ratios reach a share of the best."""
+    """(path, factor) whose smoothed, fused ratios, with words and marking, reach a share of the best."""
     sums: dict[tuple, list] = {}
-    for _, path, _, _, text in nodes:
+    for _, path, _, factor, text in nodes:
         if bare := text.strip():
-            own = sums.setdefault(path, [0, 0, 0])
+            own = sums.setdefault((path, factor), [0, 0, 0])
             own[0] += len(bare)
             own[1] += len(_PUNCTUATION.findall(bare))
             own[2] += 1
-    ratios = {path: (length / count, marks / count) for path, (length, marks, count) in sums.items()}
+    ratios = {key: (length / count, marks / count) for key, (length, marks, count) in sums.items()}
     runs: dict[tuple, list] = {}
-    for _, path, container, _, text in nodes:
-        if path in ratios and text.strip():
-            runs.setdefault(container, []).append(path)
+    for _, path, container, factor, text in nodes:
+        if text.strip():
+            runs.setdefault((container, factor), []).append((path, factor))
     smoothed: dict[tuple, list] = {}
     for run in runs.values():
-        for k, path in enumerate(run):
+        for k, key in enumerate(run):
             total = length = marks = 0.0
             for d in range(-2, 3):
                 if 0 <= k + d < len(run):
                     weight, (a, b) = KERNEL[abs(d)], ratios[run[k + d]]
                     total, length, marks = total + weight, length + weight * a, marks + weight * b
-            own = smoothed.setdefault(path, [0.0, 0.0, 0])
+            own = smoothed.setdefault(key, [0.0, 0.0, 0])
             own[0] += length / total
             own[1] += marks / total
             own[2] += 1
-    fused = {path: math.log1p(a / count) * math.log(2 + b / count) for path, (a, b, count) in smoothed.items()}
-    best = max(fused.values(), default=0.0)
-    return {path for path, value in fused.items() if value >= share * best}
+    fused = {key: math.log1p(a / count) * math.log(2 + b / count) for key, (a, b, count) in smoothed.items()}
+    raised = MARKING * max(fused.values(), default=0.0)
+    values = {(path, factor): factor * (value + (0.0 if MARKED.isdisjoint(path) else raised)) for (path, factor), value in fused.items()}
+    best = max(values.values(), default=0.0)
+    return {key for key, value in values.items() if value >= share * best}
 
 
 def main_text(source: str | None) -> str:
     """The content blocks in page order, white space inside a block as one space, joined by an empty line."""
     nodes = text_nodes(source or "")
-    marked = [x for x in nodes if x[3]]
-    if any(x[4].strip() for x in marked):
-        nodes, wanted = marked, content_paths(marked, SHARE_MARKED)
-    else:
-        wanted = content_paths(nodes)
+    wanted = content_paths(nodes)
     blocks: dict[int, list] = {}
-    for block, path, _, _, text in nodes:
-        if path in wanted or not text.strip():
+    for block, path, _, factor, text in nodes:
+        if (path, factor) in wanted or not text.strip():
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
