@@ -110,6 +110,15 @@ def test_words_do_not_remove_the_story():
         assert html.main_text(f"<div class='{words}'><p>{_PROSE}</p></div><div class='ad'><p>Buy it, now.</p></div>") == _PROSE
 
 
+def test_lists_and_tables_of_an_unmarked_page():
+    story = " ".join([_PROSE] * 5)
+    inner = "<ul><li>one<li>two</ul><table><tr><td>12.5<td>3</table>"
+    want = f"{story}\n\none\n\ntwo\n\n12.5\n\n3"
+    menu = "<ul><li><a href='x'>Home</a><li><a href='y'>News</a></ul>"
+    assert html.main_text(f"<div>{menu}</div><div class='post'><p>{story}</p>{inner}<p>{story}</p></div>") == f"{want}\n\n{story}"
+    assert html.main_text(f"<div class='post'>{menu}<p>{story}</p>{inner}</div>") == want
+
+
 def _components(ids, linked):
     comp = np.array(ids)
     while True:

@@ -4,6 +4,7 @@ Every text node has a root-to-leaf tag path. Per path the text length and the pu
 of nodes. The two ratios are smoothed along the text nodes of one container (a title takes part in the paragraphs beside it),
 fused, and the paths above a share of the page's best value are content. Elements that are never part of an article by their
 tag are left out before. Words in class, id or role lower the value of what an element holds, <article> and <main> raise it.
+Lists, tables and quotes go with the content of the container round them.
 """
 
 from __future__ import annotations
@@ -157,6 +158,7 @@ def text_nodes(source: str) -> list[tuple[int, tuple, tuple, float, str]]:
 
 
 _CONTAINERS = frozenset("html body article main section div td table ul ol dl blockquote".split())
+_GROUPED = frozenset("td table ul ol dl blockquote".split())
 _SCOPES = frozenset("table td th caption button object".split())
 
 
@@ -193,13 +195,44 @@ def content_paths(nodes: list, share: float = SHARE) -> set[tuple]:
     return {key for key, value in values.items() if value >= share * best}
 
 
+def _along(nodes: list, wanted: set[tuple]) -> set[int]:
+    """Positions of the text nodes of lists, tables and quotes that go with the content round them.
+
+    Those between content nodes of the same enclosing container do, and those before or after them unless most of their text is links.
+    """
+    spans: dict[tuple, list] = {}
+    for k, (_, path, container, factor, text) in enumerate(nodes):
+        if (path, factor) in wanted and text.strip():
+            spans.setdefault((container, factor), [k, k])[1] = k
+    out: set[int] = set()
+    beside: dict[tuple, list] = {}
+    for k, (_, path, container, factor, text) in enumerate(nodes):
+        if (path, factor) in wanted or not text.strip():
+            continue
+        depth = len(container)
+        while depth and (container[depth - 1] not in _CONTAINERS or path[depth - 1] in _GROUPED) and not (depth < len(container) and (path[:depth], factor) in spans):
+            depth -= 1
+        span = spans.get((path[:depth], factor))
+        if depth == len(container) or not span:
+            continue
+        if span[0] < k < span[1]:
+            out.add(k)
+        else:
+            beside.setdefault((container, factor, k > span[1]), []).append((k, len(text.strip()), "a" in path))
+    for own in beside.values():
+        if 2 * sum(n for _, n, link in own if link) < sum(n for _, n, _ in own):
+            out.update(k for k, _, _ in own)
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The content blocks in page order, white space inside a block as one space, joined by an empty line."""
     nodes = text_nodes(source or "")
     wanted = content_paths(nodes)
+    along = _along(nodes, wanted)
     blocks: dict[int, list] = {}
-    for block, path, _, factor, text in nodes:
-        if (path, factor) in wanted or not text.strip():
+    for k, (block, path, _, factor, text) in enumerate(nodes):
+        if (path, factor) in wanted or k in along or not text.strip():
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
