@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import bpe, chat, html, langid, lines, media, mixing, neardup, quality, vectors
+from ventara.llm import align, bpe, chat, html, langid, lines, media, mixing, neardup, quality, vectors
 from ventara.llm.base import bucket_of, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "_mix.topic", "_mix.tokens", ppm("factor"), ppm("probability"), "_mix.sampled")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_media": op2_media,
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
+    "op11_align": op11_align,
 }
 
 ORACLES: dict[str, str] = {
