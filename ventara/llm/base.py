@@ -56,10 +56,26 @@ class Scratch:
         self.made += 1
         return self.write(df, f"step-{self.made}")
 
+    def _folder(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def empty(self, name: str) -> bool:
+        """Whether a written folder holds nothing but the marks of its writer."""
+        where, files = self._folder(name)
+        return not any(x.getPath().getName()[0] not in "_." for x in files.listStatus(where))
+
     def drop(self, name: str = "") -> None:
         """Free a table, or all of them, that nothing refers to any more."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = self._folder(name)
+        files.delete(where, True)
+
+    def drop_but(self, name: str) -> None:
+        """Free all tables but one."""
+        where, files = self._folder("")
+        for x in files.listStatus(where):
+            if x.getPath().getName() != name:
+                files.delete(x.getPath(), True)
 
 
 def bucket_of(id_column: str, modulus: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm import align, bpe, chat, html, langid, lines, media, mixing, neardup, quality, vectors
+from ventara.llm import align, bpe, chat, html, langid, lines, media, mixing, neardup, quality, trie, vectors, warc
 from ventara.llm.base import bucket_of, table
 
 
@@ -114,6 +114,67 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# The CRC-32 of an id's decimal digits is folded bit by bit; prefixes are told apart by the digests of their turns.
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, count(*) AS n, c - c % 5 AS base,
+         xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)))) % 9 AS h
+  FROM turns GROUP BY c
+), convs AS (
+  SELECT i.c, i.base, i.h, i.n, least(i.h, coalesce(b.n, 0)) AS taken FROM ids i LEFT JOIN ids b ON b.c = i.base
+), rebuilt AS (
+  SELECT v.c, t.pos AS d, t.digest, t.bytes FROM convs v JOIN turns t ON t.c = v.base AND t.pos <= v.h
+  UNION ALL SELECT v.c, v.taken + t.pos - v.h, t.digest, t.bytes FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h
+), steps AS (
+  SELECT c, d, bytes, md5(string_agg(digest, ',') OVER (PARTITION BY c ORDER BY d)) AS key FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), spans AS (
+  SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS above, max(d) OVER (PARTITION BY c) AS depth FROM steps
+), nodes AS (
+  SELECT d, key, min(c) AS conv_id, any_value(above) AS above, count(*) AS n, any_value(bytes) AS bytes,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = depth) AS ends
+  FROM spans GROUP BY d, key
+), counted AS (
+  SELECT p.*, (SELECT count(*) FROM nodes k WHERE k.d = p.d + 1 AND k.above = p.key) AS kids FROM nodes p
+), owned AS (
+  SELECT s.c, s.d, s.key, sum(CASE WHEN k.conv_id = s.c AND s.d > 0 THEN (k.n - 1) * k.bytes ELSE 0 END) OVER below AS saved,
+         sum(CASE WHEN k.conv_id = s.c AND k.kids = 0 THEN 1 ELSE 0 END) OVER below AS leaves
+  FROM spans s JOIN counted k ON k.d = s.d AND k.key = s.key
+  WINDOW below AS (PARTITION BY s.c ORDER BY s.d DESC)
+), sums AS (
+  SELECT d, key, sum(saved) AS saved, sum(leaves) AS leaves FROM owned GROUP BY d, key
+)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(k.n AS BIGINT) AS n_convs, CAST(k.kids AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM counted k JOIN sums s ON s.d = k.d AND s.key = k.key LEFT JOIN nodes p ON p.d = k.d - 1 AND p.key = k.above
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+OP13_SQL = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), told AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS latest FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest IS DISTINCT FROM page_id AND latest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN latest IS DISTINCT FROM page_id THEN latest END AS refers_to
+FROM told
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_media": op2_media,
@@ -126,10 +187,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
     "op11_align": op11_align,
+    "op12_trie": op12_trie,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op7_lines": OP7_SQL,
     "op10_mixing": mixing.oracle(),
+    "op12_trie": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
