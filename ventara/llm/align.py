@@ -13,6 +13,7 @@ such a cut, so the pieces are aligned apart, and a worker remembers the pieces i
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ SHARDS = 256
 FAN = 64
 #: Pairs that a task counts before it hands them on, and characters of pieces that a worker remembers.
 FLUSH = 1_000_000
-REMEMBERED = 6_000_000
+REMEMBERED = 16_000_000
 #: Pairs looked up in the tasks (17 bytes each); rarer ones are joined.
 LOOKED_UP = 2_000_000
 #: Bits per key in the first level of a perfect hash.
@@ -100,8 +101,28 @@ def read(byte_level: str, pieces: str) -> dict:
         return {"labels": spec["labels"], "specials": spec["specials"], "pieces": file.read()}
 
 
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind, *width: int):
+        self.held, self.n = np.empty((1024, *width), kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.held):
+            grown = np.empty((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            grown[: self.n] = self.all
+            self.held = grown
+        self.held[self.n : end] = more
+        self.n = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Aligner:
-    """Aligns texts piece by piece; what the pieces hold stands in lists that a piece's number indexes."""
+    """Aligns texts piece by piece. Pieces and pairs have numbers; what a piece holds stands at its number."""
 
     def __init__(self, labels: list[bytes], specials: dict[str, int], pieces: bytes):
         import sentencepiece
@@ -110,22 +131,30 @@ class Aligner:
         ranks = {label: t for t, label in enumerate(labels) if label and t not in set(specials.values())}
         self.first = tiktoken.Encoding("first", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.second = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.labels = labels
         named = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        self.labels = labels
         self.spelt = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(named)]
+        self.sizes = np.array([len(x) for x in labels]), np.array([len(x) for x in self.spelt])
+        self.names = [str(i) for i in range(max(len(labels), len(named)))]
         #: Whether a token of the second tokenizer could cross a cut; then texts stay whole.
         self.crossed = any("▁" in p.lstrip("▁") for p in named)
         self.turn = 0
-        self.forget()
+        self.forget(pairs=True)
 
-    def forget(self) -> None:
+    def forget(self, pairs: bool = False) -> None:
+        """Drop all pieces, and with `pairs` the numbers of the pairs."""
         self.turn += 1
         self.numbers: dict[str, int] = {}
         self.held = 0
-        #: Per piece: (tokens of the first, of the second, groups, links), None where the bytes differ; groups as text; links per pair.
-        self.counts: list[tuple[int, int, int, int] | None] = []
-        self.groups: list[bytes] = []
-        self.pairs: list[dict[int, int]] = []
+        #: Of each piece: whether its bytes are spelt out; tokens of the first, of the second, groups, links; groups as text; where its pairs start.
+        self.valid, self.counts, self.groups = Grown(bool), Grown(np.int64, 4), []
+        self.starts = Grown(np.int64)
+        self.starts.extend(np.zeros(1, np.int64))
+        #: Pairs of all pieces, and their links in the piece.
+        self.pairs, self.links = Grown(np.int32), Grown(np.int64)
+        if pairs:
+            self.index: dict[int, int] = {}
+            self.keys = Grown(np.int64)
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text; each stands for a space and itself."""
@@ -137,62 +166,79 @@ class Aligner:
         parts = _CUT.split(spaced)
         return [parts[0][1:], *parts[1:]] if parts[0] else parts[1:]
 
-    def learn(self, texts: list[str | None]) -> list[list[int] | None]:
+    def learn(self, texts: list[str | None], spell: bool) -> list[np.ndarray | None]:
         """The numbers of the pieces of every text; None where a text has no tokens. Numbers hold until the next call."""
         if self.held > REMEMBERED:
             self.forget()
         cuts = [self.cut(t) if t else [] for t in texts]
-        new = [c for c in dict.fromkeys(c for cut in cuts for c in cut) if c not in self.numbers]
-        if new:
-            for piece, b in zip(new, self.second.encode(new, num_threads=1), strict=True):
-                self.numbers[piece] = len(self.counts)
-                self.held += 20 + len(piece)
-                self._add(piece, self.first.encode_ordinary(" " + piece), b)
-        number, counts = self.numbers.__getitem__, self.counts
-        out = []
+        if new := list(set().union(*cuts).difference(self.numbers)):
+            self._add(new, spell)
+        number, valid, out = self.numbers.__getitem__, self.valid.all, []
         for cut in cuts:
-            known = list(map(number, cut))
-            out.append(known if known and all(counts[k] is not None for k in set(known)) else None)
+            known = np.fromiter(map(number, cut), np.int64, len(cut))
+            out.append(known if len(known) and valid[known].all() else None)
         return out
 
-    def _add(self, piece: str, a: list[int], b: list[int]) -> None:
-        labels, spelt, whole = self.labels, self.spelt, (" " + piece).encode()
-        wa, wb = [labels[t] for t in a], [spelt[t] for t in b]
-        if b"".join(wa) != whole or b"".join(wb) != whole:
-            self.counts.append(None)
-            self.groups.append(b"")
-            self.pairs.append({})
-            return
-        said, pairs, links = [], {}, 0
-        i = j = 0
-        while i < len(a):
-            i0, j0, ends = i, j, len(wa[i]) - len(wb[j])
-            i, j = i + 1, j + 1
-            while ends:
-                if ends < 0:
-                    ends += len(wa[i])
-                    i += 1
-                else:
-                    ends -= len(wb[j])
-                    j += 1
-            if i - i0 == 1 and j - j0 == 1:
-                said.append(f"{a[i0]}|{b[j0]}")
-                key = a[i0] << 32 | b[j0]
-                pairs[key] = pairs.get(key, 0) + 1
-                links += 1
-            else:
-                said.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                links += (i - i0) * (j - j0)
-                seen: dict[int, int] = {}
-                for y in b[j0:j]:
-                    seen[y] = seen.get(y, 0) + 1
-                for x in a[i0:i]:
-                    for y, n in seen.items():
-                        key = x << 32 | y
-                        pairs[key] = pairs.get(key, 0) + n
-        self.counts.append((len(a), len(b), len(said), links))
-        self.groups.append(";".join(said).encode())
-        self.pairs.append(pairs)
+    def pairs_of(self, pieces: np.ndarray) -> np.ndarray:
+        """The pairs of all these pieces, one after the other."""
+        starts = self.starts.all
+        first, sizes = starts[pieces], starts[pieces + 1] - starts[pieces]
+        return self.pairs.all[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def _add(self, new: list[str], spell: bool) -> None:
+        labels, spelt, encode = self.labels.__getitem__, self.spelt.__getitem__, self.first.encode_ordinary
+        told = [" " + piece for piece in new]
+        whole = [x.encode() for x in told]
+        a, b = list(map(encode, told)), self.second.encode(new, num_threads=1)
+        valid = np.array([b"".join(map(spelt, y)) == w == b"".join(map(labels, x)) for x, y, w in zip(a, b, whole, strict=True)])
+        good = np.flatnonzero(valid)
+        for piece in new:
+            self.numbers[piece] = len(self.numbers)
+            self.held += 20 + len(piece)
+        fa, fb = (np.fromiter(chain.from_iterable(x[k] for k in good.tolist()), np.int64) for x in (a, b))
+        ea, eb = np.cumsum(self.sizes[0][fa]), np.cumsum(self.sizes[1][fb])
+        bytes_end = np.cumsum([len(whole[k]) for k in good.tolist()], dtype=np.int64)
+        # groups end where both end
+        cuts = np.intersect1d(ea, eb, assume_unique=True)
+        ga, gb, owner = np.searchsorted(cuts, ea), np.searchsorted(cuts, eb), good[np.searchsorted(bytes_end, cuts)]
+        ca, cb = np.bincount(ga, minlength=len(cuts)), np.bincount(gb, minlength=len(cuts))
+        counts = np.zeros((len(new), 4), np.int64)
+        for column, x in enumerate((ca, cb, np.ones_like(ca), ca * cb)):
+            np.add.at(counts[:, column], owner, x)
+        # links: distinct tokens of either side of a group with each other
+        (ta, na), (tb, nb) = (np.unique(g << 24 | f, return_counts=True) for g, f in ((ga, fa), (gb, fb)))
+        of_a, of_b = ta >> 24, tb >> 24
+        first, many = np.searchsorted(of_b, of_a), np.bincount(of_b, minlength=len(cuts))[of_a]
+        right = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        key = np.repeat(ta & 0xFFFFFF, many) << 32 | (tb & 0xFFFFFF)[right]
+        links, piece = np.repeat(na, many) * nb[right], np.repeat(owner[of_a], many)
+        order = np.lexsort((key, piece))
+        key, links, piece = key[order], links[order], piece[order]
+        starts = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
+        links = np.add.reduceat(links, starts) if len(starts) else links
+        unique, inverse = np.unique(key[starts], return_inverse=True)
+        index, before = self.index, len(self.index)
+        local = np.array([index.setdefault(k, len(index)) for k in unique.tolist()], np.int32)
+        self.keys.extend(unique[local >= before][np.argsort(local[local >= before])])
+        self.valid.extend(valid)
+        self.counts.extend(counts)
+        self.starts.extend(self.starts.all[-1] + np.cumsum(np.bincount(piece[starts], minlength=len(new))))
+        self.pairs.extend(local[inverse])
+        self.links.extend(links)
+        if spell:
+            self.groups += self._spell(valid, fa, fb, ga, gb, ca, cb, owner)
+
+    def _spell(self, valid, fa, fb, ga, gb, ca, cb, owner) -> list[str]:
+        """The groups of every new piece as text: tokens of the first, a bar, tokens of the second, a semicolon between groups."""
+        ends_a, ends_b = np.cumsum(ca), np.cumsum(cb)
+        ids, marks = np.empty(len(fa) + len(fb), np.int64), np.full(len(fa) + len(fb), ord(","), np.uint8)
+        ids[np.arange(len(fa)) + (ends_b - cb)[ga]] = fa
+        ids[np.arange(len(fb)) + ends_a[gb]] = fb
+        last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        marks[ends_a + ends_b - cb - 1] = ord("|")
+        marks[ends_a + ends_b - 1] = np.where(last, ord("\n"), ord(";"))
+        said = iter("".join(chain.from_iterable(zip(map(self.names.__getitem__, ids.tolist()), marks.tobytes().decode(), strict=True))).split("\n"))
+        return [next(said) if ok else "" for ok in valid.tolist()]
 
 
 def _aligner(held) -> Aligner:
@@ -207,8 +253,7 @@ def _parts(texts: DataFrame, held) -> DataFrame:
     """(part, shard, keys, counts): documents per linked pair, counted within a task and dealt to shards."""
     names = ["part", "shard", "keys", "counts"]
 
-    def rows(counted: dict, number: int):
-        keys, counts = np.fromiter(counted.keys(), "<i8", len(counted)), np.fromiter(counted.values(), "<i8", len(counted))
+    def rows(keys: np.ndarray, counts: np.ndarray, number: int):
         order = np.argsort(shards := shards_of(keys), kind="stable")
         keys, counts, shards = keys[order], counts[order], shards[order]
         starts = np.flatnonzero(np.diff(shards, prepend=-1))
@@ -221,19 +266,22 @@ def _parts(texts: DataFrame, held) -> DataFrame:
         ], names=names)
 
     def run(batches):
-        from collections import Counter
-
-        aligner, counted, number = _aligner(held), Counter(), 0
+        aligner, number = _aligner(held), 0
+        aligner.forget(pairs=True)
+        counted = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                for known in aligner.learn(batch.column(0).slice(at, 200).to_pylist()):
-                    if known:
-                        counted.update(set().union(*map(aligner.pairs.__getitem__, set(known))))
+                known = aligner.learn(batch.column(0).slice(at, 200).to_pylist(), spell=False)
+                counted = np.append(counted, np.zeros(aligner.keys.n - len(counted), np.int64))
+                for own in known:
+                    if own is not None:
+                        counted[np.unique(aligner.pairs_of(np.unique(own)))] += 1
                 if len(counted) >= FLUSH:
-                    yield rows(counted, number)
-                    counted, number = Counter(), number + 1
-        if counted:
-            yield rows(counted, number)
+                    yield rows(aligner.keys.all[counted > 0], counted[counted > 0], number)
+                    aligner.forget(pairs=True)
+                    counted, number = np.zeros(0, np.int64), number + 1
+        if counted.any():
+            yield rows(aligner.keys.all[counted > 0], counted[counted > 0], number)
 
     return texts.mapInArrow(run, "part long, shard int, keys binary, counts binary")
 
@@ -415,25 +463,23 @@ def aligned(df: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_i
         value = found.value
         if "lookup" not in value:
             value["lookup"] = Lookup(value["shards"], value["highest"])
-        aligner, lookup = _aligner(held), value["lookup"]
-        figures = np.zeros((0, 6), np.int64)  # per piece
-        missed: list = []
-        turn = 0
+        aligner, lookup, turn, told = _aligner(held), value["lookup"], 0, None
+        aligner.forget(pairs=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                known = aligner.learn(part.column(1).to_pylist())
+                known = aligner.learn(part.column(1).to_pylist(), spell=True)
                 if turn != aligner.turn:
-                    turn, figures, missed = aligner.turn, np.zeros((0, 6), np.int64), []
-                if len(aligner.counts) > len(missed):
-                    figures, missed = _figures(aligner, lookup, figures, missed)
-                sums, shas, late = [], [], []
-                for own in known:
-                    sums.append(figures[own].sum(0) if own else np.zeros(6, np.int64))
-                    shas.append(hashlib.sha256(b";".join(map(aligner.groups.__getitem__, own))).hexdigest() if own else "")
-                    late.append([{"key": k, "links": n} for p in own or () for k, n in missed[p]])
-                columns = np.stack(sums).T if sums else np.zeros((6, 0), np.int64)
-                arrays = [part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(shas, pa.string()), pa.array(late, pa.list_(pa.struct([("key", pa.int64()), ("links", pa.int64())])))]
+                    turn, told = aligner.turn, Told(aligner, lookup)
+                told.follow()
+                sums, shas, late = np.zeros((len(known), 6), np.int64), [""] * len(known), [[] for _ in known]
+                for k, own in enumerate(known):
+                    if own is not None:
+                        sums[k] = told.figures.all[own].sum(0)
+                        shas[k] = hashlib.sha256(";".join(map(aligner.groups.__getitem__, own.tolist())).encode()).hexdigest()
+                        if told.missed:
+                            late[k] = [{"key": key, "links": n} for p in own.tolist() for key, n in told.missed.get(p, ())]
+                arrays = [part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(shas, pa.string()), pa.array(late, pa.list_(pa.struct([("key", pa.int64()), ("links", pa.int64())])))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", *names, "groups_sha256", "late"])
 
     schema = f"id {kind.simpleString()}, {', '.join(f'{n} long' for n in names)}, groups_sha256 string, late array<struct<key: long, links: long>>"
@@ -445,27 +491,30 @@ def aligned(df: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_i
     return result.select(F.col("id").alias(id_column), *names, "groups_sha256")
 
 
-def _figures(aligner: Aligner, lookup: Lookup, figures: np.ndarray, missed: list) -> tuple[np.ndarray, list]:
-    """Counts, best links and sum of counts of all pieces of the aligner, the pieces before len(missed) being known."""
-    new = range(len(missed), len(aligner.counts))
-    sizes = [len(aligner.pairs[p]) for p in new]
-    keys = np.fromiter((k for p in new for k in aligner.pairs[p]), "<i8", sum(sizes))
-    links = np.fromiter((n for p in new for n in aligner.pairs[p].values()), "<i8", sum(sizes))
-    counts = lookup.counts(keys)
-    best = np.where((counts > 0) & (lookup.highest[keys >> 32] == counts), links, 0)
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    more = np.zeros((len(sizes), 6), np.int64)
-    more[:, :4] = [aligner.counts[p] or (0, 0, 0, 0) for p in new]
-    np.add.at(more[:, 4], piece, best)
-    np.add.at(more[:, 5], piece, links * counts)
-    late: list = [()] * len(sizes)
-    for k in np.flatnonzero(counts == 0).tolist():
-        late[piece[k]] = (*late[piece[k]], (int(keys[k]), int(links[k])))
-    capacity = max(len(aligner.counts), len(figures))
-    grown = np.zeros((capacity, 6), np.int64)
-    grown[: len(missed)] = figures[: len(missed)]
-    grown[len(missed) :] = more
-    return grown, missed + late
+class Told:
+    """What the counts say of an aligner's pieces: counts, best links and sum of counts (`figures`), and pairs that were not found (`missed`)."""
+
+    def __init__(self, aligner: Aligner, lookup: Lookup):
+        self.aligner, self.lookup = aligner, lookup
+        self.figures, self.missed = Grown(np.int64, 6), {}
+        self.known = Grown(np.int64)  # count of each pair
+
+    def follow(self) -> None:
+        """Look at the pieces and pairs that are new since the last call."""
+        aligner, old = self.aligner, self.figures.n
+        self.known.extend(self.lookup.counts(aligner.keys.all[self.known.n :]))
+        starts = aligner.starts.all[old:]
+        pairs, links = aligner.pairs.all[starts[0] :], aligner.links.all[starts[0] :]
+        counts, keys = self.known.all[pairs], aligner.keys.all[pairs]
+        best = np.where((counts > 0) & (self.lookup.highest[keys >> 32] == counts), links, 0)
+        piece = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        more = np.zeros((len(starts) - 1, 6), np.int64)
+        more[:, :4] = aligner.counts.all[old:]
+        np.add.at(more[:, 4], piece, best)
+        np.add.at(more[:, 5], piece, links * counts)
+        self.figures.extend(more)
+        for k in np.flatnonzero(counts == 0).tolist():
+            self.missed.setdefault(old + int(piece[k]), []).append((int(keys[k]), int(links[k])))
 
 
 def _joined(rows: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
