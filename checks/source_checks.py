@@ -1,12 +1,16 @@
 """Queries for file and ERP ingest and for the store, over raw rows derived from the test tables."""
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from checks import enrich_checks as masters
 from checks.fixtures import Checks, table, with_fact
+from ventara.plans import period
+from ventara.plans.period import Period
 from ventara.plans.schema import DATASET_FIELDS
+from ventara.plans.session import checkpoint, checkpoint_dir
 from ventara.sources import erp, mapping, normalise, store, workbook
 
 C = Checks()
@@ -317,14 +321,135 @@ def compaction_lines(fact):
 _R0, _R1 = date(2001, 5, 10), date(2001, 6, 20)
 
 
+def _on_store(spark, build):
+    """What `build(path)` finds in a store of its own: kept as a checkpoint, and the store's folder goes."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid4().hex}"
+    try:
+        return checkpoint(build(path))
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _detail(fact):
+    """The fact's lines as they come in: with a line key, and without what the store derives."""
+    return fact.select("date", "client_key", "client_name", "invoice", F.col("line_no").cast("string").alias("line_key"), "product_key", "seller_key", "channel", "has_article_match", *store.MEASURES)
+
+
+_S0, _S1 = date(1990, 1, 1), date(2004, 12, 31)
+
+
+# Some line ids occur twice in the test tables; the store keeps one line of each.
+_OWN = """own AS (SELECT *, concat_ws('|', CAST(date AS VARCHAR), client_key, invoice, CAST(line_no AS VARCHAR), product_key) AS line_id FROM fact)"""
+
+
 @C.add("range_replace", with_fact(
-    """SELECT period, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM (
-      SELECT period, amount FROM fact WHERE date NOT BETWEEN DATE '2001-05-10' AND DATE '2001-06-20'
-      UNION ALL SELECT period, amount * 2 FROM fact WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' AND channel <> 'BUILDING') GROUP BY period"""))
+    """SELECT period, count(DISTINCT line_id) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM (
+      SELECT period, line_id, amount FROM own WHERE date NOT BETWEEN DATE '2001-05-10' AND DATE '2001-06-20'
+      UNION ALL SELECT period, line_id, amount * 2 FROM own WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' AND channel <> 'BUILDING') GROUP BY period""", _OWN))
 def range_replace(fact):
-    rows = fact.select("date", "period", "channel", "amount")
-    incoming = rows.filter(F.col("channel") != "BUILDING").withColumn("amount", (F.col("amount") * 2).cast("decimal(18,4)"))
-    return store.replace_range(rows, incoming, _R0, _R1).groupBy("period").agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
+    """A store of all lines, a range of which is then replaced and published in one step."""
+    spark, rows = fact.sparkSession, _detail(fact)
+    fresh = rows.filter(F.col("channel") != "BUILDING").withColumn("amount", F.col("amount") * 2)
+
+    def build(path):
+        store.sync_range(spark, path, rows, _S0, _S1, full_detail=True)
+        store.sync_range(spark, path, fresh, _R0, _R1, full_detail=True)
+        found = store.read_sales(spark, path)
+        return found.groupBy(F.date_format("date", "yyyy-MM").alias("period")).agg(F.count("*").alias("rows"), F.sum("amount").alias("amount"))
+
+    return _on_store(spark, build)
+
+
+# A batch for the range: a third of its clients is absent, every second line comes twice (half of the amount each time), and clients of a new prefix.
+_BATCH = """batch AS (SELECT date, client_key, channel, period, concat_ws('|', CAST(date AS VARCHAR), client_key, invoice, CAST(line_no AS VARCHAR), product_key) AS line_id, CASE WHEN line_no % 2 = 0 THEN amount ELSE amount * 3 END AS amount
+    FROM fact WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' AND CAST(client_key AS INT) % 3 <> 0
+  UNION ALL SELECT date, 'N' || client_key, channel, period, concat_ws('|', CAST(date AS VARCHAR), 'N' || client_key, invoice, CAST(line_no AS VARCHAR), product_key), amount
+    FROM fact WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' AND CAST(client_key AS INT) % 5 = 0)"""
+
+
+def _batch(rows):
+    inside = rows.filter(F.col("date").between(F.lit(_R0), F.lit(_R1)))
+    known = inside.filter(F.col("client_key").cast("int") % 3 != 0)
+    even = F.col("line_key").cast("int") % 2 == 0
+    halves = known.filter(even).withColumn("amount", F.col("amount") / 2)
+    more = inside.filter(F.col("client_key").cast("int") % 5 == 0).withColumn("client_key", F.concat(F.lit("N"), "client_key"))
+    return halves.unionByName(halves).unionByName(known.filter(~even).withColumn("amount", F.col("amount") * 3)).unionByName(more)
+
+
+@C.add("line_merge", with_fact(
+    """SELECT period, count(DISTINCT line_id) AS lines, count(DISTINCT line_id) FILTER (client_key LIKE 'N%') AS new_lines, CAST(sum(amount) AS DOUBLE) AS amount FROM (
+      SELECT period, line_id, client_key, amount FROM own WHERE date NOT BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' UNION ALL SELECT period, line_id, client_key, amount FROM batch) GROUP BY period""", _OWN, _BATCH))
+def line_merge(fact):
+    """Lines of a range merged by id as deltas: updated, repeated, new and absent ids."""
+    spark, rows = fact.sparkSession, _detail(fact)
+
+    def build(path):
+        store.sync_range(spark, path, rows, _S0, _S1, full_detail=True)
+        store.merge_lines(spark, path, _batch(rows), _R0, _R1)
+        found = store.read_sales(spark, path)
+        return found.groupBy(F.date_format("date", "yyyy-MM").alias("period")).agg(F.count("*").alias("lines"), F.count_if(F.col("client_key").startswith("N")).alias("new_lines"), F.sum("amount").alias("amount"))
+
+    return _on_store(spark, build)
+
+
+@C.add("line_merge_by_id", with_fact(
+    """SELECT period, count(DISTINCT line_id) AS lines, count(DISTINCT line_id) FILTER (client_key LIKE 'N%') AS new_lines, CAST(sum(amount) AS DOUBLE) AS amount FROM (
+      SELECT period, line_id, client_key, amount FROM own WHERE NOT (date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' AND CAST(client_key AS INT) % 3 <> 0) UNION ALL SELECT period, line_id, client_key, amount FROM batch) GROUP BY period""", _OWN, _BATCH))
+def line_merge_by_id(fact):
+    """The same batch without a range: absent ids stay. The deltas are then folded into their months."""
+    spark, rows = fact.sparkSession, _detail(fact)
+
+    def build(path):
+        store.sync_range(spark, path, rows, _S0, _S1, full_detail=True)
+        store.merge_lines(spark, path, _batch(rows))
+        store.merge_months(spark, path)
+        found = store.read_sales(spark, path)
+        return found.groupBy(F.date_format("date", "yyyy-MM").alias("period")).agg(F.count("*").alias("lines"), F.count_if(F.col("client_key").startswith("N")).alias("new_lines"), F.sum("amount").alias("amount"))
+
+    return _on_store(spark, build)
+
+
+@C.add("merge_outcome", with_fact(
+    """SELECT count(*) FILTER (o.line_id IS NOT NULL AND b.line_id IS NOT NULL) AS matched, count(*) FILTER (o.line_id IS NOT NULL AND b.line_id IS NOT NULL AND o.amount <> b.amount) AS modified,
+      count(*) FILTER (o.line_id IS NULL) AS upserted, count(*) FILTER (b.line_id IS NULL) AS deleted FROM old o FULL JOIN (SELECT line_id, sum(amount) AS amount FROM batch GROUP BY 1) b ON o.line_id = b.line_id""",
+    _BATCH, """old AS (SELECT concat_ws('|', CAST(date AS VARCHAR), client_key, invoice, CAST(line_no AS VARCHAR), product_key) AS line_id, sum(amount) AS amount FROM fact WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' GROUP BY 1)"""))
+def merge_outcome(fact):
+    rows = _detail(fact).select("date", "client_key", "invoice", "line_key", "product_key", "amount", F.lit(0).cast("decimal(18,4)").alias("quantity"))
+    return store.merge_outcome(store.compact_lines(rows), store.compact_lines(_batch(rows)), _R0, _R1)
+
+
+@C.add("period_context", with_fact(
+    """SELECT CAST(a AS VARCHAR) AS selected_start, CAST(z AS VARCHAR) AS selected_end, CAST(a - CAST(z - a + 1 AS INT) AS VARCHAR) AS comparison_start, CAST(a - 1 AS VARCHAR) AS comparison_end, z - a + 1 AS days,
+      (year(z) - year(a)) * 12 + month(z) - month(a) + 1 AS months, rows FROM (SELECT min(date) AS a, max(date) AS z, count(DISTINCT line_id) AS rows FROM own)""", _OWN))
+def period_context(fact):
+    """The period of a store that nobody has chosen, from the manifest of its months."""
+    spark = fact.sparkSession
+
+    def build(path):
+        store.sync_range(spark, path, _detail(fact), _S0, _S1, full_detail=True)
+        return period.context(store.period_statistics(spark, path))
+
+    return _on_store(spark, build)
+
+
+@C.add("load_windows", with_fact(
+    """SELECT 'analysis' AS kind, CAST(s - CAST(e - s + 1 AS INT) AS VARCHAR) AS load_start, CAST(e AS VARCHAR) AS load_end, (SELECT count(DISTINCT period) FROM fact WHERE period BETWEEN substr(CAST(s - CAST(e - s + 1 AS INT) AS VARCHAR), 1, 7) AND substr(CAST(e AS VARCHAR), 1, 7)) AS months,
+        (SELECT count(DISTINCT line_id) FROM own WHERE period BETWEEN substr(CAST(s - CAST(e - s + 1 AS INT) AS VARCHAR), 1, 7) AND substr(CAST(e AS VARCHAR), 1, 7)) AS rows FROM (SELECT DATE '2001-07-01' AS s, DATE '2001-07-20' AS e)
+      UNION ALL SELECT 'running month', CAST(l AS VARCHAR), CAST(e AS VARCHAR), (SELECT count(DISTINCT period) FROM fact WHERE period BETWEEN substr(CAST(l AS VARCHAR), 1, 7) AND '2001-07'), (SELECT count(DISTINCT line_id) FROM own WHERE period BETWEEN substr(CAST(l AS VARCHAR), 1, 7) AND '2001-07')
+        FROM (SELECT DATE '2000-07-01' AS l, DATE '2001-07-20' AS e)""", _OWN))
+def load_windows(fact):
+    """What has to be read for an analysis and for a month dashboard: the window, and the months and rows that the manifest lists for it."""
+    spark = fact.sparkSession
+    chosen = Period(date(2001, 7, 1), date(2001, 7, 20), date(2001, 6, 11), date(2001, 6, 30))
+
+    def build(path):
+        store.sync_range(spark, path, _detail(fact), _S0, _S1, full_detail=True)
+        months = store.period_statistics(spark, path)
+        found = [period.load_plan(months, chosen, running).withColumn("kind", F.lit(name)) for name, running in (("analysis", False), ("running month", True))]
+        return found[0].unionByName(found[1])
+
+    return _on_store(spark, build)
 
 
 @C.add("master_upsert", """SELECT CAST(p_partkey AS VARCHAR) AS product_key, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' nueva' ELSE p_brand END AS brand FROM part WHERE p_partkey % 13 <> 0
@@ -381,19 +506,19 @@ def range_coverage(spark, sf_dir):
     return store.range_coverage(sync_runs(spark, sf_dir), _W0, _W1, by=("entity",))
 
 
-# One store whose runs reach two days: every 40th order starts a run, so that gaps come from the days and not from left-out runs.
-@C.add("coverage_of_store", f"""WITH {_RUNS.replace("CAST(o_orderkey % 90 AS INT) AS e", "CAST(o_orderkey % 2 AS INT) AS e").replace("o_orderkey % 4 AS n, o_orderkey % 8 = 0 AS ec", "CASE WHEN o_custkey % 40 = 0 THEN 1 ELSE 0 END AS n, o_custkey % 200 = 1 AS ec")}, all_ok AS (SELECT DISTINCT 'x' AS entity, d FROM okdays),
+# All runs as those of one store. The request begins before the first order and ends after the last possible day, so it has gaps at both ends.
+_RUNS_ALL = _RUNS.replace("DATE '1996-01-01'", "DATE '1990-01-01'").replace("DATE '2000-12-31'", "DATE '2003-12-31'")
+
+
+@C.add("coverage_of_store", f"""WITH {_RUNS_ALL}, all_ok AS (SELECT DISTINCT 'x' AS entity, d FROM okdays),
     all_miss AS (SELECT DISTINCT 'x' AS entity, d FROM alldays EXCEPT SELECT * FROM all_ok)
   SELECT 'covered' AS kind, CAST(s AS VARCHAR) AS "start", CAST(e AS VARCHAR) AS "end" FROM ({_islands('all_ok')}) UNION ALL SELECT 'uncovered', CAST(s AS VARCHAR), CAST(e AS VARCHAR) FROM ({_islands('all_miss')})
   UNION ALL SELECT 'reused', CAST(s AS VARCHAR), CAST(e AS VARCHAR) FROM ({_islands('all_ok')})""", on_fact=False)
 def coverage_of_store(spark, sf_dir):
-    """All runs as those of one store, most of them without rows and so of no use."""
-    client = F.substring_index("entity", "_", -1).cast("int")
-    runs = sync_runs(spark, sf_dir).withColumns({
-        "range_end": F.date_add("range_start", (F.col("run_id") % 2).cast("int")), "records_received": F.when(client % 40 == 0, 1).otherwise(0), "empty_confirmed": client % 200 == 1})
-    covered, missing = store.covered_ranges(runs, _W0, _W1, entity=None), store.uncovered_ranges(runs, _W0, _W1, entity=None)
+    runs, start, end = sync_runs(spark, sf_dir), date(1990, 1, 1), date(2003, 12, 31)
+    covered, missing = store.covered_ranges(runs, start, end, entity=None), store.uncovered_ranges(runs, start, end, entity=None)
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "start", "end")
-    return tag(covered, "covered").unionByName(tag(missing, "uncovered")).unionByName(tag(store.reused_ranges(missing, _W0, _W1), "reused"))
+    return tag(covered, "covered").unionByName(tag(missing, "uncovered")).unionByName(tag(store.reused_ranges(missing, start, end), "reused"))
 
 
 @C.add("storage_status", with_fact("SELECT count(*) AS records, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, TRUE AS available FROM fact"))
@@ -415,24 +540,44 @@ def latest_runs(spark, sf_dir):
 
 _CHUNKS = """chunks AS (SELECT s + CAST(31 * i AS INT) AS chunk_start, least(s + CAST(31 * i + 30 AS INT), e) AS chunk_end FROM (VALUES (DATE '2000-01-01', DATE '2000-06-15'), (DATE '2001-02-01', DATE '2001-04-10')) v(s, e), range(0, 10) t(i)
     WHERE s + CAST(31 * i AS INT) <= e),
-  ctot AS (SELECT CAST(chunk_start AS VARCHAR) AS chunk_start, CAST(chunk_end AS VARCHAR) AS chunk_end, count(f.date) AS rows_read, count(f.date) FILTER (f.has_article_match) AS rows_valid
+  ctot AS (SELECT CAST(chunk_start AS VARCHAR) AS chunk_start, CAST(chunk_end AS VARCHAR) AS chunk_end, count(f.date) AS rows_read, count(f.date) FILTER (f.has_article_match) AS rows_valid,
+      count(DISTINCT (f.client_key, f.invoice, f.product_key, f.seller_key, f.date, f.channel)) FILTER (f.date IS NOT NULL) AS rows_stored
     FROM chunks LEFT JOIN fact f ON f.date BETWEEN chunks.chunk_start AND chunks.chunk_end GROUP BY 1, 2)"""
+_FETCHED = [(date(2000, 1, 1), date(2000, 6, 15)), (date(2001, 2, 1), date(2001, 4, 10))]
 
 
-def _chunks(fact):
-    ranges = fact.sparkSession.createDataFrame([(date(2000, 1, 1), date(2000, 6, 15)), (date(2001, 2, 1), date(2001, 4, 10))], "start date, end date")
-    return store.chunk_totals(fact.select("date", F.col("has_article_match").alias("is_valid")), ranges)
+def _counted(fact):
+    """Chunks of the fetched ranges, counted while they are written compactly."""
+    spark = fact.sparkSession
+    totals = []
+
+    def build(path):
+        totals.extend(store.sync_ranges(spark, path, _detail(fact), _FETCHED, valid=F.col("has_article_match"))[1])
+        return store.chunk_rows(spark, totals)
+
+    return _on_store(spark, build)
 
 
 @C.add("chunk_totals", with_fact("SELECT * FROM ctot", _CHUNKS))
 def chunk_totals(fact):
-    return _chunks(fact)
+    return _counted(fact)
+
+
+@C.add("chunk_days", with_fact("SELECT chunk_start, chunk_end, rows_read, rows_valid FROM ctot", _CHUNKS))
+def chunk_days(fact):
+    """The same counts of lines already there, without writing them."""
+    ranges = fact.sparkSession.createDataFrame(_FETCHED, "start date, end date")
+    return store.chunk_totals(fact.select("date", F.col("has_article_match").alias("is_valid")), ranges)
 
 
+# The request is 2000-01-01 to 2001-04-10; what lies between the fetched ranges was stored before.
 @C.add("batch_totals", with_fact(
-    "SELECT count(*) AS chunks, CAST(sum(rows_read) AS BIGINT) AS rows_read, CAST(sum(rows_valid) AS BIGINT) AS rows_valid, min(chunk_start) AS first_date, max(chunk_end) AS last_date FROM ctot", _CHUNKS))
+    """SELECT count(*) AS chunks, CAST(sum(rows_read) AS BIGINT) AS rows_read, CAST(sum(rows_valid) AS BIGINT) AS rows_valid, CAST(sum(rows_stored) AS BIGINT) AS rows_stored, min(chunk_start) AS first_date, max(chunk_end) AS last_date,
+      '2000-01-01..2000-06-15, 2001-02-01..2001-04-10' AS fetched, '2000-06-16..2001-01-31' AS reused FROM ctot""", _CHUNKS))
 def batch_totals(fact):
-    return store.batch_totals(_chunks(fact))
+    spark = fact.sparkSession
+    fetched = spark.createDataFrame(_FETCHED, "start date, end date")
+    return store.batch_totals(_counted(fact), fetched, date(2000, 1, 1), date(2001, 4, 10))
 
 
 @C.add("prefilter_options", """WITH v AS (

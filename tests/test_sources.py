@@ -99,7 +99,7 @@ def test_scan_prunes_months_and_reports_an_empty_range(spark, tmp_path):
     store.sync_range(spark, path, lines(spark, *[(date(2024, m, 1), "a", str(m), m) for m in range(1, 7)]), date(2024, 1, 1), date(2024, 6, 30))
     rows = store.scan_range(spark, path, date(2024, 2, 1), date(2024, 3, 15), ordered=True)
     assert [r.date.month for r in rows.collect()] == [2, 3]
-    assert "PartitionFilters: [isnotnull(year" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {f.split("month=")[1].split("/")[0] for f in rows.inputFiles()} == {"2", "3"}
     with pytest.raises(ValueError):
         store.scan_range(spark, path, date(2030, 1, 1), date(2030, 1, 2))
 
@@ -115,7 +115,7 @@ def test_retention_drops_old_months_and_cuts_the_first_one(spark, tmp_path):
 def test_masters_are_updated_or_replaced(spark, tmp_path):
     path = str(tmp_path / "articles")
     frame = lambda *rows: spark.createDataFrame(list(rows), "product_key string, brand string")
-    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    read = lambda: sorted(tuple(r) for r in store.read_master(spark, path).collect())
     store.write_master(frame(("1", "a"), ("2", "b"), ("", "x")), path, "product_key")
     store.write_master(frame(("2", "B"), ("3", "c")), path, "product_key")
     assert read() == [("1", "a"), ("2", "B"), ("3", "c")]

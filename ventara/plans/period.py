@@ -140,6 +140,24 @@ def load_window(period: Period, running_month: bool = False) -> tuple[date, date
     return start, period.selected_end
 
 
+def context(months: DataFrame, selected=None, comparison=None) -> DataFrame:
+    """The period in one row, from statistics of months (month, rows, first_date, last_date) and without a look at the data."""
+    span = months.agg(F.min("first_date").alias("a"), F.max("last_date").alias("z"), F.sum("rows").alias("rows"))
+    start = F.lit(selected[0]) if selected and all(selected) else F.col("a")
+    end = F.lit(selected[1]) if selected and all(selected) else F.col("z")
+    row = span.select(start.alias("selected_start"), end.alias("selected_end"), "rows").withColumn("days", F.greatest(F.date_diff("selected_end", "selected_start") + 1, F.lit(1)))
+    before = (F.lit(comparison[0]), F.lit(comparison[1])) if comparison and all(comparison) else (F.date_sub("selected_start", F.col("days")), F.date_sub("selected_start", 1))
+    count = (F.year("selected_end") - F.year("selected_start")) * 12 + F.month("selected_end") - F.month("selected_start") + 1
+    return row.select("selected_start", "selected_end", before[0].alias("comparison_start"), before[1].alias("comparison_end"), "days", F.greatest(count, F.lit(1)).alias("months"), "rows")
+
+
+def load_plan(months: DataFrame, period: Period, running_month: bool = False) -> DataFrame:
+    """The window that has to be read, with the stored months that it touches and their rows: what a read of it costs."""
+    start, end = load_window(period, running_month)
+    near = months.filter(F.col("month").between(f"{start:%Y-%m}", f"{end:%Y-%m}"))
+    return near.agg(F.count("*").alias("months"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).select(F.lit(start).alias("load_start"), F.lit(end).alias("load_end"), "months", "rows")
+
+
 def slice_dates(fact: DataFrame, start: date, end: date) -> DataFrame:
     return fact.filter(between("date", start, end))
 

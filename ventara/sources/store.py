@@ -1,21 +1,25 @@
 """The month-partitioned sales store, its masters and its sync log.
 
-Tables are Parquet folders. Sales are partitioned by year and month; a range is replaced by
-rewriting only the months it touches.
+Tables are Parquet folders under a manifest (see versions). Sales are partitioned by year and month; a range is replaced by
+rewriting only the months it touches, lines are merged by deltas, and either is published in one step.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 from datetime import date, timedelta
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from ventara.functions.numbers import MEASURE
 from ventara.functions.rows import literal_rows
 from ventara.functions.text import blank_to_null, clean, first_text
+from ventara.operators.core import one_row
 from ventara.plans.period import between, day, month_labels
+from ventara.sources.versions import Manifest, Part, Versioned
 
 # Columns of the compact store.
 KEY_FIELDS = ("client_key", "product_key", "seller_key", "sales_scheme_key", "route_description", "channel")
@@ -27,6 +31,11 @@ STORE_SCHEMA = (
     "amount decimal(38,6), amount_net decimal(38,6), amount_final decimal(38,6), internal_taxes decimal(38,6), "
     "amount_net_internal decimal(38,6), quantity decimal(38,6), line_id string, document_key string, line_key string, year int, month int"
 )
+#: Months whose statistics are observed while they are written; of more, the days are read back from what was written.
+OBSERVED_MONTHS = 12
+#: Lines of deltas up to which their ids are broadcast when a month is read.
+BROADCAST_LINES = 500_000
+
 EMPTY_CONFIRMATIONS = ("no devolvió ventas", "no generó lotes")
 SYNC_CHUNK_DAYS = 31
 
@@ -131,139 +140,275 @@ def prune(rows: DataFrame, cutoff: date) -> DataFrame:
 # --- stored tables ----------------------------------------------------------------------------
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def _number(label: str) -> int:
+    return int(label[:4]) * 12 + int(label[5:])
 
 
-def _drop_month(spark: SparkSession, path: str, label: str) -> None:
-    """Remove one month's folder; dynamic overwrite leaves a month alone that ends up without rows."""
-    year, month = label.split("-")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/year={int(year)}/month={int(month)}")
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _month(label: str):
+    return F.year("date") * 12 + F.month("date") == _number(label)
 
 
-def _in_months(labels: list[str]):
-    """Predicate on the partition columns, so that only these months are listed and read."""
-    first, last = labels[0], labels[-1]
-    number = F.col("year") * 12 + F.col("month")
-    low, high = (int(x[:4]) * 12 + int(x[5:]) for x in (first, last))
-    return number.between(low, high) & F.col("year").between(int(first[:4]), int(last[:4]))
+def _metrics(labels: list[str]) -> list:
+    """Rows, first and last day of each month, taken while it is written."""
+    return [x.alias(f"{n}_{k}") for k, m in enumerate(map(_month, labels)) for n, x in (("n", F.count_if(m)), ("a", F.min(F.when(m, F.col("date")))), ("z", F.max(F.when(m, F.col("date")))))]
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """The whole store. The declared schema spares a look at every file; a column an old file lacks gets its default."""
-    df = spark.read.schema(STORE_SCHEMA).parquet(path)
+def told(observed: Observation) -> dict:
+    """Metrics by name; none where Spark saw before running that there were no rows to observe."""
+    try:
+        return observed.get
+    except Py4JJavaError as error:
+        if "AssertionError" not in str(error.java_exception):
+            raise
+        return {}
+
+
+def _write_months(table: Versioned, rows: DataFrame, labels: list[str], run: str, more: list = ()) -> tuple[dict[str, Part], dict]:
+    """Write rows of the given months as a run of its own: its parts by month, and the further metrics of the written rows.
+
+    The rebalance lets Spark split large months over tasks and keep small ones in one file. The metrics are those of the writing
+    tasks, each counted once.
+    """
+    observed, few = Observation(f"written-{run}"), len(labels) <= OBSERVED_MONTHS
+    ready = rows.hint("rebalance", F.col("year"), F.col("month")).sortWithinPartitions("year", "month", "date", "client_key", "seller_key", "product_key", "invoice")
+    if few or more:
+        ready = ready.observe(observed, *(_metrics(labels) if few else ()), *more)
+    ready.write.partitionBy("year", "month").parquet(f"{table.path}/run={run}")
+    seen = told(observed) if few or more else {}
+    folder = lambda x: f"run={run}/year={int(x[:4])}/month={int(x[5:])}"
+    if not few:
+        days = table.read("date date, year int, month int", [f"run={run}"]).groupBy("year", "month").agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("z"))
+        found = {f"{r.year}-{r.month:02}": r for r in days.collect()}  # a row per month
+        return {x: Part(folder(x), found[x].n, found[x].a, found[x].z) for x in labels if x in found}, seen
+    return {x: Part(folder(x), seen[f"n_{k}"], seen[f"a_{k}"], seen[f"z_{k}"]) for k, x in enumerate(labels) if seen.get(f"n_{k}")}, seen
+
+
+def _in_months(labels: list[str]):
+    """Predicate on the partition columns."""
+    low, high = _number(labels[0]), _number(labels[-1])
+    return (F.col("year") * 12 + F.col("month")).between(low, high) & F.col("year").between(int(labels[0][:4]), int(labels[-1][:4]))
+
+
+def _visible(table: Versioned, seen: Manifest, keys: list[str]) -> DataFrame:
+    """Rows of months as their parts say together: bases without what later deltas replace, by day or by line id."""
+    held = [seen.parts[k] for k in keys]
+    rows = table.read(STORE_SCHEMA, [p[0].folder for p in held if len(p) == 1])
+    for parts in (p for p in held if len(p) > 1):  # at most as many as months with deltas; merge_months folds them
+        for k, part in enumerate(parts):
+            later = parts[k + 1 :]
+            own = table.read(STORE_SCHEMA, [part.folder])
+            for delta in later:
+                if delta.since:
+                    own = own.filter(~between("date", delta.since, delta.until))
+            by_id = [d for d in later if not d.since]
+            if by_id:
+                ids = table.read(STORE_SCHEMA, [d.folder for d in by_id]).select("line_id").distinct()
+                own = own.join(F.broadcast(ids) if sum(d.rows for d in by_id) <= BROADCAST_LINES else ids, "line_id", "left_anti").select(*own.columns)
+            rows = rows.unionByName(own)
+    return rows
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """A column that an old file lacks gets its default."""
     texts = {c: F.coalesce(c, F.lit("")) for c in ("seller_name", "sales_scheme_key", "sales_scheme_name", "sales_force")}
     zero = F.lit(0).cast("decimal(38,6)")
     sums = {c: F.coalesce(c, F.col("amount") if c != "internal_taxes" else zero) for c in MEASURES if c not in ("amount", "quantity")}
     return df.withColumns({**texts, **sums})
 
 
+def read_sales(spark: SparkSession, path: str) -> DataFrame:
+    """The whole store, as of its last published version. The declared schema spares a look at every file."""
+    table = Versioned(spark, path)
+    seen = table.current()
+    return _filled(_visible(table, seen, sorted(seen.parts)))
+
+
 def scan_range(spark: SparkSession, path: str, start: date, end: date, ordered: bool = False) -> DataFrame:
-    """Rows of an inclusive range; the months are pruned before any file is read."""
-    rows = read_sales(spark, path).filter(_in_months(month_labels(start, end)) & between("date", start, end))
-    if rows.isEmpty():
+    """Rows of an inclusive range. Months outside it are not even listed; a range without any day of the store is told from the manifest."""
+    table = Versioned(spark, path)
+    seen = table.current()
+    near = [k for k in month_labels(start, end) if any(p.first <= end and p.last >= start for p in seen.parts.get(k, ()))]
+    certain = any(len(seen.parts[k]) == 1 and (start <= seen.parts[k][0].first <= end or start <= seen.parts[k][0].last <= end) for k in near)
+    rows = _filled(_visible(table, seen, near)).filter(_in_months(month_labels(start, end)) & between("date", start, end))
+    if not near or not certain and rows.isEmpty():
         raise ValueError(f"no sales stored from {start} to {end}")
     return rows.orderBy("date") if ordered else rows
 
 
-def write_sales(rows: DataFrame, path: str) -> None:
-    """Write whole months. The rebalance lets Spark split large months over tasks and keep small ones in one file."""
-    (
-        rows.hint("rebalance", F.col("year"), F.col("month"))
-        .sortWithinPartitions("year", "month", "date", "client_key", "seller_key", "product_key", "invoice")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
-    )
-
-
 def empty_is_confirmed(warning: str | None) -> bool:
     text = (warning or "").lower()
     return any(t in text for t in EMPTY_CONFIRMATIONS)
 
 
+def chunks_of(start: date, end: date, chunk_days: int = SYNC_CHUNK_DAYS) -> list[tuple[date, date]]:
+    """A range cut into chunks of so many days."""
+    starts = [start + timedelta(days=d) for d in range(0, (end - start).days + 1, chunk_days)]
+    return [(a, min(a + timedelta(days=chunk_days - 1), end)) for a in starts]
+
+
 def sync_range(
     spark: SparkSession, path: str, incoming: DataFrame, start: date, end: date,
     log_path: str | None = None, warning: str | None = None, confirmed_empty: bool = False, origin: str = "manual", full_detail: bool = False,
 ) -> dict:
-    """Replace a range of the store with the incoming lines.
+    """Replace a range of the store with the incoming lines, in one published version. Returns the run's entry of the log.
 
-    Nothing is written when the incoming side is empty, unless the source confirmed that there were
-    no sales. Running it twice with the same input leaves the same table.
+    Nothing changes when the incoming side is empty, unless the source confirmed that there were no sales. Running it twice with the
+    same input leaves the same table.
     """
-    # The input is evaluated once: counts, months and rows all come from the staged lines.
-    staging = f"{path}.staging/{uuid.uuid4().hex}"
-    incoming.filter(between("date", start, end)).write.parquet(staging)
-    incoming = spark.read.schema(incoming.schema).parquet(staging)
-    try:
-        return _publish(spark, path, incoming, start, end, log_path, warning, confirmed_empty, origin, full_detail)
-    finally:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return sync_ranges(spark, path, incoming, [(start, end)], log_path, warning, confirmed_empty, origin, full_detail, chunk_days=None)[0]
 
 
-def _publish(spark, path, incoming, start, end, log_path, warning, confirmed_empty, origin, full_detail) -> dict:
-    received = incoming.count()
+def sync_ranges(
+    spark: SparkSession, path: str, incoming: DataFrame, ranges: list[tuple[date, date]],
+    log_path: str | None = None, warning: str | None = None, confirmed_empty: bool = False, origin: str = "manual", full_detail: bool = False,
+    chunk_days: int | None = SYNC_CHUNK_DAYS, valid=None,
+) -> tuple[dict, list[dict]]:
+    """Replace ranges that do not overlap, all in one version: the run's log entry, and a summary of each chunk (of each range without `chunk_days`).
+
+    The input is read once. What is read, valid (`valid`: a condition on the incoming lines, which only counts) and stored of each chunk
+    is observed while the lines are written. The lines read are observed before a shuffle, so a lost executor can make them count
+    twice; what is stored is exact. Border months keep their days outside the ranges. The run is published before it is logged: a run
+    that breaks off between the two is not known as covered and is fetched again.
+    """
+    table = Versioned(spark, path)
+    seen, run = table.current(), table.new_run()
+    chunks = [c for a, b in ranges for c in (chunks_of(a, b, chunk_days) if chunk_days else [(a, b)])]
+    labels = sorted({x for a, b in ranges for x in month_labels(a, b)})
+    inside = reduce(lambda x, y: x | y, [between("date", a, b) for a, b in ranges], F.lit(False))
+    counted = Observation(f"read-{run}")
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    reads = [x.alias(f"{n}_{k}") for k, (a, b) in enumerate(chunks) for n, x in (("r", F.count_if(between("date", a, b))), ("v", F.count_if(between("date", a, b) & ok)))]
+    rows = (compact_lines if full_detail else compact)(incoming.filter(inside).observe(counted, F.count("*").alias("received"), *reads))
+    if not full_detail:
+        rows = rows.withColumn("line_id", document_id())
+    border = [x for x in labels if any(not any(a <= d <= b for a, b in ranges) for p in seen.parts.get(x, ()) for d in _days_at_risk(p, ranges))]
+    if border:
+        rows = rows.unionByName(_visible(table, seen, border).filter(~inside), allowMissingColumns=True)
+    stores = [F.count_if(between("date", a, b)).alias(f"s_{k}") for k, (a, b) in enumerate(chunks)]
+    parts, written = _write_months(table, rows, labels, run, stores)
+    read = told(counted)
+    received = read.get("received", 0)
     confirmed = confirmed_empty or empty_is_confirmed(warning)
-    run = {"entity": "sales", "range_start": start, "range_end": end, "empty_confirmed": confirmed, "warning": warning, "origin": origin}
+    entry = {"entity": "sales", "range_start": min(a for a, _ in ranges), "range_end": max(b for _, b in ranges), "empty_confirmed": confirmed, "warning": warning, "origin": origin, "records_received": received}
     if not received and not confirmed:
+        table.drop(f"run={run}")
         if log_path:
-            append_run(spark, log_path, {**run, "records_received": 0, "status": "aborted_empty_response"})
-        raise RuntimeError(f"no valid rows from {start} to {end}; stored data is left as it is")
-    labels = month_labels(start, end)
-    rows = (compact_lines if full_detail else compact)(incoming)
-    months = incoming.select(F.date_format("date", "yyyy-MM").alias("label"))
-    if _exists(spark, path):
-        kept = read_sales(spark, path).filter(_in_months(labels) & ~between("date", start, end))
-        rows = rows.unionByName(kept, allowMissingColumns=True)
-        months = months.unionByName(kept.select(F.date_format("date", "yyyy-MM").alias("label")))
-    present = {r.label for r in months.distinct().collect()}  # at most one row per month of the range
-    if present:
-        write_sales(rows, path)
-    run["records_received"] = received
-    for label in labels:
-        if label not in present:
-            _drop_month(spark, path, label)
-    spark.catalog.refreshByPath(path)
-    run["status"] = "success"
+            append_run(spark, log_path, {**entry, "status": "aborted_empty_response"})
+        raise RuntimeError(f"no valid rows from {entry['range_start']} to {entry['range_end']}; stored data is left as it is")
+    entry["status"] = "success"
+    kept = {k: v for k, v in seen.parts.items() if k not in labels}
+    table.commit(seen, kept | {k: (p,) for k, p in parts.items()}, entry)
     if log_path:
-        append_run(spark, log_path, run)
-    return run
+        for a, b in ranges:
+            append_run(spark, log_path, {**entry, "range_start": a, "range_end": b})
+    table.sweep()
+    number = lambda x, name: x.get(name) or 0
+    return entry, [{"chunk_start": a, "chunk_end": b, "rows_read": number(read, f"r_{k}"), "rows_valid": number(read, f"v_{k}"), "rows_stored": number(written, f"s_{k}")} for k, (a, b) in enumerate(chunks)]
+
+
+def _days_at_risk(part: Part, ranges) -> list[date]:
+    """Days of a part that a range may cut off: its ends, and the days just outside each range that it reaches."""
+    around = [d for a, b in ranges for d in (a - timedelta(days=1), b + timedelta(days=1)) if part.first <= d <= part.last]
+    return [part.first, part.last, *around]
+
+
+def document_id():
+    """Identity of a compacted line."""
+    return F.concat_ws("|", F.col("date").cast("string"), "client_key", "invoice", "product_key", "seller_key", "sales_scheme_key", "route_description", "channel")
+
+
+def merge_lines(spark: SparkSession, path: str, incoming: DataFrame, start: date | None = None, end: date | None = None, full_detail: bool = True, origin: str = "manual") -> Manifest:
+    """Add lines to the store and replace those of the same id, without rewriting the months: they become deltas that reads merge.
+
+    Repeated ids of a batch are summed first. With a range, lines of the batch outside it are left out, and stored lines of its days
+    whose ids the batch lacks are gone as well. Months with many deltas are folded by merge_months.
+    """
+    table = Versioned(spark, path)
+    seen, run = table.current(), table.new_run()
+    rows = (compact_lines if full_detail else compact)(incoming if start is None else incoming.filter(between("date", start, end)))
+    if not full_detail:
+        rows = rows.withColumn("line_id", document_id())
+    if start is None:
+        span = incoming.agg(F.min("date"), F.max("date")).first()
+        if span[0] is None:
+            return seen
+    labels = month_labels(*(span if start is None else (start, end)))
+    parts, _ = _write_months(table, rows, labels, run)
+    held = dict(seen.parts)
+    for label in labels:
+        if start is None:
+            held[label] = (*held.get(label, ()), *([parts[label]] if label in parts else []))
+        elif label in parts:
+            held[label] = (*held.get(label, ()), replace(parts[label], since=start, until=end))
+        elif label in held:  # nothing came: the delta is the base cut down, so rewrite what is left of the month
+            left, _ = _write_months(table, _visible(table, seen, [label]).filter(~between("date", start, end)), [label], f"{run}-{label}")
+            held[label] = (left[label],) if label in left else ()
+    made = table.commit(seen, {k: v for k, v in held.items() if v}, {"entity": "sales", "status": "success", "origin": origin, "range_start": start, "range_end": end})
+    table.sweep()
+    return made
+
+
+def merge_months(spark: SparkSession, path: str, share: float = 0.1) -> list[str]:
+    """Fold the deltas of the months in which they hold more than a share of the base's rows. Returns these months."""
+    table = Versioned(spark, path)
+    seen, run = table.current(), table.new_run()
+    due = sorted(k for k, held in seen.parts.items() if len(held) > 1 and sum(p.rows for p in held[1:]) > share * held[0].rows)
+    if due:
+        parts, _ = _write_months(table, _visible(table, seen, due), due, run)
+        table.commit(seen, {k: v for k, v in seen.parts.items() if k not in due} | {k: (p,) for k, p in parts.items()}, {"entity": "sales", "status": "merged"})
+        table.sweep()
+    return due
+
+
+def merge_outcome(existing: DataFrame, incoming: DataFrame, start: date, end: date) -> DataFrame:
+    """What merging the lines of a range does, in one row: matched and modified ids, new ids (upserted), and ids of the range that go (deleted).
+
+    Both sides have a line_id and the measures. One join by id; a hot day does not matter, since ids are unique.
+    """
+    figures = F.hash(*[F.col(m).cast("decimal(38,6)") for m in MEASURES])
+    side = lambda df, n: df.filter(between("date", start, end)).select("line_id", figures.alias(n))
+    both = side(existing, "old").join(side(incoming, "new"), "line_id", "full")
+    there, here = F.col("old").isNotNull(), F.col("new").isNotNull()
+    return both.agg(F.count_if(there & here).alias("matched"), F.count_if(there & here & (F.col("old") != F.col("new"))).alias("modified"), F.count_if(here & ~there).alias("upserted"), F.count_if(there & ~here).alias("deleted"))
+
+
+def period_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(month, rows, first_date, last_date) of the stored months, from the manifest alone."""
+    stats = Versioned(spark, path).statistics()
+    return stats.groupBy(F.col("key").alias("month")).agg(F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
 
 
 def prune_store(spark: SparkSession, path: str, cutoff: date) -> None:
-    """Drop everything before the cutoff: whole months by folder, the cutoff's month by rewriting it."""
-    label = f"{cutoff:%Y-%m}"
-    months = sorted(f"{r.year}-{r.month:02d}" for r in read_sales(spark, path).select("year", "month").distinct().collect())
-    for old in months:
-        if old < label:
-            _drop_month(spark, path, old)
-    spark.catalog.refreshByPath(path)
-    if label in months:
-        kept = read_sales(spark, path).filter(_in_months([label]) & (F.col("date") >= day(cutoff)))
-        if kept.isEmpty():
-            _drop_month(spark, path, label)
-        else:
-            write_sales(kept, path)
-        spark.catalog.refreshByPath(path)
+    """Drop everything before the cutoff in one version: whole months leave the manifest, the cutoff's month is rewritten."""
+    table = Versioned(spark, path)
+    seen, run, label = table.current(), table.new_run(), f"{cutoff:%Y-%m}"
+    kept = {k: v for k, v in seen.parts.items() if k >= label}
+    if any(p.first < cutoff for p in kept.get(label, ())):
+        parts, _ = _write_months(table, _visible(table, seen, [label]).filter(F.col("date") >= day(cutoff)), [label], run)
+        kept = {k: v for k, v in kept.items() if k != label} | {k: (p,) for k, p in parts.items()}
+    if kept != seen.parts:
+        table.commit(seen, kept, {"entity": "sales", "status": "pruned"})
+        table.sweep()
 
 
 def write_master(incoming: DataFrame, path: str, *keys: str, replace_all: bool = False) -> None:
-    """Store a master: add and update rows by key, or replace all of them."""
-    spark = incoming.sparkSession
-    valid = last_of_key(incoming, *keys)
-    if replace_all or not _exists(spark, path):
-        valid.write.mode("overwrite").parquet(path)
-        return
-    # Spark cannot overwrite a table it is reading: write the merged table beside it, then put its folder in the place.
-    upsert(spark.read.parquet(path), valid, *keys).write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"the merged master is left in {path}.next")
-    spark.catalog.refreshByPath(path)
+    """Store a master in one published version: add and update rows by key, or replace all of them."""
+    table = Versioned(incoming.sparkSession, path)
+    seen, run = table.current(), table.new_run()
+    rows = last_of_key(incoming, *keys)
+    if seen.parts and not replace_all:
+        rows = upsert(read_master(incoming.sparkSession, path), rows, *keys)
+    observed = Observation(f"master-{run}")
+    rows.observe(observed, F.count("*").alias("n")).write.parquet(f"{table.path}/run={run}")
+    table.commit(seen, {"all": (Part(f"run={run}", told(observed).get("n", 0)),)}, {"entity": "master", "status": "success"})
+    table.sweep()
+
+
+def read_master(spark: SparkSession, path: str) -> DataFrame:
+    """A master as of its last published version."""
+    table = Versioned(spark, path)
+    (part,) = table.current().parts["all"]
+    return spark.read.parquet(f"{table.path}/{part.folder}")
 
 
 RUN_SCHEMA = (
@@ -393,10 +538,21 @@ def chunk_totals(rows: DataFrame, ranges: DataFrame, chunk_days: int = SYNC_CHUN
     return joined.groupBy("chunk_start", "chunk_end").agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_valid").alias("rows_valid"))
 
 
-def batch_totals(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(
-        F.count("*").alias("chunks"), F.sum("rows_read").alias("rows_read"), F.sum("rows_valid").alias("rows_valid"),
-        F.min("chunk_start").alias("first_date"), F.max("chunk_end").alias("last_date"))
+def chunk_rows(spark: SparkSession, chunks: list[dict]) -> DataFrame:
+    """The summaries of sync_ranges as a table; as many rows as the calendar has chunks."""
+    names = ["chunk_start", "chunk_end", "rows_read", "rows_valid", "rows_stored"]
+    return literal_rows(spark, names, [tuple(c[n] for n in names) for c in chunks], {n: "date" if "chunk" in n else "bigint" for n in names})
+
+
+def batch_totals(chunks: DataFrame, fetched: DataFrame | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    """One row over the chunks of a batch. With the fetched ranges of a request, also these and what of the request was already stored."""
+    sums = [F.sum(c).alias(c) for c in ("rows_read", "rows_valid", "rows_stored") if c in chunks.columns]
+    row = chunks.agg(F.count("*").alias("chunks"), *sums, F.min("chunk_start").alias("first_date"), F.max("chunk_end").alias("last_date"))
+    if fetched is None:
+        return row
+    text = F.concat(F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
+    listed = lambda df: one_row(df, F.concat_ws(", ", F.sort_array(F.collect_list(text))).alias("t")).t
+    return row.withColumns({"fetched": listed(fetched), "reused": listed(reused_ranges(fetched, start, end))})
 
 
 # Fields offered as filters before any sales are loaded, per master.
