@@ -101,7 +101,7 @@ def test_odd_rows(spark, looked_up):
 def test_trees_of_several_levels(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(align, "FAN", 2)
     monkeypatch.setattr(align, "FLUSH", 2000)
-    monkeypatch.setattr(align, "REMEMBERED", 50_000)
+    monkeypatch.setattr(align, "REMEMBERED", 5_000)
     _whole(queries.op11_align(spark, sf_dir).toPandas(), sf_dir)
 
 

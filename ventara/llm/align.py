@@ -31,7 +31,7 @@ SHARDS = 256
 FAN = 64
 #: Pairs that a task counts before it hands them on, and characters of pieces that a worker remembers.
 FLUSH = 1_000_000
-REMEMBERED = 16_000_000
+REMEMBERED = 12_000_000
 #: Pairs looked up in the tasks (17 bytes each); rarer ones are joined.
 LOOKED_UP = 2_000_000
 #: Bits per key in the first level of a perfect hash.
@@ -139,11 +139,11 @@ class Aligner:
         #: Whether a token of the second tokenizer could cross a cut; then texts stay whole.
         self.crossed = any("▁" in p.lstrip("▁") for p in named)
         self.turn = 0
-        self.forget(pairs=True)
+        self.forget()
 
-    def forget(self, pairs: bool = False) -> None:
-        """Drop all pieces, and with `pairs` the numbers of the pairs."""
-        self.turn += 1
+    def forget(self) -> None:
+        """Drop all pieces and pairs."""
+        self.turn, self.kept = self.turn + 1, 0
         self.numbers: dict[str, int] = {}
         self.held = 0
         #: Of each piece: whether its bytes are spelt out; tokens of the first, of the second, groups, links; groups as text; where its pairs start.
@@ -152,9 +152,17 @@ class Aligner:
         self.starts.extend(np.zeros(1, np.int64))
         #: Pairs of all pieces, and their links in the piece.
         self.pairs, self.links = Grown(np.int32), Grown(np.int64)
-        if pairs:
-            self.index: dict[int, int] = {}
-            self.keys = Grown(np.int64)
+        self.index: dict[int, int] = {}
+        self.keys = Grown(np.int64)
+
+    def shorten(self) -> None:
+        """Drop the later half of the pieces: those met first are the frequent ones. Pairs keep their numbers."""
+        self.turn, self.kept = self.turn + 1, self.valid.n // 2
+        self.numbers = {piece: k for piece, k in self.numbers.items() if k < self.kept}
+        self.held = sum(20 + len(piece) for piece in self.numbers)
+        self.valid.n = self.counts.n = self.kept
+        self.starts.n, self.groups[self.kept :] = self.kept + 1, []
+        self.pairs.n = self.links.n = int(self.starts.all[-1])
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text; each stands for a space and itself."""
@@ -169,7 +177,7 @@ class Aligner:
     def learn(self, texts: list[str | None], spell: bool) -> list[np.ndarray | None]:
         """The numbers of the pieces of every text; None where a text has no tokens. Numbers hold until the next call."""
         if self.held > REMEMBERED:
-            self.forget()
+            self.shorten()
         cuts = [self.cut(t) if t else [] for t in texts]
         if new := list(set().union(*cuts).difference(self.numbers)):
             self._add(new, spell)
@@ -241,11 +249,14 @@ class Aligner:
         return [next(said) if ok else "" for ok in valid.tolist()]
 
 
-def _aligner(held) -> Aligner:
-    """The aligner of broadcast tokenizers, made once in each Python worker."""
+def _aligner(held, use: str) -> Aligner:
+    """The aligner of broadcast tokenizers, made once in each Python worker; what it remembers serves the tasks of one use."""
     value = held.value
     if "aligner" not in value:
         value["aligner"] = Aligner(value["labels"], value["specials"], value["pieces"])
+    if value.get("use") != use:
+        value["aligner"].forget()
+    value["use"] = use
     return value["aligner"]
 
 
@@ -266,8 +277,7 @@ def _parts(texts: DataFrame, held) -> DataFrame:
         ], names=names)
 
     def run(batches):
-        aligner, number = _aligner(held), 0
-        aligner.forget(pairs=True)
+        aligner, number = _aligner(held, "count"), 0
         counted = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -278,7 +288,7 @@ def _parts(texts: DataFrame, held) -> DataFrame:
                         counted[np.unique(aligner.pairs_of(np.unique(own)))] += 1
                 if len(counted) >= FLUSH:
                     yield rows(aligner.keys.all[counted > 0], counted[counted > 0], number)
-                    aligner.forget(pairs=True)
+                    aligner.forget()
                     counted, number = np.zeros(0, np.int64), number + 1
         if counted.any():
             yield rows(aligner.keys.all[counted > 0], counted[counted > 0], number)
@@ -456,21 +466,22 @@ def aligned(df: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_i
     highest, floor = _highest(table), _floor(table, looked_up)
     shards = _frequent(table, floor) if floor else table.collect()
     found = spark.sparkContext.broadcast({"shards": [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in shards], "highest": highest})
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    names, use = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"], scratch.root  # a use of its own: the counts differ
     kind = df.schema[id_column].dataType
 
     def run(batches):
         value = found.value
         if "lookup" not in value:
             value["lookup"] = Lookup(value["shards"], value["highest"])
-        aligner, lookup, turn, told = _aligner(held), value["lookup"], 0, None
-        aligner.forget(pairs=True)
+        aligner = _aligner(held, use)
+        told = value.setdefault("told", Told(aligner, value["lookup"]))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
+                if aligner.keys.n > FLUSH:
+                    aligner.forget()
+                    told.known.n = 0
                 known = aligner.learn(part.column(1).to_pylist(), spell=True)
-                if turn != aligner.turn:
-                    turn, told = aligner.turn, Told(aligner, lookup)
                 told.follow()
                 sums, shas, late = np.zeros((len(known), 6), np.int64), [""] * len(known), [[] for _ in known]
                 for k, own in enumerate(known):
@@ -495,13 +506,17 @@ class Told:
     """What the counts say of an aligner's pieces: counts, best links and sum of counts (`figures`), and pairs that were not found (`missed`)."""
 
     def __init__(self, aligner: Aligner, lookup: Lookup):
-        self.aligner, self.lookup = aligner, lookup
+        self.aligner, self.lookup, self.turn = aligner, lookup, aligner.turn
         self.figures, self.missed = Grown(np.int64, 6), {}
         self.known = Grown(np.int64)  # count of each pair
 
     def follow(self) -> None:
         """Look at the pieces and pairs that are new since the last call."""
-        aligner, old = self.aligner, self.figures.n
+        aligner = self.aligner
+        if self.turn != aligner.turn:
+            self.turn, self.figures.n = aligner.turn, min(self.figures.n, aligner.kept)
+            self.missed = {p: x for p, x in self.missed.items() if p < self.figures.n}
+        old = self.figures.n
         self.known.extend(self.lookup.counts(aligner.keys.all[self.known.n :]))
         starts = aligner.starts.all[old:]
         pairs, links = aligner.pairs.all[starts[0] :], aligner.links.all[starts[0] :]
