@@ -187,14 +187,36 @@ def test_mixing(spark, odd):
     found = mixing.mixed(docs(spark, rows))
     assert found.columns[:-1] == docs(spark, rows).columns
     got = {r["doc_id"]: r["_mix"]["sampled"] for r in found.collect()}
-    assert got == brute.mix([(i, t, s, g) for i, t, g, s in rows], mixing.TEMPER, mixing.ITERATIONS)
+    assert got == brute.mix([(i, t, s, g) for i, t, g, s in rows], mixing.TEMPER, 30)
     assert mixing.mixed(docs(spark, [])).count() == 0
     given = {"source": [("s", 0.5), ("t", 0.5)], "lang": [("en", 0.6), ("de", 0.4)], "topic": [("prose", 0.7), ("figures", 0.3)]}
     rng = random.Random(3)
     full = [(k, " ".join(["w"] * rng.randrange(1, 50)) + (" 1" if k % 2 else ""), ("en", "de")[k // 2 % 2], ("s", "t")[k // 4 % 2]) for k in range(200)]
-    mixed = mixing.mixed(docs(spark, full), targets={m: spark.createDataFrame(v, "value string, share double") for m, v in given.items()}).select("source", "lang", "_mix.*").toPandas()
-    mixed["weight"] = mixed.tokens * mixed.factor
-    for margin, shares in given.items():
-        held = mixed.groupby(margin).weight.sum() / mixed.tokens.sum()
-        assert all(abs(held[v] - share) < 1e-6 for v, share in shares)
-    assert mixed.probability.max() == 1.0
+    for most in (mixing.CELLS, 0):  # on the driver and by shuffle
+        mixed = mixing.mixed(docs(spark, full), targets={m: dict(v) for m, v in given.items()}, most=most).select("source", "lang", "_mix.*").toPandas()
+        mixed["weight"] = mixed.tokens * mixed.factor
+        for margin, shares in given.items():
+            held = mixed.groupby(margin).weight.sum() / mixed.tokens.sum()
+            assert all(abs(held[v] - share) < 1e-6 for v, share in shares)
+        assert mixed.probability.max() == 1.0
+    assert {r["doc_id"]: r["_mix"]["sampled"] for r in mixing.mixed(docs(spark, rows), most=0).collect()} == got
+
+
+def test_targets_that_cannot_be_met(spark):
+    cells = [("s", "en", "prose", 60), ("t", "en", "prose", 40), ("u", "de", "prose", 0)]
+    want = {"source": {"s": 0.25, "t": 0.25, "gone": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}
+    weight, rounds, residual, unmet = mixing.rake(cells, want)
+    assert weight.tolist() == [50.0, 50.0, 0.0] and unmet == {"source": ["gone"], "lang": ["de"], "topic": []} and max(residual.values()) <= mixing.TOLERANCE and rounds < 5
+    packed = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    for most in (mixing.CELLS, 0):
+        found = mixing.fit(packed, want, most)
+        assert found.unmet == unmet and max(found.residual.values()) <= mixing.TOLERANCE
+        assert {r["source"]: r["factor"] for r in found.factors.collect()} == {"s": 50 / 60, "t": 50 / 40, "u": None}
+    stuck = mixing.rake([("s", "en", "prose", 60), ("t", "de", "prose", 40)], {"source": {"s": 0.5, "t": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": {"prose": 1.0}})
+    assert stuck[1] == mixing.ROUNDS and stuck[2]["source"] > 0.1  # two margins that contradict each other: the last one is met
+
+
+def test_columns_that_bear_the_names_of_results(spark):
+    df = spark.createDataFrame([(1, "a\nb", "en", "s", 1, 2)], "doc_id long, text string, lang string, source string, _mix int, _Lines int")
+    assert mixing.mixed(df).columns == [*df.columns, "_mix_"] and lines.dedup(df).columns == [*df.columns, "_lines_"]
+    assert mixing.mixed(df).first()["_mix_"]["topic"] == "prose" and lines.dedup(df).first()["_lines_"]["kept"] == "a\nb"

@@ -78,6 +78,13 @@ class Scratch:
                 files.delete(x.getPath(), True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added while df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def bucket_of(id_column: str, modulus: int):
     """crc32 of the id as text, modulo a number; 0 for a missing id."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

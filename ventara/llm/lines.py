@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventara.llm.base import Scratch
+from ventara.llm.base import Scratch, free_name
 
 #: Shortest key that counts, batches of documents, and runs of a level that are compacted into one.
 MIN_LENGTH, BATCHES, FANOUT = 10, 4, 2
@@ -116,7 +116,7 @@ def dropped_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """All columns of df, and `_lines`: struct<n_lines, n_dropped, kept>, of every row.
+    """All columns of df, and behind them `_lines` (with underscores added while df has it): struct<n_lines, n_dropped, kept>.
 
     Null and empty texts are one empty line that stays (kept is the empty text). Lines that repeat inside the owner stay. Rows with
     the same id count as one document; identical rows keep the same lines. Rows without id are left as they are and own no key.
@@ -131,4 +131,4 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", **settin
     )
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), df[id_column].alias("id"), F.xxhash64(df[text]).alias("sig"), df[text].alias("text"))
     joined = packed.join(cuts, ["id", "sig"], "left").select("row", "_cuts", split_lines(F.col("text")).alias("_split"))
-    return joined.select("row.*", F.struct(F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join(kept, "\n").alias("kept")).alias("_lines"))
+    return joined.select("row.*", F.struct(F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join(kept, "\n").alias("kept")).alias(free_name(df, "_lines")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ventara.llm.base import map_values
+from ventara.llm.base import free_name, map_values
 
 #: Labelled documents of each class that are learned from (the lowest hashes of their id), latent dimensions, voters, sharpness of the weights, and acceptance.
 SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD = 1500, 32, 25, 8, 0.3
@@ -185,7 +185,5 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name
 
 def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df with a score of at least the threshold, all their columns as they are."""
-    name = "_score"
-    while name in df.columns:
-        name += "_"
+    name = free_name(df, "_score")
     return score(df, model, df.columns, text, name).where(F.col(name) >= threshold).drop(name)
