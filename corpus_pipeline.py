@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier document holds; n_chars follows the text, and null texts stay null."""
     kept = lines.dedup(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("_lines.kept"))
+    text = F.when(F.col("text").isNotNull(), F.col(kept.columns[-1])["kept"])
     return kept.withColumns({"text": text, "n_chars": F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length(text), F.lit(0)).cast("bigint"))}).select(*docs.columns)
 
 
@@ -31,7 +31,8 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents by calibrated probabilities."""
-    return mixing.mixed(docs).where("_mix.sampled").select(*docs.columns)
+    drawn = mixing.mixed(docs)
+    return drawn.where(F.col(drawn.columns[-1])["sampled"]).select(*docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read back for the next."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """All stages over documents; what a stage returns is written to the shared folder and read back for the next, then it goes.
+
+    Rows with a null id are no near-duplicates and own no line; null and empty texts are scored, weigh nothing and stay null or empty;
+    repeated rows stay or go together; an empty table gives an empty result; further columns of any name are carried along.
+    """
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            scratch.drop(before)
+        before = name
+    result = scratch.write(STAGES[-1][1](spark, docs, sf_dir), "result")
+    scratch.drop_but("result")
+    return result
