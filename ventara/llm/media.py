@@ -30,7 +30,7 @@ STEPS = np.array([
 MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
 #: Samples a second of the stored form and of the PCM made from it, bytes of an ADPCM block, and unit of the payload.
-RATE, PCM_RATE, BLOCK, UNIT = 8000, 16000, 36, 576
+RATE, PCM_RATE, BLOCK, UNIT = 8000, 4000, 36, 576
 
 #: Bytes decoded at once in a task.
 CHUNK = 1 << 21
@@ -145,16 +145,24 @@ def payload(text: str | None) -> bytes:
 
 
 def store(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, media): the payload of every text (null: empty) as mu-law codes of a WAVE file. Repeated rows stay."""
-    return map_values(df, [id_column], text, [("media", "binary")], lambda texts: [[wrap(payload(t)) for t in texts]])
+    """(id, media, pcm): the payload of every text (null: empty) as mu-law codes of a WAVE file, and its samples as 16-bit PCM at PCM_RATE.
+
+    Repeated rows stay.
+    """
+
+    def make(texts: list) -> list:
+        medias = [wrap(payload(t)) for t in texts]
+        return [medias, [resample(*decode(m), PCM_RATE).astype("<i2").tobytes() for m in medias]]
+
+    return map_values(df, [id_column], text, [("media", "binary"), ("pcm", "binary")], make)
 
 
-def _chunks(values: list[bytes]) -> Iterator[list[bytes]]:
-    """Consecutive values of about CHUNK bytes."""
+def _chunks(values: list[dict]) -> Iterator[list[dict]]:
+    """Consecutive values of about CHUNK bytes of media."""
     held, size = [], 0
     for value in values:
         held.append(value)
-        size += len(value)
+        size += len(value["media"])
         if size >= CHUNK:
             yield held
             held, size = [], 0
@@ -162,17 +170,17 @@ def _chunks(values: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _described(medias: list[bytes]) -> Iterator[tuple]:
-    codes = [unwrap(m)[3] for m in medias]
+def _described(held: list[dict]) -> Iterator[tuple]:
+    codes = [unwrap(x["media"])[3] for x in held]
     raw = np.frombuffer(b"".join(codes), np.uint8)
     sums = np.abs(adpcm_blocks(raw.reshape(-1, BLOCK)).astype(np.int32)).sum(axis=1, dtype=np.int64)
     starts = np.cumsum([0, *(len(c) for c in codes)])
     adpcm = np.add.reduceat(sums, starts[:-1] // BLOCK)
-    for k, (media, code) in enumerate(zip(medias, codes, strict=True)):
+    for k, (x, code) in enumerate(zip(held, codes, strict=True)):
+        media, pcm = x["media"], zlib.crc32(x["pcm"])
         own = raw[starts[k] : starts[k + 1]]
         loud, other = MULAW[own], ALAW[own]
         energy, turns = int(np.square(loud, dtype=np.int64).sum()), int(np.count_nonzero((loud[1:] < 0) != (loud[:-1] < 0)))
-        pcm = zlib.crc32(resample(loud, RATE, PCM_RATE).tobytes())
         feature = f"mulaw={energy},{turns};alaw={int(np.square(other, dtype=np.int64).sum())};adpcm={int(adpcm[k])};pcm={pcm:08x}"
         yield len(code.rstrip(b"\xff")), len(code), hashlib.sha256(code).hexdigest(), zlib.crc32(code[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
@@ -181,13 +189,16 @@ def features(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """What the stored bytes hold: sizes and digests of payload and media, and a feature text.
 
     The feature has, in whole numbers, energy and sign changes of the mu-law samples, energy of the same codes read as A-law,
-    the sum of absolute samples of the codes read as IMA ADPCM blocks, and the CRC-32 of the resampled PCM.
+    the sum of absolute samples of the codes read as IMA ADPCM blocks, and the CRC-32 of the stored PCM.
     """
     fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
-    return map_values(stored, [id_column], "media", fields, lambda values: list(zip(*(row for part in _chunks(values) for row in _described(part)), strict=True)))
+    both = stored.select(stored[id_column], F.struct("media", "pcm").alias("held"))
+    return map_values(both, [id_column], "held", fields, lambda values: list(zip(*(row for part in _chunks(values) for row in _described(part)), strict=True)))
 
 
 def stored_features(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the media table to the shared folder, read it back, and describe what was read."""
+    """Write the table of media and PCM to the shared folder, read it back, and describe what was read; then the table goes."""
     scratch = Scratch(df.sparkSession, "media")
-    return features(scratch.write(store(df, id_column, text), "media"), id_column)
+    result = scratch.write(features(scratch.write(store(df, id_column, text), "media"), id_column), "result")
+    scratch.drop("media")
+    return result
