@@ -9,7 +9,7 @@ from checks.fixtures import CUR, PERIOD, PREV, SEEN, Checks, with_fact
 from ventara.functions.rows import literal_rows
 from ventara.operators import consistency, core, focus, history, opportunity
 from ventara.plans.period import slice_history
-from ventara.plans.session import stored
+from ventara.plans.session import kept
 
 C = Checks()
 
@@ -157,13 +157,13 @@ def lifecycle_counts(fact):
 
 @C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",), once=True)
 def clients_summary(fact):
-    return focus.clients_summary(fact, PERIOD, stored(focus.clients_dashboard(fact, PERIOD, stored(_clients(fact)))))
+    return focus.clients_summary(fact, PERIOD, kept(focus.clients_dashboard(fact, PERIOD, kept(_clients(fact)))))
 
 
 @C.add("clients_alerts", with_fact("SELECT * FROM calerts", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE, _CALERT_CTE), once=True)
 def clients_alerts(fact):
-    clients = stored(_clients(fact))
-    dashboard = stored(focus.clients_dashboard(fact, PERIOD, clients))
+    clients = kept(_clients(fact))
+    dashboard = kept(focus.clients_dashboard(fact, PERIOD, clients))
     return focus.clients_alerts(focus.clients_summary(fact, PERIOD, dashboard), dashboard, clients)
 
 
@@ -339,8 +339,8 @@ _OALERT_CTE = """oalerts AS (SELECT 'opportunities' AS board, 'warn' AS severity
 
 
 def _opps(fact):
-    fact = stored(fact)
-    return opportunity.all_opportunities(fact, PERIOD, stored(_clients(fact)), stored(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
+    fact = fact if "lines" in fact.columns else kept(core.sales_grain(fact))
+    return opportunity.all_opportunities(fact, PERIOD, kept(_clients(fact)), kept(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
 
 
 @C.add("opportunities_all", with_fact("SELECT * FROM opps", GAPS_CTE, CLIENTS_CTE, DIMS_CTE, _OPP_CTE))

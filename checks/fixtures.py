@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ventara.plans.period import MonthWindow, Period
-from ventara.plans.session import configure, stored
+from ventara.operators.core import sales_grain
+from ventara.plans.session import configure, kept
 
 PERIOD = Period(date(2001, 5, 1), date(2001, 7, 31), date(2001, 1, 29), date(2001, 4, 30))
 MONTH = MonthWindow(date(2001, 7, 20))
@@ -169,7 +170,7 @@ class Checks:
     def add(self, name: str, oracle: str | None = None, on_fact: bool = True, rounded: tuple = (), once: bool = False):
         """`rounded` names ratios whose last bits depend on summation order; both sides compare 6 decimals.
 
-        With `once` the fact is stored first, for queries that read it several times.
+        With `once` the query gets the kept sales grain in place of the fact, for queries that read it several times.
         """
         if oracle and rounded:
             replaced = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in rounded)
@@ -178,7 +179,7 @@ class Checks:
         def register(build):
             def run(spark, sf_dir):
                 configure(spark)
-                df = report(build(stored(fact(spark, sf_dir)) if once else fact(spark, sf_dir)) if on_fact else build(spark, sf_dir))
+                df = report(build(kept(sales_grain(fact(spark, sf_dir))) if once else fact(spark, sf_dir)) if on_fact else build(spark, sf_dir))
                 return df.withColumns({c: F.round(c, 6) for c in rounded}) if rounded else df
 
             run.__name__ = name

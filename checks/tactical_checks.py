@@ -9,7 +9,7 @@ from checks.fixtures import CUR, MONTH, MONTH_PREV, MTD, MTD_PREV, MTD_YEAR_AGO,
 from ventara.functions.rows import literal_rows
 from ventara.operators import board, tactical as ops
 from ventara.operators import core, focus, history, opportunity
-from ventara.plans.session import stored
+from ventara.plans.session import kept
 
 C = Checks()
 
@@ -314,8 +314,8 @@ def _board_sql():
 
 def _parts(fact):
     hist, cur = dash._hist(fact), fact.filter(PERIOD.in_selected())
-    clients = stored(core.client_stats(fact, PERIOD))
-    dashboard = stored(focus.clients_dashboard(fact, PERIOD, clients))
+    clients = kept(core.client_stats(fact, PERIOD))
+    dashboard = kept(focus.clients_dashboard(fact, PERIOD, clients))
     return {
         "budget": history.budget_summary(history.budget_monthly(hist, dash.budget_of(fact))), "history": history.history_summary(hist, cur),
         "opportunities": opportunity.opportunities_summary(dash._opps(fact)), "clients": focus.clients_summary(fact, PERIOD, dashboard),

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ventara.functions.numbers import dbl, moderated, pct_change, ratio, share_pct
 from ventara.functions.text import clean
 from ventara.operators.core import (
-    amount_where, client_status, money, one_row, purchase_gaps, ranked, status_rank, usual_values,
+    amount_where, client_status, money, one_row, purchase_gaps, ranked, status_rank, usual_values, weight,
 )
-from ventara.plans.session import stored
+from ventara.plans.session import kept
 
 # Routes counted as not covered.
 UNCOVERED_ROUTES = ("", "sin ruta")
@@ -100,7 +100,11 @@ def dimension_ranking(fact: DataFrame, dim_a: str, dim_b: str | None = None, met
 
 def ranking_concentration(fact: DataFrame, dimension: str, metric: str = "amount", top_n: int = 20) -> DataFrame:
     """Total, top-three share and Herfindahl index over the listed labels and over all of them."""
-    items = fact.groupBy(clean(dimension).alias("label")).agg(F.sum(metric).alias("exact"))
+    return concentration_of(fact.groupBy(clean(dimension).alias("label")).agg(F.sum(metric).alias("exact")), top_n)
+
+
+def concentration_of(items: DataFrame, top_n: int = 20) -> DataFrame:
+    """The same from sums (label, exact)."""
     grand = one_row(items, F.sum("exact").alias("total"))
     share = ratio("exact", grand.total)
     squares = items.agg((F.sum(share * share) * 10000).alias("hhi"))
@@ -154,7 +158,7 @@ def churn_clients(fact: DataFrame, client: str = "client_key", metric: str = "am
         clean(client).alias("client_key"), "client", "date", "period", F.col(metric).alias("metric"),
         F.coalesce(F.nullif(clean("invoice"), F.lit("")), F.col("date").cast("string")).alias("order"),
         (clean(segment) if segment else F.lit(None).cast("string")).alias("segment"),
-        F.coalesce(F.col("date") >= F.date_sub(last, 364), F.lit(False)).alias("recent"),
+        F.coalesce(F.col("date") >= F.date_sub(last, 364), F.lit(False)).alias("recent"), weight(fact).alias("w"),
     )
     sums = rows.groupBy("client_key").agg(
         F.coalesce(F.sum(F.when(F.col("recent"), F.col("metric"))), F.lit(0)).alias("sales12"),
@@ -163,7 +167,7 @@ def churn_clients(fact: DataFrame, client: str = "client_key", metric: str = "am
         F.count_distinct("order").alias("orders_all"),
         F.count_distinct(F.when(F.col("recent"), F.col("period"))).alias("months_active"),
     )
-    combos = rows.groupBy("client_key", "client", "segment").agg(F.count("*").alias("n"), F.max("date").alias("date"))
+    combos = rows.groupBy("client_key", "client", "segment").agg(F.sum("w").alias("n"), F.max("date").alias("date"))
     names = combos.groupBy("client_key").agg(F.coalesce(F.max(F.struct("date", "client")).client, F.col("client_key")).alias("client"))
     sums = sums.join(names, "client_key").join(usual_values(combos, "client_key", ["segment"]), "client_key")
     gaps = purchase_gaps(rows.filter(F.col("date").isNotNull()))
@@ -190,7 +194,7 @@ def churn_risk_list(clients: DataFrame, n: int = 50) -> DataFrame:
 def churn_status(clients: DataFrame) -> DataFrame:
     return clients.groupBy("status").agg(
         F.count("*").alias("clients"),
-        dbl(F.sum(F.col("sales12m").cast("decimal(28,4)"))).alias("sales12m"),
+        dbl(F.sum(F.col("sales12m").cast("decimal(38,6)"))).alias("sales12m"),
     )
 
 
@@ -206,7 +210,7 @@ def churn_summary(clients: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(buyer, F.col("orders12"))), F.lit(0)).alias("orders12m"),
         F.count_if(buyer).alias("buyers12m"),
         dbl(F.avg(F.round("avg_ticket", 2).cast("decimal(28,2)"))).alias("avg_ticket"),
-        dbl(F.coalesce(F.sum(F.when(at_risk, F.col("history_sales").cast("decimal(28,4)"))), F.lit(0))).alias("at_risk_sales"),
+        dbl(F.coalesce(F.sum(F.when(at_risk, F.col("history_sales").cast("decimal(38,6)"))), F.lit(0))).alias("at_risk_sales"),
     )
     return row.select(
         "*",
@@ -292,7 +296,7 @@ product_analysis = partial(performance, dimension="family")
 
 def performance_summary(stats: DataFrame) -> DataFrame:
     """Total, number of labels, leader, top-three share and how many labels grow or decline."""
-    exact = F.col("value").cast("decimal(28,4)")
+    exact = F.col("value").cast("decimal(38,6)")
     top = ranked(stats.select("label", "share_pct", "growth_pct", exact.alias("exact")), 3, [F.desc("exact"), "label"])
     head = one_row(
         top,
@@ -328,7 +332,7 @@ def channel_analysis(fact: DataFrame, dimension: str = "channel", metric: str =
 def channel_summary(stats: DataFrame) -> DataFrame:
     return stats.agg(
         F.count("*").alias("channels"),
-        dbl(F.sum(F.col("value").cast("decimal(28,4)"))).alias("total"),
+        dbl(F.sum(F.col("value").cast("decimal(38,6)"))).alias("total"),
         F.max(F.struct("value", "label", "share_pct")).alias("top"),
     ).select("channels", "total", F.col("top.label").alias("leader"), F.col("top.share_pct").alias("leader_share_pct"))
 
@@ -344,7 +348,7 @@ def geographic_coverage(fact: DataFrame, dimension: str = "route_description", m
 
 
 def geographic_summary(stats: DataFrame) -> DataFrame:
-    exact = F.col("value").cast("decimal(28,4)")
+    exact = F.col("value").cast("decimal(38,6)")
     return stats.agg(
         dbl(F.sum(exact)).alias("total"),
         F.count("*").alias("routes"),
@@ -355,13 +359,13 @@ def geographic_summary(stats: DataFrame) -> DataFrame:
 def margin_analysis(fact: DataFrame, dimension: str | None = None, revenue: str = "amount", cost: str = "cost") -> DataFrame:
     """Revenue, cost and margin per label plus a total row, from one grouping-sets aggregation."""
     label = clean(dimension) if dimension else F.lit("Total")
-    rows = fact.select(label.alias("label"), F.col(revenue).alias("rev"), F.col(cost).alias("cst"))
+    rows = fact.select(label.alias("label"), F.col(revenue).alias("rev"), F.col(cost).alias("cst"), weight(fact).alias("w"))
     keyed = F.col("label")
     grouped = rows.groupingSets([[keyed], []], keyed).agg(
         F.grouping("label").alias("is_total"),
         F.coalesce(F.sum("rev"), F.lit(0)).alias("rev"),
         F.coalesce(F.sum("cst"), F.lit(0)).alias("cst"),
-        F.count("*").alias("volume"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("volume"),
     )
     return grouped.select(
         F.when(F.col("is_total") == 1, "Total").otherwise(F.col("label")).alias("label"),
@@ -423,7 +427,7 @@ def run_all(fact: DataFrame, names=tuple(ANALYSES), slots: dict[str, dict] | Non
     for name in names:
         try:
             frame = run_task(fact, name, slots[name]) if slots and name in slots else run_analysis(fact, name)
-            frames[name] = stored(frame) if keep else frame
+            frames[name] = kept(frame) if keep else frame
         except Exception as error:  # noqa: BLE001 - one analysis must not stop the others
             errors[name] = str(error).splitlines()[0]
     return frames, errors

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ventara.functions.numbers import dbl, pct_change, ratio, share_pct
+from ventara.functions.numbers import MEASURE, dbl, pct_change, ratio, share_pct
 from ventara.functions.text import clean, is_missing_label, label_of
 from ventara.plans.period import Period, day
 from ventara.plans.schema import REPORT_DIMENSIONS
@@ -24,6 +24,26 @@ def amount_where(condition, measure="amount") -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(measure))), F.lit(0))
 
 
+#: Labels that the reports of the fact know, and the identities that their counts need.
+IDENTITIES = ("date", "period", "year", "month", "client_key", "client", "client_name", "client_canonical", "invoice")
+LABELS = ("seller_name", "sales_force", "route_description", "family", "brand", "business_unit", "channel", "supplier", "has_article_match", "has_seller_match")
+
+
+def sales_grain(fact: DataFrame, labels=LABELS, measures=("amount", "quantity")) -> DataFrame:
+    """The fact at the grain of the reports: day, client, invoice and labels, with summed measures and the number of `lines`.
+
+    Every sum, distinct count and most frequent value over these columns is the same as over the fact; operators count `lines`
+    where they count rows. One pass with a partial aggregate, so a large order or client is small before the shuffle.
+    """
+    keys = [c for c in (*IDENTITIES, *labels) if c in fact.columns]
+    return fact.groupBy(*keys).agg(*[F.sum(m).cast(MEASURE).alias(m) for m in measures], F.count("*").alias("lines"))
+
+
+def weight(df: DataFrame) -> Column:
+    """Lines of the fact that a row stands for."""
+    return F.col("lines") if "lines" in df.columns else F.lit(1)
+
+
 def order_key() -> Column:
     """Order identity of the reports: date, client and invoice."""
     return F.struct(F.col("date"), clean("client_key").alias("client"), clean("invoice").alias("invoice"))
@@ -126,8 +146,8 @@ def client_stats(fact: DataFrame, period: Period) -> DataFrame:
         number("month", "cur").alias("months_active"), number("order", "cur").alias("cur_orders"), number("order", "seen").alias("all_orders"),
         number("family", "cur").alias("cur_families"), number("family", "seen").alias("all_families"))
     totals = totals.join(distinct, "client_key", "left").na.fill(0, ["months_active", "cur_orders", "all_orders", "cur_families", "all_families"])
-    combos = fact.select("client_key", "client", *[label_of(f).alias(f) for f in owner], F.when(seen, F.col("date")).alias("day")).groupBy(
-        "client_key", "client", *owner).agg(F.count("*").alias("n"), F.max("day").alias("day"))
+    combos = fact.select("client_key", "client", *[label_of(f).alias(f) for f in owner], F.when(seen, F.col("date")).alias("day"), weight(fact).alias("w")).groupBy(
+        "client_key", "client", *owner).agg(F.sum("w").alias("n"), F.max("day").alias("day"))
     names = combos.groupBy("client_key").agg(F.max(F.when(F.col("day").isNotNull(), F.struct("day", "client"))).alias("last"))
     gaps = purchase_gaps(fact.filter(seen))
     bought = F.col("cur_rows") > 0
@@ -194,7 +214,7 @@ def orders_index(fact: DataFrame) -> DataFrame:
 
 def concentration_share(stats: DataFrame, n: int, metric: str = "sales", by=()) -> DataFrame:
     """Share of the n largest items, per group when `by` is given."""
-    exact = F.col(metric).cast("decimal(28,4)").alias("value")
+    exact = F.col(metric).cast("decimal(38,6)").alias("value")
     items = stats.select(*by, exact)
     top = ranked(items, n, [F.desc("value")], by).groupBy(*by).agg(dbl(F.sum("value")).alias("top"))
     total = items.groupBy(*by).agg(dbl(F.sum("value")).alias("total"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ventara.functions.numbers import dbl, pct_change_abs, ratio, share_pct, to_tenth
 from ventara.functions.text import first_text, folded, label_of
-from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, status_rank, usual_values
+from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, status_rank, usual_values, weight
 from ventara.plans.period import Period
 
 NO_SELLER = "Sin vendedor"
 
 
 def _exact(c):
-    return F.col(c).cast("decimal(38,4)")
+    return F.col(c).cast("decimal(38,6)")
 
 
 def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:
@@ -22,7 +22,7 @@ def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:
     rows = fact.select(
         label_of("seller_name").alias("seller"), client_id().alias("client"), invoice_id().alias("invoice"), "amount", "quantity",
         label_of("sales_force").alias("force"), label_of("route_description").alias("route"),
-        period.in_selected().alias("cur"), period.in_comparison().alias("prev"),
+        period.in_selected().alias("cur"), period.in_comparison().alias("prev"), weight(fact).alias("w"),
     ).filter(cur | prev)
     total = one_row(rows.filter(cur), F.coalesce(F.sum("amount"), F.lit(0)).alias("t")).t
     base = rows.groupBy("seller").agg(
@@ -30,7 +30,7 @@ def sellers_dashboard(fact: DataFrame, period: Period) -> DataFrame:
         F.count_distinct(F.when(cur, F.col("invoice"))).alias("orders"),
     )
     # Usual force and route of the selected period, else of the comparison.
-    combos = rows.groupBy("seller", "force", "route", "cur").agg(F.count("*").alias("n"))
+    combos = rows.groupBy("seller", "force", "route", "cur").agg(F.sum("w").alias("n"))
     usual = usual_values(combos, "seller", ("force", "route"), "cur")
     pairs = rows.filter(F.col("client").isNotNull()).groupBy("seller", "client").agg(
         amount_where(cur).alias("value"), F.bool_or("cur").alias("in_cur"), F.bool_or("prev").alias("in_prev"))

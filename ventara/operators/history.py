@@ -170,7 +170,7 @@ BUDGET_FIELDS = {"channel": "channel", "seller": "seller_name", "family": "famil
 
 def budget_monthly(fact: DataFrame, budget: DataFrame) -> DataFrame:
     """Actual sales per month against the monthly budget (period, budget); no plan counts as zero."""
-    plan = budget.groupBy("period").agg(F.max("budget").cast("decimal(28,4)").alias("budget"))
+    plan = budget.groupBy("period").agg(F.max("budget").cast("decimal(38,6)").alias("budget"))
     months = fact.groupBy("period").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("actual"))
     return months.join(plan, "period", "left").select(
         "period", dbl("actual").alias("sales"), dbl(F.coalesce("budget", F.lit(0))).alias("budget"),
@@ -179,7 +179,7 @@ def budget_monthly(fact: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def budget_summary(monthly: DataFrame) -> DataFrame:
-    exact = lambda c: F.sum(F.col(c).cast("decimal(28,4)"))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,6)"))
     row = monthly.agg(
         F.count_if(F.col("budget") > 0).alias("months_budgeted"),
         F.max(F.struct("period", "budget", "gap", "gap_pct")).alias("m"),
@@ -210,7 +210,7 @@ def budget_by_dimension(fact: DataFrame, budget: DataFrame, shares: DataFrame, d
     last = one_row(fact, F.max("period").alias("p")).p
     rows = fact.filter(F.col("period") == last)
     plan = budget.filter(F.col("period") == last)
-    month_budget = F.coalesce(one_row(plan, F.max("budget").cast("decimal(28,4)").alias("b")).b, F.lit(0))
+    month_budget = F.coalesce(one_row(plan, F.max("budget").cast("decimal(38,6)").alias("b")).b, F.lit(0))
     total = one_row(rows, F.sum("amount").alias("t")).t
     if dimension == "total":
         return rows.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("actual")).select(

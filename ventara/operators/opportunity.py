@@ -18,7 +18,7 @@ CHANNEL_POTENTIAL = "Canal con potencial"
 
 
 def _exact(c):
-    return F.col(c).cast("decimal(38,4)")
+    return F.col(c).cast("decimal(38,6)")
 
 
 def force_benchmark(clients: DataFrame) -> DataFrame:

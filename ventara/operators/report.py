@@ -16,11 +16,11 @@ from ventara.functions.numbers import dbl, moderated, pct_change, ratio, share_p
 from ventara.functions.rows import literal_rows
 from ventara.functions.text import clean, is_missing_label, lower_trim
 from ventara.operators.core import (
-    amount_where, client_stats, dimension_stats, one_row, order_key, ranked, status_rank, unpivot_dimensions,
+    amount_where, client_stats, dimension_stats, one_row, order_key, ranked, sales_grain, status_rank, unpivot_dimensions, weight,
 )
 from ventara.plans.period import Period, month_labels
 from ventara.plans.schema import CUBE_DIMENSIONS, CUBE_METRICS
-from ventara.plans.session import stored
+from ventara.plans.session import kept
 
 
 @dataclass
@@ -34,7 +34,7 @@ class ReportBase:
     keep: bool = False
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        return stored(df) if self.keep else df
+        return kept(df) if self.keep else df
 
     @property
     def coverage(self) -> DataFrame:
@@ -59,20 +59,20 @@ class ReportBase:
 def report_base(fact: DataFrame, period: Period, keep: bool = False) -> ReportBase:
     """Client and dimension statistics.
 
-    With `keep` the fact is read once: it is stored in the shared folder, and so are the statistics and the one-row figures that
-    several blocks use, each when it is first asked for.
+    With `keep` the fact is read once, for its sales grain, which is kept; and so are the statistics and the one-row figures that
+    several blocks use, each when it is first asked for. They go when the report does.
     """
     if keep:
-        fact = stored(fact)
+        fact = kept(sales_grain(fact))
     clients, dimensions = client_stats(fact, period), dimension_stats(fact, period)
     if keep:
-        clients, dimensions = stored(clients), stored(dimensions)
+        clients, dimensions = kept(clients), kept(dimensions)
     return ReportBase(fact, period, clients, dimensions, keep)
 
 
 def exact(x) -> Column:
-    """Amounts with the four decimals of the fact, so that sums do not depend on row order."""
-    return F.col(x).cast("decimal(38,4)") if isinstance(x, str) else x.cast("decimal(38,4)")
+    """Amounts with the six decimals that measures are parsed to, so that sums do not depend on row order."""
+    return F.col(x).cast("decimal(38,6)") if isinstance(x, str) else x.cast("decimal(38,6)")
 
 
 # --- coverage, totals -----------------------------------------------------------------------
@@ -82,13 +82,14 @@ def coverage(rows: DataFrame) -> DataFrame:
     """Share of rows with route, force, article and seller, and the sales without them."""
     no_route, no_force = F.col("route_description").isNull(), F.col("sales_force").isNull()
     no_article, no_seller = ~F.col("has_article_match"), F.col("seller_name").isNull()
-    count = lambda c: F.count_if(c)
-    total = F.count("*")
+    w = weight(rows)
+    count = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
+    total = F.coalesce(F.sum(w), F.lit(0))
     return rows.agg(
         share_pct(count(~no_route), total).alias("route_pct"),
         share_pct(count(~no_force), total).alias("sales_force_pct"),
         share_pct(count(~no_article), total).alias("article_pct"),
-        share_pct(count("has_seller_match"), total).alias("seller_pct"),
+        share_pct(count(F.col("has_seller_match")), total).alias("seller_pct"),
         dbl(amount_where(no_route)).alias("sales_without_route"),
         dbl(amount_where(no_article)).alias("sales_without_article"),
         dbl(amount_where(no_seller)).alias("sales_without_seller"),
@@ -509,8 +510,8 @@ def rankings(clients: DataFrame, dimensions: DataFrame, n: int = 10) -> DataFram
     by_value = clients.select(
         "client_key", "client",
         F.inline_outer(F.array(
-            F.struct(F.lit("clientes_importe").alias("list"), F.col("sales").alias("value")),
-            F.struct(F.lit("clientes_unidades").alias("list"), F.col("quantity").alias("value")),
+            F.struct(F.lit("clientes_importe").alias("list"), exact("sales").alias("value")),
+            F.struct(F.lit("clientes_unidades").alias("list"), exact("quantity").alias("value")),
         )),
     )
     top = ranked(by_value, n, [F.desc("value"), "client_key"], by=["list"]).select("list", F.col("client").alias("label"), "value", "rank")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ventara.functions.numbers import dbl, moderated, to_tenth, traffic_light
+from ventara.functions.numbers import dbl, moderated, pct_change, share_pct, to_tenth, traffic_light
+from ventara.functions.text import clean
 from ventara.operators import analyses
-from ventara.operators.core import one_row
+from ventara.operators.core import IDENTITIES, amount_where, one_row, ranked, sales_grain
 from ventara.operators.profile import TASKS
-from ventara.plans.session import stored
+from ventara.plans.session import kept
 
 # Thresholds (yellow, green); yellow above green means the scale is inverted.
 THRESHOLDS = {
@@ -26,35 +29,62 @@ def _row(df: DataFrame) -> Column:
     return one_row(df, F.max(F.struct("*")).alias("r")).r
 
 
-def headlines(fact: DataFrame, ranking_dimension: str = "client", margin_dimension: str | None = None, keep: bool = True) -> DataFrame:
+def label_sums(grain: DataFrame, dimensions: list[str], last: date) -> DataFrame:
+    """(dimension, label, amount, recent, before) of several dimensions: sums of all time, of the last 90 days and of the 90 before.
+
+    Combinations of labels are summed first, so a row of the grain is not copied for each dimension.
+    """
+    day = F.lit(last).cast("date")
+    recent, before = F.col("date") >= F.date_sub(day, 89), F.col("date").between(F.date_sub(day, 179), F.date_sub(day, 90))
+    combos = grain.groupBy(*[clean(d).alias(d) for d in dimensions]).agg(
+        F.sum("amount").alias("amount"), amount_where(recent).alias("recent"), amount_where(before).alias("before"))
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("label")) for d in dimensions])
+    return combos.select(F.inline(pairs), "amount", "recent", "before").groupBy("dimension", "label").agg(*[F.sum(c).alias(c) for c in ("amount", "recent", "before")])
+
+
+def headlines(fact: DataFrame, ranking_dimension: str = "client", margin_dimension: str | None = None) -> DataFrame:
     """One row with the summary of every analysis as a struct column.
 
-    The fact is read once and stored, the analyses are scalar subqueries that Spark runs side by side over it, and the row is
-    stored: rules name its columns many times, and each would otherwise carry a copy of the analyses. Without `keep` nothing
-    is computed here.
+    The fact is read once, for its sales grain. From the grain come the sums of all labels (one pass), of the months, of the ranked
+    dimension, of clients and of clients and families, and the margin; each is kept, and the summaries are made from these small
+    tables. The row is kept as well: rules name its columns many times.
     """
-    if keep:
-        return stored(headlines(stored(fact), ranking_dimension, margin_dimension, keep=False))
-    trend = analyses.trend_outlook(fact).orderBy("forecast_period").limit(1)
-    ranking = analyses.dimension_ranking(fact, ranking_dimension)
-    leader = one_row(ranking, F.min_by(F.struct("label", "share_pct"), "rank").alias("top"), F.count("*").alias("items"))
-    margin = analyses.margin_analysis(fact, margin_dimension)
-    items = margin.filter(~F.col("is_total"))
-    margin_items = one_row(
-        items, F.count_if(to_tenth("margin_pct") < 10).alias("low"), F.max(F.struct("margin_pct", "label")).alias("best"), F.count("*").alias("items"))
-    routes = analyses.geographic_coverage(fact)
-    return fact.sparkSession.range(1).select(
+    dimensions = ["seller_name", "sales_force", "family", "route_description", "channel"]
+    labels = {*dimensions, ranking_dimension, *([margin_dimension] if margin_dimension else [])}
+    grain = kept(sales_grain(fact, sorted(labels - set(IDENTITIES)), ("amount", "cost")))
+    last = grain.agg(F.max("date").alias("day")).first()["day"]
+    sums = kept(label_sums(grain, dimensions, last))
+    items = kept(grain.groupBy(clean(ranking_dimension).alias("label")).agg(F.sum("amount").alias("exact")))
+    margin = kept(analyses.margin_analysis(grain, margin_dimension))
+    clients = kept(analyses.churn_clients(grain))
+    trend = analyses.trend_outlook(grain).orderBy("forecast_period").limit(1)
+
+    def performance(dimension: str) -> Column:
+        own = sums.filter((F.col("dimension") == dimension) & (F.col("label") != ""))
+        total = one_row(own, F.sum("amount").alias("t")).t
+        stats = own.select("label", dbl("amount").alias("value"), share_pct("amount", total).alias("share_pct"), pct_change("recent", "before").alias("growth_pct"))
+        return _row(analyses.performance_summary(kept(stats)))
+
+    channels = sums.filter("dimension = 'channel' and label <> ''")
+    channels = channels.select("label", dbl("amount").alias("value"), share_pct("amount", one_row(channels, F.sum("amount").alias("t")).t).alias("share_pct"))
+    routes = sums.filter("dimension = 'route_description'").select("label", dbl("amount").alias("value"), (~F.lower("label").isin(*analyses.UNCOVERED_ROUTES)).alias("covered"))
+    total = one_row(items, F.sum("exact").alias("t")).t
+    ranking = ranked(items, 20, [F.desc("exact"), "label"]).select("rank", "label", share_pct("exact", total).alias("share_pct"))
+    listed = margin.filter(~F.col("is_total"))
+    return kept(fact.sparkSession.range(1).select(
         _row(trend).alias("trend"),
-        _row(analyses.ranking_concentration(fact, ranking_dimension)).alias("ranking"), leader.alias("leader"),
-        _row(analyses.churn_summary(analyses.churn_clients(fact))).alias("churn"),
-        _row(analyses.breadth_summary(analyses.client_breadth(fact))).alias("breadth"),
-        _row(analyses.performance_summary(analyses.seller_performance(fact))).alias("seller"),
+        _row(analyses.concentration_of(items)).alias("ranking"),
+        one_row(ranking, F.min_by(F.struct("label", "share_pct"), "rank").alias("top"), F.count("*").alias("items")).alias("leader"),
+        _row(analyses.churn_summary(clients)).alias("churn"),
+        _row(analyses.breadth_summary(kept(analyses.client_breadth(grain)))).alias("breadth"),
+        performance("seller_name").alias("seller"),
         _row(analyses.geographic_summary(routes)).alias("routes"),
-        _row(margin.filter("is_total")).alias("margin"), margin_items.alias("margin_items"),
-        _row(analyses.performance_summary(analyses.sales_force_breakdown(fact))).alias("force"),
-        _row(analyses.performance_summary(analyses.product_analysis(fact))).alias("product"),
-        _row(analyses.channel_summary(analyses.channel_analysis(fact))).alias("channel"),
-    )
+        _row(margin.filter("is_total")).alias("margin"),
+        one_row(listed, F.count_if(to_tenth("margin_pct") < 10).alias("low"), F.max(F.struct("margin_pct", "label")).alias("best"), F.count("*").alias("items")).alias("margin_items"),
+        performance("sales_force").alias("force"),
+        performance("family").alias("product"),
+        _row(analyses.channel_summary(channels)).alias("channel"),
+    ))
 
 
 def _projected() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ventara.functions.numbers import dbl, pct_change_abs, ratio, share_pct, to_tenth
 from ventara.functions.rows import literal_rows
 from ventara.functions.text import first_text, label_of
-from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, unpivot_dimensions, usual_values
+from ventara.operators.core import amount_where, client_id, invoice_id, one_row, ranked, unpivot_dimensions, usual_values, weight
 from ventara.plans.period import MonthWindow, between, day, month_end, shift_month
 
 # Dimensions of the month dashboard.
@@ -23,7 +23,7 @@ FOCUS_DIMENSIONS = {"channel": "channel", "seller": "seller_name", "family": "fa
 
 
 def _exact(c):
-    return F.col(c).cast("decimal(38,4)")
+    return F.col(c).cast("decimal(38,6)")
 
 
 def in_current(m: MonthWindow) -> Column:
@@ -163,8 +163,8 @@ def month_clients(fact: DataFrame, m: MonthWindow) -> DataFrame:
     ).filter("buys")
     owner = {"seller": "seller_name", "route": "route_description", "force": "sales_force"}
     name = first_text("client", "client_name", "client_key").alias("client")
-    combos = fact.filter(cur & client_id().isNotNull()).select(client_id().alias("client_id"), name, "date", *[label_of(f).alias(n) for n, f in owner.items()])
-    combos = combos.groupBy("client_id", "client", *owner).agg(F.count("*").alias("n"), F.max("date").alias("date"))
+    combos = fact.filter(cur & client_id().isNotNull()).select(client_id().alias("client_id"), name, "date", *[label_of(f).alias(n) for n, f in owner.items()], weight(fact).alias("w"))
+    combos = combos.groupBy("client_id", "client", *owner).agg(F.sum("w").alias("n"), F.max("date").alias("date"))
     names = combos.groupBy("client_id").agg(F.max(F.struct("date", "client")).alias("last"))
     stats = stats.join(names, "client_id").join(usual_values(combos, "client_id", owner), "client_id")
     total = one_row(fact.filter(cur), F.coalesce(F.sum("amount"), F.lit(0)).alias("t")).t

@@ -1,7 +1,6 @@
 """Session settings the operators rely on."""
 
 import os
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,12 +36,12 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def stored(df):
-    """A frame written once to the shared folder and read back, for a report whose blocks all read it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def kept(df):
+    """A frame computed once, for a report whose parts all read it: an aggregate with the columns the report needs, never the fact.
+
+    Its files are a checkpoint. Spark removes them when no frame refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    return checkpoint(df)
 
 
 def local_session(cores: int = 8, partitions: int | None = None, app: str = "ventara") -> SparkSession:
