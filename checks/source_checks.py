@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from checks import enrich_checks as masters
 from checks.fixtures import Checks, table, with_fact
+from ventara.functions.dates import serial_to_date
+from ventara.operators import dispatch as runs
 from ventara.plans import period
 from ventara.plans.period import Period
 from ventara.plans.schema import DATASET_FIELDS
@@ -189,7 +191,7 @@ def erp_lines_raw(spark, sf_dir):
     CASE WHEN l_orderkey % 5 <> 0 THEN l_orderkey || '-A-' || l_linenumber WHEN l_orderkey % 10 = 0 AND l_orderkey <> 0 THEN CAST(l_orderkey AS VARCHAR) ELSE 'ERP' END AS invoice,
     CASE WHEN l_orderkey % 2 = 0 THEN 'Sub' ELSE 'Seg' END AS channel, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount_net,
     CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount_final, CASE WHEN l_partkey % 2 = 0 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END AS internal_taxes,
-    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) + CASE WHEN l_partkey % 2 = 0 THEN 2.5 ELSE 0 END AS DOUBLE) AS amount_net_internal, l_quantity AS quantity
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) + CASE WHEN l_partkey % 2 = 0 THEN 2.5 ELSE 0 END AS DOUBLE) AS amount_net_internal, l_quantity AS quantity, 'ERP' AS source
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 29 <> 0 AND o_custkey % 21 <> 0""", on_fact=False)
 def erp_lines(spark, sf_dir):
     return erp.erp_sales(erp_lines_raw(spark, sf_dir))
@@ -217,7 +219,7 @@ def article_groups(spark, sf_dir):
     return erp.erp_articles(rows)
 
 
-@C.add("staff_dedupe", """SELECT rv AS row_version, CASE WHEN n_nationkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS seller_key, name AS seller_name, '3' AS sales_scheme_key, force AS sales_scheme_name, force AS sales_force,
+@C.add("staff_dedupe", """SELECT rv AS row_version, CASE WHEN n_nationkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS seller_key, name AS seller_name, '3' AS sales_scheme_key, force AS sales_scheme_name, '3' AS sales_force_key, force AS sales_force, 'ERP' AS source,
     CAST(n_regionkey + 1 AS VARCHAR) AS branch_key, 'Sucursal' AS branch_name, role, '' AS sale_type, CAST(NULL AS VARCHAR) AS supervisor_key, '' AS supervisor_name FROM (
     SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN 'VENDEDOR' ELSE 'SUPERVISOR' END AS role, CASE WHEN s_suppkey % 3 = 0 THEN 'Fuerza' ELSE '' END AS force,
       CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS rv, CASE WHEN n_nationkey = 0 THEN 'Sin Clave' ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -580,6 +582,71 @@ def batch_totals(fact):
     return store.batch_totals(_counted(fact), fetched, date(2000, 1, 1), date(2001, 4, 10))
 
 
+@C.add("range_scan", with_fact("SELECT CAST(date AS VARCHAR) AS date, count(DISTINCT line_id) AS lines, CAST(sum(amount) AS DOUBLE) AS amount FROM own WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20' GROUP BY 1", _OWN))
+def range_scan(fact):
+    """The days of a range from a store; months outside it are not listed."""
+    spark = fact.sparkSession
+
+    def build(path):
+        store.sync_range(spark, path, _detail(fact), _S0, _S1, full_detail=True)
+        return store.scan_range(spark, path, _R0, _R1).groupBy("date").agg(F.count("*").alias("lines"), F.sum("amount").alias("amount"))
+
+    return _on_store(spark, build)
+
+
+@C.add("source_fallback", with_fact("""SELECT 'main' AS source, count(DISTINCT line_id) AS lines FROM own WHERE date BETWEEN DATE '2001-05-10' AND DATE '2001-06-20'
+    UNION ALL SELECT 'history', count(DISTINCT line_id) FROM own WHERE date BETWEEN DATE '2000-05-10' AND DATE '2001-06-20'""", _OWN))
+def source_fallback(fact):
+    """A range that the main store covers is read there, a longer one from the history."""
+    spark, rows = fact.sparkSession, _detail(fact)
+
+    def build(path):
+        store.sync_range(spark, f"{path}/main", rows, date(2001, 1, 1), date(2001, 12, 31), f"{path}/log", full_detail=True)
+        store.sync_range(spark, f"{path}/history", rows, _S0, _S1, full_detail=True)
+        runs = spark.read.schema(store.RUN_SCHEMA).parquet(f"{path}/log")
+        found = [store.load_with_fallback(spark, runs, f"{path}/main", f"{path}/history", a, _R1) for a in (_R0, date(2000, 5, 10))]
+        counts = [df.agg(F.count("*").alias("lines")).select(F.lit(name).alias("source"), "lines") for df, name in found]
+        return counts[0].unionByName(counts[1])
+
+    return _on_store(spark, build)
+
+
+@C.add("excel_dates", """SELECT o_orderkey AS order_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders""", on_fact=False)
+def excel_dates(spark, sf_dir):
+    """Order days as workbook serial numbers with a time of day, and back."""
+    orders = table(spark, sf_dir, "orders")
+    serial = F.date_diff(F.col("o_orderdate").cast("date"), F.lit(date(1899, 12, 30))) + (F.col("o_orderkey") % 24) / 24
+    return orders.select(F.col("o_orderkey").alias("order_id"), serial_to_date(serial).alias("date"))
+
+
+# A mapping for each customer: fields are mapped to columns or left out by the digits of the key.
+@C.add("mapping_validation", """SELECT client, CASE WHEN NOT k OR NOT a THEN 'required' WHEN NOT d AND NOT (y AND m) THEN 'date' ELSE 'ok' END AS verdict,
+    CASE WHEN NOT k AND NOT a THEN 'client_key, amount' WHEN NOT k THEN 'client_key' WHEN NOT a THEN 'amount' END AS missing,
+    CAST(k AS INT) + CAST(a AS INT) + CAST(d AS INT) + CAST(y AS INT) + CAST(m AS INT) AS mapped
+  FROM (SELECT c_custkey AS client, c_custkey % 7 <> 0 AS k, c_custkey % 5 <> 0 AS a, c_custkey % 2 = 0 AS d, c_custkey % 3 <> 0 AS y, c_custkey % 11 <> 0 AS m FROM customer)""", on_fact=False)
+def mapping_validation(spark, sf_dir):
+    c = F.col("c_custkey")
+    entry = lambda field, there, column: F.struct(F.lit(field).alias("field"), F.when(there, F.lit(column)).otherwise(-1).alias("column"))
+    fields = F.array(entry("client_key", c % 7 != 0, 0), entry("amount", c % 5 != 0, 1), entry("date", c % 2 == 0, 2), entry("year", c % 3 != 0, 3), entry("month", c % 11 != 0, 4), entry("unknown", F.lit(True), 5))
+    mapped = table(spark, sf_dir, "customer").select(c.alias("client"), F.inline(fields))
+    return mapping.validate_mappings(mapped, "sales", "client")
+
+
+@C.add("analysis_runs", with_fact("""SELECT 'temporal_trend' AS name, 0 AS position, 'ok' AS status, count(DISTINCT period) AS rows FROM fact UNION ALL SELECT 'margin_analysis', 1, 'failed', NULL
+    UNION ALL SELECT 'channel_analysis', 2, 'ok', count(DISTINCT channel) FROM fact UNION ALL SELECT 'geographic_coverage', 3, 'ok', count(DISTINCT coalesce(route_description, '')) FROM fact"""))
+def analysis_runs(fact):
+    """Four analyses side by side, one of which fails on a field that is not there; what the log says of them."""
+    spark = fact.sparkSession
+    dispatch = runs.Dispatch(spark)
+
+    def build(path):
+        found = runs.run_analyses(fact, ("temporal_trend", "margin_analysis", "channel_analysis", "geographic_coverage"), {"margin_analysis": {"revenue": "amount", "cost": "no_such_field"}}, dispatch)
+        runs.log_run(spark, path, dispatch.run_id, found)
+        return runs.read_log(spark, path).select("name", F.col("position").cast("long").alias("position"), "status", "rows")
+
+    return _on_store(spark, build)
+
+
 @C.add("prefilter_options", """WITH v AS (
     SELECT 'family' AS field, p_type AS value FROM part WHERE p_partkey % 13 <> 0 UNION ALL SELECT 'brand', p_brand FROM part WHERE p_partkey % 13 <> 0
     UNION ALL SELECT 'sales_force', r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

@@ -127,6 +127,20 @@ def executive_table(fact):
     return ops.executive_table(ops.month_clients(fact, MONTH))
 
 
+_FALLBACK = """SELECT rank, client, status, sales, quantity AS units, {ticket} AS avg_ticket, {units} AS avg_units_per_order, families, last_date, sales_force, route_description AS route, seller_name AS seller,
+    CAST(NULL AS DOUBLE) AS share_pct, CAST(NULL AS DOUBLE) AS sales_delta_pct FROM (SELECT *, row_number() OVER (ORDER BY {metric} DESC, client_key) AS rank FROM clients) WHERE rank <= 10""".replace("{ticket}", "avg_ticket").replace("{units}", "avg_units_per_order")
+
+
+@C.add("executive_fallback_sales", with_fact(_FALLBACK.replace("{metric}", "sales"), GAPS_CTE, CLIENTS_CTE))
+def executive_fallback_sales(fact):
+    return ops.executive_fallback(core.client_stats(fact, PERIOD))
+
+
+@C.add("executive_fallback_units", with_fact(_FALLBACK.replace("{metric}", "quantity"), GAPS_CTE, CLIENTS_CTE))
+def executive_fallback_units(fact):
+    return ops.executive_fallback(core.client_stats(fact, PERIOD), "units")
+
+
 @C.add("key_accounts_lost", with_fact("SELECT * FROM lost", LOST_CTE))
 def key_accounts_lost(fact):
     return ops.lost_key_accounts(fact, MONTH)

@@ -190,6 +190,17 @@ def executive_table(clients: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
+def executive_fallback(clients: DataFrame, mode: str = "sales", n: int = 10) -> DataFrame:
+    """The table where there are no figures of a month: the largest clients of the period, by sales or by units."""
+    metric = "quantity" if mode == "units" else "sales"
+    top = ranked(clients, n, [F.desc(metric), "client_key"])
+    return top.select(
+        "rank", "client", F.coalesce("status", F.lit("Activo")).alias("status"), dbl("sales").alias("sales"), dbl("quantity").alias("units"), "avg_ticket", "avg_units_per_order", "families", "last_date",
+        "sales_force", F.col("route_description").alias("route"), F.col("seller_name").alias("seller"),
+        F.lit(None).cast("double").alias("share_pct"), F.lit(None).cast("double").alias("sales_delta_pct"),
+    )
+
+
 def lost_key_accounts(fact: DataFrame, m: MonthWindow, n: int = 50) -> DataFrame:
     """Largest clients of last month that have not bought this month."""
     buyers = fact.filter(in_previous_full(m)).select(client_id().alias("client_id"), "amount").filter(F.col("client_id").isNotNull())

@@ -44,6 +44,10 @@ GROUP_ALIASES = {
 }
 
 
+#: Name under which the second spelling of rowVersion is read.
+OTHER_VERSION = "row_version_2"
+
+
 def text_schema(fields) -> str:
     return ", ".join(f"{f} string" for f in fields)
 
@@ -54,7 +58,12 @@ def read_erp_json(spark: SparkSession, path, schema: str) -> DataFrame:
     Spark packs files into tasks by size, so the row number of a task orders rows inside a file block only.
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return spark.read.schema(schema).json(path).withColumn("load_seq", place)
+    if "rowVersion" not in schema:
+        return spark.read.schema(schema).json(path).withColumn("load_seq", place)
+    # the version comes in two spellings that a reader cannot tell apart, so the text is read and the second spelling renamed
+    lines = spark.read.text(path).select(F.regexp_replace("value", r'"rowversion"(\s*:)', f'"{OTHER_VERSION}"$1').alias("value"), place.alias("load_seq")).where("trim(value) <> ''")
+    told = lines.select(F.from_json("value", f"{schema}, {OTHER_VERSION} string").alias("r"), "load_seq").select("r.*", "load_seq")
+    return told.withColumn("rowVersion", F.coalesce(blank_to_null("rowVersion"), blank_to_null(OTHER_VERSION))).drop(OTHER_VERSION)
 
 
 def _with(df: DataFrame, fields) -> DataFrame:
@@ -66,8 +75,8 @@ def iso_day(x) -> Column:
     return F.try_to_date(F.substring(blank_to_null(x), 1, 10), "yyyy-MM-dd")
 
 
-def erp_sales(rows: DataFrame) -> DataFrame:
-    """Sales lines of raw rows: cancelled ones and those without date, amount or client are dropped."""
+def erp_sales(rows: DataFrame, source: str = "ERP") -> DataFrame:
+    """Sales lines of raw rows: cancelled ones and those without date, amount or client are dropped. `source` names where they come from."""
     rows = _with(rows, SALE_FIELDS)
     final = first_number("subtotalFinal", "totalFinal", "importeFinal")
     net = first_number("subtotalNeto", "totalNeto", "importeNeto")
@@ -99,7 +108,7 @@ def erp_sales(rows: DataFrame) -> DataFrame:
         "seller_key", "seller_name", "sales_scheme_key", "sales_scheme_name", F.col("sales_scheme_key").alias("sales_force_key"),
         F.col("sales_scheme_name").alias("sales_force"), "product_key", "product_name", "segment_name", "channel_name", "subchannel_name",
         "invoice", "channel", "amount", amount_net.alias("amount_net"), F.coalesce("final", "amount").alias("amount_final"), "internal_taxes",
-        (amount_net + F.col("internal_taxes")).cast(MEASURE).alias("amount_net_internal"), "quantity",
+        (amount_net + F.col("internal_taxes")).cast(MEASURE).alias("amount_net_internal"), "quantity", F.lit(source).alias("source"),
     )
 
 
@@ -127,13 +136,13 @@ def erp_articles(rows: DataFrame) -> DataFrame:
     return last_per_key(master, "product_key")
 
 
-def erp_staff(rows: DataFrame) -> DataFrame:
+def erp_staff(rows: DataFrame, source: str = "ERP") -> DataFrame:
     """Seller master: per key the best of duplicates (salesperson, with force, with version, by name)."""
     rows = _with(rows, STAFF_FIELDS)
     key = erp_key("idPersonal")
     staff = rows.select(
         "load_seq", F.col("rowVersion").alias("row_version"), key.alias("seller_key"), F.coalesce(first_text("desPersonal", "apellido"), key).alias("seller_name"),
-        erp_key("idFuerzaVentas").alias("sales_scheme_key"), clean("desFuerzaVentas").alias("sales_scheme_name"), clean("desFuerzaVentas").alias("sales_force"),
+        erp_key("idFuerzaVentas").alias("sales_scheme_key"), clean("desFuerzaVentas").alias("sales_scheme_name"), erp_key("idFuerzaVentas").alias("sales_force_key"), clean("desFuerzaVentas").alias("sales_force"),
         erp_key("idSucursal").alias("branch_key"), clean("desSucursal").alias("branch_name"), clean("cargo").alias("role"), clean("tipoVenta").alias("sale_type"),
         erp_key("idPersonalSuperior").alias("supervisor_key"), clean("desPersonalSuperior").alias("supervisor_name"),
     ).filter(F.col("seller_key").isNotNull() | F.col("seller_name").isNotNull())
@@ -143,7 +152,7 @@ def erp_staff(rows: DataFrame) -> DataFrame:
     )
     unique = F.coalesce("seller_key", lower_trim("seller_name"))
     best = staff.withColumn("k", unique).groupBy("k").agg(F.max_by(F.struct(*staff.columns), priority).alias("r"))
-    return best.select("r.*").drop("load_seq")
+    return best.select("r.*", F.lit(source).alias("source")).drop("load_seq")
 
 
 def erp_routes(rows: DataFrame, as_of: date) -> DataFrame:

@@ -88,3 +88,17 @@ def check_mapping(dataset: str, mapping: dict) -> dict[str, int]:
     if dataset == "sales" and "date" not in known and not {"year", "month"} <= set(known):
         raise ValueError("sales: needs a date column, or a year and a month column")
     return known
+
+
+def validate_mappings(mapped: DataFrame, dataset: str, *by: str) -> DataFrame:
+    """What check_mapping says of many mappings at once: (by, field, column) rows to a verdict per mapping, as one aggregation.
+
+    `verdict`: ok, required (a required field is missing, see `missing`) or date (neither a date nor a year and a month). `mapped` counts known fields.
+    """
+    has = lambda f: F.bool_or((F.col("field") == f) & F.coalesce(F.col("column") >= 0, F.lit(False))).alias(f"has_{f}")
+    wanted = list(dict.fromkeys([*REQUIRED_FIELDS[dataset], *(("date", "year", "month") if dataset == "sales" else ())]))
+    known = F.col("field").isin(*DATASET_FIELDS[dataset]) & F.coalesce(F.col("column") >= 0, F.lit(False))
+    found = mapped.groupBy(*by).agg(*map(has, wanted), F.count_distinct(F.when(known, F.col("field"))).alias("mapped"))
+    missing = F.concat_ws(", ", *[F.when(~F.col(f"has_{f}"), F.lit(f)) for f in REQUIRED_FIELDS[dataset]])
+    dated = F.col("has_date") | (F.col("has_year") & F.col("has_month")) if dataset == "sales" else F.lit(True)
+    return found.select(*by, F.when(missing != "", "required").when(~dated, "date").otherwise("ok").alias("verdict"), F.nullif(missing, F.lit("")).alias("missing"), "mapped")
