@@ -139,12 +139,38 @@ def available_analyses(fact):
     return ops.available_analyses(ops.profile(fact.withColumn("flavor", F.lit(None).cast("string")), SHORT))
 
 
-def _wishes():
-    rows = [
-        f"('{a}','{slot}',{i},'{s}',{'TRUE' if len(prefs) > 1 else 'FALSE'})"
-        for a, (_, _, slots, _) in ops.TASKS.items() for slot, prefs in slots.items() for i, s in enumerate(prefs)
-    ]
-    return "wishes(analysis, slot, pref, subrole, optional) AS (VALUES " + ",".join(rows) + ")"
+# Written out by hand, apart from the table that the operators use. Slots of the analyses with their subroles in order of
+# preference; a slot with a fallback may stay without a field.
+_WISHES = """wishes(analysis, slot, pref, subrole, optional) AS (VALUES
+  ('temporal_trend', 'date', 0, 'FECHA', TRUE), ('temporal_trend', 'date', 1, 'FECHA_AÑO', TRUE), ('temporal_trend', 'date', 2, 'FECHA_MES', TRUE),
+  ('temporal_trend', 'metric', 0, 'MET_VENTA', TRUE), ('temporal_trend', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('dimension_ranking', 'metric', 0, 'MET_VENTA', TRUE), ('dimension_ranking', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('recurrence_churn', 'date', 0, 'FECHA', FALSE), ('recurrence_churn', 'client', 0, 'DIM_CLIENTE', TRUE), ('recurrence_churn', 'client', 1, 'ID_CLIENTE', TRUE),
+  ('recurrence_churn', 'metric', 0, 'MET_VENTA', TRUE), ('recurrence_churn', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('cross_sell_mix', 'client', 0, 'DIM_CLIENTE', TRUE), ('cross_sell_mix', 'client', 1, 'ID_CLIENTE', TRUE),
+  ('cross_sell_mix', 'product', 0, 'DIM_FAMILIA', TRUE), ('cross_sell_mix', 'product', 1, 'DIM_LINEA', TRUE), ('cross_sell_mix', 'product', 2, 'DIM_PRODUCTO', TRUE),
+  ('seller_performance', 'seller', 0, 'DIM_VENDEDOR', FALSE), ('seller_performance', 'metric', 0, 'MET_VENTA', TRUE), ('seller_performance', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('geographic_coverage', 'route', 0, 'DIM_RUTA', FALSE), ('geographic_coverage', 'metric', 0, 'MET_VENTA', TRUE), ('geographic_coverage', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('margin_analysis', 'revenue', 0, 'MET_VENTA', FALSE), ('margin_analysis', 'cost', 0, 'MET_COSTO', FALSE),
+  ('sales_force_breakdown', 'sales_force', 0, 'DIM_FUERZA', FALSE), ('sales_force_breakdown', 'metric', 0, 'MET_VENTA', TRUE), ('sales_force_breakdown', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('product_analysis', 'product', 0, 'DIM_FAMILIA', TRUE), ('product_analysis', 'product', 1, 'DIM_LINEA', TRUE), ('product_analysis', 'product', 2, 'DIM_PRODUCTO', TRUE),
+  ('product_analysis', 'metric', 0, 'MET_VENTA', TRUE), ('product_analysis', 'metric', 1, 'MET_CANTIDAD', TRUE),
+  ('channel_analysis', 'channel', 0, 'DIM_CANAL', FALSE), ('channel_analysis', 'metric', 0, 'MET_VENTA', TRUE), ('channel_analysis', 'metric', 1, 'MET_CANTIDAD', TRUE))"""
+
+# Domain, place of the domain, priority and place in the catalog.
+_CATALOG = """catalog(analysis, domain, domain_rank, priority, catalog_rank) AS (VALUES ('temporal_trend', 'tiempo', 0, 1, 0), ('dimension_ranking', 'cartera', 1, 1, 1), ('recurrence_churn', 'cartera', 1, 1, 2),
+  ('cross_sell_mix', 'producto', 3, 2, 3), ('seller_performance', 'territorio', 2, 1, 4), ('geographic_coverage', 'territorio', 2, 2, 5), ('margin_analysis', 'margen', 5, 1, 6),
+  ('sales_force_breakdown', 'territorio', 2, 2, 7), ('product_analysis', 'producto', 3, 2, 8), ('channel_analysis', 'canal', 4, 2, 9))"""
+
+# Dimensions by which an analysis can be split, in order.
+_DIM_WISHES = """dim_lists(analysis, subroles) AS (VALUES
+  ('temporal_trend', ['DIM_VENDEDOR', 'DIM_FUERZA', 'DIM_CANAL', 'DIM_FAMILIA', 'DIM_RUTA', 'DIM_CLIENTE']),
+  ('dimension_ranking', ['DIM_CLIENTE', 'DIM_VENDEDOR', 'DIM_FUERZA', 'DIM_FAMILIA', 'DIM_RUTA', 'DIM_CANAL', 'DIM_PRODUCTO', 'DIM_PROVEEDOR', 'DIM_LINEA']),
+  ('recurrence_churn', ['DIM_VENDEDOR', 'DIM_FUERZA', 'DIM_RUTA', 'DIM_CANAL']), ('cross_sell_mix', ['DIM_VENDEDOR', 'DIM_FUERZA', 'DIM_CANAL']),
+  ('seller_performance', ['DIM_FUERZA', 'DIM_RUTA', 'DIM_CANAL']), ('geographic_coverage', ['DIM_FUERZA', 'DIM_VENDEDOR']),
+  ('margin_analysis', ['DIM_CLIENTE', 'DIM_FAMILIA', 'DIM_PRODUCTO', 'DIM_VENDEDOR', 'DIM_CANAL']), ('sales_force_breakdown', ['DIM_VENDEDOR', 'DIM_RUTA', 'DIM_CANAL']),
+  ('product_analysis', ['DIM_PROVEEDOR', 'DIM_LINEA', 'DIM_CANAL', 'DIM_CLIENTE']), ('channel_analysis', ['DIM_FAMILIA', 'DIM_VENDEDOR', 'DIM_FUERZA'])),
+  dim_wishes AS (SELECT analysis, CAST(i - 1 AS BIGINT) AS pos, subroles[i] AS subrole FROM (SELECT analysis, subroles, unnest(range(1, len(subroles) + 1)) AS i FROM dim_lists))"""
 
 
 _SLOTS = """slots AS (SELECT w.analysis, slot, arg_min(field, pref) FILTER (field IS NOT NULL) AS field, bool_or(optional) AS optional
@@ -153,16 +179,14 @@ _SLOTS = """slots AS (SELECT w.analysis, slot, arg_min(field, pref) FILTER (fiel
 
 
 @C.add("task_slots", with_fact("SELECT analysis, slot, field FROM slots WHERE analysis IN (SELECT analysis FROM runnable)",
-                               _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _wishes(), _SLOTS))
+                               _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _WISHES, _SLOTS))
 def task_slots(fact):
     return ops.resolve_slots(_profiled(fact))
 
 
 @C.add("tasks", with_fact(
-    "SELECT r.analysis, domain, domain_rank, priority, catalog_rank FROM runnable r JOIN (VALUES "
-    + ",".join(f"('{a}','{d}',CAST({ops.DOMAINS.index(d)} AS BIGINT),CAST({p} AS BIGINT),CAST({i} AS BIGINT))" for i, (a, (d, p, _, _)) in enumerate(ops.TASKS.items()))
-    + ") v(analysis, domain, domain_rank, priority, catalog_rank) ON v.analysis = r.analysis",
-    _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _wishes(), _SLOTS))
+    "SELECT r.analysis, domain, CAST(domain_rank AS BIGINT) AS domain_rank, CAST(priority AS BIGINT) AS priority, CAST(catalog_rank AS BIGINT) AS catalog_rank FROM runnable r JOIN catalog v ON v.analysis = r.analysis",
+    _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _WISHES, _SLOTS, _CATALOG))
 def tasks(fact):
     return ops.tasks(_profiled(fact))
 
@@ -170,9 +194,8 @@ def tasks(fact):
 @C.add("combos", with_fact(
     """SELECT a.analysis, a.field AS dim_a, NULL AS dim_b, a.pos AS pos_a, CAST(-1 AS BIGINT) AS pos_b FROM d a
     UNION ALL SELECT a.analysis, a.field, b.field, a.pos, b.pos FROM d a JOIN d b ON a.analysis = b.analysis AND a.pos < b.pos AND a.analysis = 'dimension_ranking'""",
-    _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _wishes(), _SLOTS,
-    "dim_wishes(analysis, pos, subrole) AS (VALUES " + ",".join(
-        f"('{a}',CAST({i} AS BIGINT),'{s}')" for a, (_, _, _, dims) in ops.TASKS.items() for i, s in enumerate(dims)) + ")",
+    _profile_cte(), _BEST, _NEEDS, _AVAILABLE, _WISHES, _SLOTS,
+    _DIM_WISHES,
     "d AS (SELECT w.analysis, w.pos, b.field FROM dim_wishes w JOIN best b USING (subrole) JOIN runnable USING (analysis) WHERE b.coverage >= 0.10)"))
 def combos(fact):
     return ops.combos(_profiled(fact))
