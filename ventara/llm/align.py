@@ -31,7 +31,7 @@ SHARDS = 256
 FAN = 64
 #: Pairs that a task counts before it hands them on, and characters of pieces that a worker remembers.
 FLUSH = 1_000_000
-REMEMBERED = 12_000_000
+REMEMBERED = 8_000_000
 #: Pairs looked up in the tasks (17 bytes each); rarer ones are joined.
 LOOKED_UP = 2_000_000
 #: Bits per key in the first level of a perfect hash.
@@ -110,7 +110,7 @@ class Grown:
     def extend(self, more: np.ndarray) -> None:
         end = self.n + len(more)
         if end > len(self.held):
-            grown = np.empty((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            grown = np.empty((max(end, len(self.held) * 3 // 2), *self.held.shape[1:]), self.held.dtype)
             grown[: self.n] = self.all
             self.held = grown
         self.held[self.n : end] = more
@@ -486,7 +486,7 @@ def aligned(df: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_i
                 sums, shas, late = np.zeros((len(known), 6), np.int64), [""] * len(known), [[] for _ in known]
                 for k, own in enumerate(known):
                     if own is not None:
-                        sums[k] = told.figures.all[own].sum(0)
+                        sums[k] = np.append(aligner.counts.all[own].sum(0), told.figures.all[own].sum(0))
                         shas[k] = hashlib.sha256(";".join(map(aligner.groups.__getitem__, own.tolist())).encode()).hexdigest()
                         if told.missed:
                             late[k] = [{"key": key, "links": n} for p in own.tolist() for key, n in told.missed.get(p, ())]
@@ -503,11 +503,11 @@ def aligned(df: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_i
 
 
 class Told:
-    """What the counts say of an aligner's pieces: counts, best links and sum of counts (`figures`), and pairs that were not found (`missed`)."""
+    """What the counts say of an aligner's pieces: best links and sum of counts (`figures`), and pairs that were not found (`missed`)."""
 
     def __init__(self, aligner: Aligner, lookup: Lookup):
         self.aligner, self.lookup, self.turn = aligner, lookup, aligner.turn
-        self.figures, self.missed = Grown(np.int64, 6), {}
+        self.figures, self.missed = Grown(np.int64, 2), {}
         self.known = Grown(np.int64)  # count of each pair
 
     def follow(self) -> None:
@@ -523,10 +523,9 @@ class Told:
         counts, keys = self.known.all[pairs], aligner.keys.all[pairs]
         best = np.where((counts > 0) & (self.lookup.highest[keys >> 32] == counts), links, 0)
         piece = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        more = np.zeros((len(starts) - 1, 6), np.int64)
-        more[:, :4] = aligner.counts.all[old:]
-        np.add.at(more[:, 4], piece, best)
-        np.add.at(more[:, 5], piece, links * counts)
+        more = np.zeros((len(starts) - 1, 2), np.int64)
+        np.add.at(more[:, 0], piece, best)
+        np.add.at(more[:, 1], piece, links * counts)
         self.figures.extend(more)
         for k in np.flatnonzero(counts == 0).tolist():
             self.missed.setdefault(old + int(piece[k]), []).append((int(keys[k]), int(links[k])))
