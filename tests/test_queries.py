@@ -12,6 +12,8 @@ SAMPLE = (
     "client_stats", "dimension_stats", "ranking_grouping_sets", "temporal_trend_by_channel", "churn_summary", "enrich", "faceted_filters", "profile",
     "tasks", "summary", "interactive_cube", "consistency_checks", "sellers_dashboard", "cohorts", "pareto", "budget_dimension", "opportunities",
     "sensitivity", "mtd_clients", "daily_cumulative", "insights", "normalize_sales", "erp_lines", "article_groups", "route_dedupe", "compaction", "uncovered_ranges",
+    "range_replace", "line_merge", "line_merge_by_id", "merge_outcome", "period_context", "load_windows", "batch_totals", "coverage_of_store", "source_fallback", "analysis_runs",
+    "executive_fallback_sales", "executive_fallback_units", "mapping_validation", "excel_dates", "task_slots", "combos", "rankings", "direction_board",
 )
 
 

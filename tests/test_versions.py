@@ -151,6 +151,9 @@ def test_counts_of_chunks_and_ranges(spark, tmp_path):
     assert run["records_received"] == 4 and spark.read.schema(store.RUN_SCHEMA).parquet(log).count() == 2
     assert [tuple(r) for r in store.period_statistics(spark, path).orderBy("month").collect()] == [("2024-01", 2, day(1, 1), day(1, 9)), ("2024-02", 1, day(2, 20), day(2, 20))]
     assert Versioned(spark, path).current().span() == (day(1, 1), day(2, 20))
+    status = store.stored_status(spark, path)
+    assert tuple(status.first()) == (3, day(1, 1), day(2, 20), True) and not status.inputFiles()
+    assert tuple(store.stored_status(spark, str(tmp_path / "none")).first()) == (0, None, None, False)
     store.sync_ranges(spark, path, lines(spark, (day(1, 12), "z", "1", 1)), [(day(1, 9), day(1, 9)), (day(1, 12), day(1, 13))], full_detail=True)
     assert [(r[0].day, r[1]) for r in stored(spark, path)] == [(1, "a"), (12, "z"), (20, "b")]
 

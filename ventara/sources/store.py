@@ -378,6 +378,12 @@ def period_statistics(spark: SparkSession, path: str) -> DataFrame:
     return stats.groupBy(F.col("key").alias("month")).agg(F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
 
 
+def stored_status(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, first and last day of a store, from the manifest alone (see storage_status for rows at hand)."""
+    return period_statistics(spark, path).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("records"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), (F.coalesce(F.sum("rows"), F.lit(0)) > 0).alias("available"))
+
+
 def prune_store(spark: SparkSession, path: str, cutoff: date) -> None:
     """Drop everything before the cutoff in one version: whole months leave the manifest, the cutoff's month is rewritten."""
     table = Versioned(spark, path)
