@@ -31,13 +31,16 @@ SHARDS = 256
 FAN = 64
 #: Pairs that a task counts before it hands them on, and characters of pieces that a worker remembers.
 FLUSH = 1_000_000
-REMEMBERED = 8_000_000
+REMEMBERED = 11_000_000
+#: Pieces that are encoded in one call.
+TOGETHER = 300
 #: Pairs looked up in the tasks (17 bytes each); rarer ones are joined.
 LOOKED_UP = 2_000_000
 #: Bits per key in the first level of a perfect hash.
 GAMMA = 2.0
 
 _BLANK = r"\s\x1c-\x1f\x85\u180e"
+_ALONE = regex.compile(rf"^(?:[{_BLANK}]|\Z)|[{_BLANK}]\Z|▁")
 _GAP = regex.compile(rf" (?:[{_BLANK}]|\Z)")
 _CUT = regex.compile(rf"(?<! ) (?=[^{_BLANK}])")
 
@@ -195,15 +198,23 @@ class Aligner:
 
     def _add(self, new: list[str], spell: bool) -> None:
         labels, spelt, encode = self.labels.__getitem__, self.spelt.__getitem__, self.first.encode_ordinary
-        told = [" " + piece for piece in new]
-        whole = [x.encode() for x in told]
-        a, b = list(map(encode, told)), self.second.encode(new, num_threads=1)
-        valid = np.array([b"".join(map(spelt, y)) == w == b"".join(map(labels, x)) for x, y, w in zip(a, b, whole, strict=True)])
+        # pieces without blanks at their ends are encoded together, since no token crosses what stands between them
+        plain = [] if self.crossed else [piece for piece in new if not _ALONE.search(piece)]
+        joined = [" ".join(plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
+        a, b = [encode(" " + x) for x in joined], self.second.encode(joined, num_threads=1) if joined else []
+        if any(b"".join(map(spelt, y)) != (" " + t).encode() or b"".join(map(labels, x)) != (" " + t).encode() for x, y, t in zip(a, b, joined, strict=True)):
+            plain, a, b = [], [], []
+        alone = new if not plain else [piece for piece in new if _ALONE.search(piece)]
+        new = plain + alone
+        whole = [(" " + piece).encode() for piece in new]
+        own_a, own_b = [encode(" " + piece) for piece in alone], self.second.encode(alone, num_threads=1) if alone else []
+        sound = [b"".join(map(spelt, y)) == w == b"".join(map(labels, x)) for x, y, w in zip(own_a, own_b, whole[len(plain) :], strict=True)]
+        valid = np.array([True] * len(plain) + sound)
         good = np.flatnonzero(valid)
         for piece in new:
             self.numbers[piece] = len(self.numbers)
             self.held += 20 + len(piece)
-        fa, fb = (np.fromiter(chain.from_iterable(x[k] for k in good.tolist()), np.int64) for x in (a, b))
+        fa, fb = (np.fromiter(chain.from_iterable(chain(x, (own[k] for k, ok in enumerate(sound) if ok))), np.int64) for x, own in ((a, own_a), (b, own_b)))
         ea, eb = np.cumsum(self.sizes[0][fa]), np.cumsum(self.sizes[1][fb])
         bytes_end = np.cumsum([len(whole[k]) for k in good.tolist()], dtype=np.int64)
         # groups end where both end
