@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import enrich_checks as masters
 from checks.fixtures import Checks, table, with_fact
 from ventara.functions.dates import serial_to_date
+from ventara.functions.numbers import MEASURE
 from ventara.operators import dispatch as runs
 from ventara.plans import period
 from ventara.plans.period import Period
@@ -371,12 +372,15 @@ _BATCH = """batch AS (SELECT date, client_key, channel, period, concat_ws('|', C
 
 
 def _batch(rows):
+    """The lines of the batch in one pass: each line of the range becomes none to three of them."""
     inside = rows.filter(F.col("date").between(F.lit(_R0), F.lit(_R1)))
-    known = inside.filter(F.col("client_key").cast("int") % 3 != 0)
+    known, more = F.col("client_key").cast("int") % 3 != 0, F.col("client_key").cast("int") % 5 == 0
     even = F.col("line_key").cast("int") % 2 == 0
-    halves = known.filter(even).withColumn("amount", F.col("amount") / 2)
-    more = inside.filter(F.col("client_key").cast("int") % 5 == 0).withColumn("client_key", F.concat(F.lit("N"), "client_key"))
-    return halves.unionByName(halves).unionByName(known.filter(~even).withColumn("amount", F.col("amount") * 3)).unionByName(more)
+    line = lambda amount, prefix="": F.struct(F.concat(F.lit(prefix), "client_key").alias("client_key"), amount.cast(MEASURE).alias("amount"))
+    amount = F.col("amount")
+    half = line(amount / 2)
+    lines = F.array(F.when(known & even, half), F.when(known & even, half), F.when(known & ~even, line(amount * 3)), F.when(more, line(amount, "N")))
+    return inside.withColumn("b", F.explode(F.filter(lines, lambda x: x.isNotNull()))).withColumns({"client_key": F.col("b.client_key"), "amount": F.col("b.amount")}).drop("b")
 
 
 @C.add("line_merge", with_fact(

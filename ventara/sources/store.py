@@ -66,11 +66,20 @@ def _shaped(records: DataFrame) -> DataFrame:
     names["sales_scheme_name"] = F.coalesce(F.nullif(scheme, F.lit("")), force)
     names["sales_force"] = F.coalesce(F.nullif(force, F.lit("")), scheme)
     invoice = F.coalesce(first_text("invoice", "document_key") if "document_key" in records.columns else blank_to_null("invoice"), F.lit(""))
-    seq = F.col("load_seq") if "load_seq" in records.columns else F.struct(*[names[n].alias(n) for n in NAME_FIELDS])
+    seq = [F.col("load_seq").alias("seq")] if "load_seq" in records.columns else []
     extra = [_text(records, c).alias(c) for c in ("document_key", "line_key")]
     return records.filter(F.col("date").isNotNull()).select(
         "date", invoice.alias("invoice"), *[_text(records, k).alias(k) for k in KEY_FIELDS], *[v.alias(n) for n, v in names.items()],
-        *[v.cast("decimal(38,6)").alias(n) for n, v in _measures(records).items()], *extra, seq.alias("seq"))
+        *[v.cast("decimal(38,6)").alias(n) for n, v in _measures(records).items()], *extra, *seq)
+
+
+def _together(shaped: DataFrame, *keys: str) -> DataFrame:
+    """Rows of some of the keys that are grouped by in one partition, with the order of their names as `seq`.
+
+    Most keys have one line, so whole lines are shuffled once instead of partial aggregates, which hold the order with every name.
+    """
+    rows = shaped.repartition(*keys)
+    return rows if "seq" in rows.columns else rows.withColumn("seq", F.struct(*NAME_FIELDS))
 
 
 def _first_filled(name: str):
@@ -80,7 +89,9 @@ def _first_filled(name: str):
 
 def compact(records: DataFrame) -> DataFrame:
     """One row per date, client, invoice, product, seller, scheme, route and channel: summed measures, first filled names."""
-    grouped = _shaped(records).groupBy("date", "invoice", *KEY_FIELDS).agg(
+    keys = ("date", "invoice", *KEY_FIELDS)
+    near = ["date", "invoice", *[k for k in ("client_key", "product_key") if k in records.columns]]  # a column that is missing is a constant
+    grouped = _together(_shaped(records), *near).groupBy(*keys).agg(
         *[_first_filled(n) for n in NAME_FIELDS], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
     return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
 
@@ -98,7 +109,7 @@ def compact_lines(records: DataFrame) -> DataFrame:
     shaped = _shaped(records)
     shaped = shaped.withColumn("line_id", line_id(shaped))
     others = ("invoice", *KEY_FIELDS, "document_key", "line_key", *NAME_FIELDS)
-    grouped = shaped.groupBy("line_id", "date").agg(*[_first_filled(n) for n in others], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
+    grouped = _together(shaped, "line_id", "date").groupBy("line_id", "date").agg(*[_first_filled(n) for n in others], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
     return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
 
 
