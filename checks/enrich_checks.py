@@ -10,13 +10,13 @@ C = Checks()
 
 def raw_sales(spark, sf_dir):
     """Sales lines with gaps: blank seller keys, operational route codes, force names in the route field."""
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = (
+        table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.col("o_orderkey") % 5
     return lines.select(
         F.col("o_orderdate").cast("date").alias("date"),

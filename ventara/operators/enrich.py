@@ -1,7 +1,8 @@
 """Sales lines joined with article, seller and route masters into the fact.
 
-Every lookup is a left equi-join on a key that is unique on the master side. No side is hinted for
-broadcast: Spark broadcasts the ones whose size it knows to be small and sorts or splits the rest.
+Every lookup is a left equi-join on a key that is unique on the master side. Lookups by the name or key of
+a seller or branch are reduced to one row per key first, and broadcast only if they are counted to be small;
+lookups by client and by article are shuffled, while the sales lines carry resolved columns only.
 Missing dimension values stay NULL; reports put the label in when they group.
 """
 
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ventara.functions.dates import period_of, week_of
 from ventara.functions.text import blank_to_null, clean, first_text, folded, is_operational_route
 from ventara.plans.schema import ARTICLE_ATTRIBUTES
+from ventara.plans.session import kept
+
+#: Rows of a reduced lookup up to which it is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 20_000
 
 # Fields of the masters.
 MASTER_FIELDS = {
@@ -86,19 +91,20 @@ def _routes(routes: DataFrame) -> DataFrame:
 
 
 def route_lookups(routes: DataFrame) -> dict[str, DataFrame]:
-    """Best route by seller name, by client and scheme, and by client."""
+    """Best route by seller name, and by client with and without scheme."""
     routes = _routes(routes)
     order = [route_rank("").alias("rank"), *_sequence(routes)]
+    return {"by_seller": last_wins(routes, F.nullif(folded("seller_name"), F.lit("")), "r_seller", ROUTE_VALUE, order), "by_client": _client_routes(routes, order)}
+
+
+def _client_routes(routes: DataFrame, order: list[Column]) -> DataFrame:
+    """Per client the best route of all as `r_client`, and the best one of each scheme as the map `by_scheme`: one join serves both."""
     clients = routes.withColumn("client", F.explode("client_keys")).filter(clean("client") != "")
-    scheme = first_text("sales_scheme_key", "sales_force_key")
-    return {
-        "by_seller": last_wins(routes, F.nullif(folded("seller_name"), F.lit("")), "r_seller", ROUTE_VALUE, order),
-        "by_client": last_wins(clients, clean("client"), "r_client", ROUTE_VALUE, order),
-        "by_client_scheme": last_wins(
-            clients.filter(scheme.isNotNull()), F.struct(clean("client").alias("client"), scheme.alias("scheme")),
-            "r_client_scheme", ROUTE_VALUE, order,
-        ),
-    }
+    value = F.struct(*ROUTE_VALUE)
+    rows = clients.select(clean("client").alias("k"), first_text("sales_scheme_key", "sales_force_key").alias("scheme"), value.alias("v"), F.struct(*order, value).alias("o"))
+    best = rows.groupBy("k", "scheme").agg(F.max_by("v", "o").alias("v"), F.max("o").alias("o"))
+    pairs = F.collect_list(F.when(F.col("scheme").isNotNull(), F.struct("scheme", "v")))
+    return best.groupBy("k").agg(F.max_by("v", "o").alias("v"), F.map_from_entries(pairs).alias("by_scheme")).select("k", F.struct(F.col("v").alias("r_client"), "by_scheme").alias("r"))
 
 
 def organisation_names(routes: DataFrame) -> DataFrame:
@@ -114,6 +120,12 @@ def _lookup(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFram
     return df.withColumn("_k", key).join(table.withColumnRenamed("k", "_k"), "_k", "left").drop("_k")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A lookup by name, reduced and kept, with a hint for broadcast when it has few rows."""
+    table = kept(table)
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def enrich(sales: DataFrame, articles=None, routes=None, sellers=None) -> DataFrame:
     """The fact: sales lines plus resolved seller, route, force, scheme, article attributes and match flags."""
     df = _with_columns(sales, SALES_OPTIONAL)
@@ -122,9 +134,9 @@ def enrich(sales: DataFrame, articles=None, routes=None, sellers=None) -> DataFr
     seller_type = "struct<seller_key:string,seller_name:string,route_description:string,sales_force:string>"
     if sellers is not None:
         tables = seller_lookups(sellers)
-        df = _lookup(df, blank_to_null("seller_key"), tables["by_key"], "s_key")
-        df = _lookup(df, F.nullif(folded("route_description"), F.lit("")), tables["by_route"], "s_route")
-        df = _lookup(df, F.nullif(folded("seller_name"), F.lit("")), tables["by_name"], "s_name")
+        df = _lookup(df, blank_to_null("seller_key"), _small(tables["by_key"]), "s_key")
+        df = _lookup(df, F.nullif(folded("route_description"), F.lit("")), _small(tables["by_route"]), "s_route")
+        df = _lookup(df, F.nullif(folded("seller_name"), F.lit("")), _small(tables["by_name"]), "s_name")
         master = F.coalesce("s_key", "s_route", "s_name")
     else:
         master = none.cast(seller_type)
@@ -137,15 +149,11 @@ def enrich(sales: DataFrame, articles=None, routes=None, sellers=None) -> DataFr
     )
     if routes is not None:
         tables = route_lookups(routes)
-        df = _lookup(df, folded("_seller"), tables["by_seller"], "r_seller")
+        df = _lookup(df, folded("_seller"), _small(tables["by_seller"]), "r_seller")
         client = blank_to_null("client_key")
-        pair = F.when(
-            F.col("sales_scheme_key").isNotNull() & client.isNotNull(),
-            F.struct(client.alias("client"), F.col("sales_scheme_key").alias("scheme")),
-        )
-        df = _lookup(df, pair, tables["by_client_scheme"], "r_client_scheme")
-        df = _lookup(df, client, tables["by_client"], "r_client")
-        df = df.withColumn("_client_route", F.coalesce("r_client_scheme", "r_client"))
+        df = _lookup(df, client, tables["by_client"], "r")
+        of_scheme = F.try_element_at("r.by_scheme", F.col("sales_scheme_key"))
+        df = df.withColumn("_client_route", F.coalesce(of_scheme, F.col("r.r_client"))).drop("r")
         client_wins = F.col("r_seller").isNull() | (route_rank("_client_route") >= route_rank("r_seller"))
         df = df.withColumn(
             "_route", F.when(F.col("_client_route").isNotNull() & client_wins, F.col("_client_route")).otherwise(F.col("r_seller"))
@@ -162,35 +170,41 @@ def enrich(sales: DataFrame, articles=None, routes=None, sellers=None) -> DataFr
         "_name", F.coalesce("_from_masters", usable("commercial_route"), usable("route_description"))
     )
     if routes is not None:
-        df = _lookup(df, folded("_name"), organisation_names(routes), "is_unit")
+        df = _lookup(df, folded("_name"), _small(organisation_names(routes)), "is_unit")
         route_name = F.when(F.col("is_unit").isNotNull(), F.col("_from_masters")).otherwise(F.col("_name"))
     else:
         route_name = F.col("_name")
-    if articles is not None:
-        df = _lookup(df, blank_to_null("product_key"), article_lookup(articles), "article")
-    else:
-        df = df.withColumn("article", none.cast("struct<" + ",".join(f"{a}:string" for a in MASTER_FIELDS["articles"]) + ">"))
-
     resolved = df.select(
         *[c for c in sales.columns if c not in (
             "client_name", "seller_key", "seller_name", "sales_scheme_key", "sales_scheme_name", "sales_force",
             "channel", "route_description", "invoice", "product_key", *ARTICLE_ATTRIBUTES)],
         "client_name", "product_key", "invoice",
-        first_text("client_name", "client_key").alias("client"),
-        F.nullif(folded(F.coalesce(blank_to_null("client_name"), F.col("client_key"))), F.lit("")).alias("client_canonical"),
-        period_of("date").alias("period"),
-        week_of("date").alias("week"),
         seller_key.alias("seller_key"),
         seller_name.alias("seller_name"),
         "sales_scheme_key",
         first_text("sales_scheme_name", "sales_force", "_route.sales_force").alias("sales_scheme_name"),
         first_text("sales_scheme_name", "sales_force", "_route.sales_force", "_master.sales_force").alias("sales_force"),
-        *[blank_to_null(f"article.{a}").alias(a) for a in ARTICLE_ATTRIBUTES],
         blank_to_null("channel").alias("channel"),
         route_name.alias("route_description"),
-        F.col("article").isNotNull().alias("has_article_match"),
         (F.col("_master").isNotNull() | seller_key.isNotNull() | blank_to_null("seller_name").isNotNull()).alias("has_seller_match"),
     )
+    names = resolved.columns
+    if articles is not None:
+        resolved = _lookup(resolved, blank_to_null("product_key"), article_lookup(articles), "article")
+    else:
+        resolved = resolved.withColumn("article", none.cast("struct<" + ",".join(f"{a}:string" for a in MASTER_FIELDS["articles"]) + ">"))
+    resolved = resolved.select(
+        *names[: names.index("invoice") + 1],
+        first_text("client_name", "client_key").alias("client"),
+        F.nullif(folded(F.coalesce(blank_to_null("client_name"), F.col("client_key"))), F.lit("")).alias("client_canonical"),
+        period_of("date").alias("period"),
+        week_of("date").alias("week"),
+        "seller_key", "seller_name", "sales_scheme_key", "sales_scheme_name", "sales_force",
+        *[blank_to_null(f"article.{a}").alias(a) for a in ARTICLE_ATTRIBUTES],
+        "channel", "route_description",
+        F.col("article").isNotNull().alias("has_article_match"),
+        "has_seller_match",
+    )
     dash = lambda c: F.coalesce(blank_to_null(c), F.lit("-"))
     return resolved.withColumn("has_route_match", F.col("route_description").isNotNull()).withColumn(
         "fact_key",
