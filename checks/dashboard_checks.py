@@ -141,6 +141,10 @@ _CALERT_CTE = """calerts AS (SELECT 'clients' AS board, 'warn' AS severity, 'con
     UNION ALL SELECT 'clients', 'critical', 'cuenta en riesgo', recency_days, client FROM (SELECT * FROM dash WHERE status IN ('Dormido', 'Reactivable', 'Perdido') ORDER BY sales DESC, client_id DESC LIMIT 1))"""
 
 
+# What the client and dimension statistics of the dashboards read of the sales grain.
+_CLIENT_GRAIN = {"labels": ("seller_name", "sales_force", "route_description", "family"), "identities": (*core.REPORT_IDENTITIES, "client_canonical")}
+
+
 def _clients(fact):
     return core.client_stats(fact, PERIOD)
 
@@ -155,12 +159,12 @@ def lifecycle_counts(fact):
     return focus.lifecycle_counts(focus.clients_dashboard(fact, PERIOD, _clients(fact)))
 
 
-@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",), once=True)
+@C.add("clients_summary", with_fact("SELECT * FROM csum", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE), rounded=("avg_ticket", "top10_pct",), once=_CLIENT_GRAIN)
 def clients_summary(fact):
     return focus.clients_summary(fact, PERIOD, kept(focus.clients_dashboard(fact, PERIOD, kept(_clients(fact)))))
 
 
-@C.add("clients_alerts", with_fact("SELECT * FROM calerts", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE, _CALERT_CTE), once=True)
+@C.add("clients_alerts", with_fact("SELECT * FROM calerts", GAPS_CTE, CLIENTS_CTE, _DASH_CTE, _CSUM_CTE, _CALERT_CTE), once=_CLIENT_GRAIN)
 def clients_alerts(fact):
     clients = kept(_clients(fact))
     dashboard = kept(focus.clients_dashboard(fact, PERIOD, clients))
@@ -339,7 +343,7 @@ _OALERT_CTE = """oalerts AS (SELECT 'opportunities' AS board, 'warn' AS severity
 
 
 def _opps(fact):
-    fact = fact if "lines" in fact.columns else kept(core.sales_grain(fact))
+    fact = fact if "lines" in fact.columns else kept(core.sales_grain(fact, (*_CLIENT_GRAIN["labels"], "channel"), identities=_CLIENT_GRAIN["identities"]))
     return opportunity.all_opportunities(fact, PERIOD, kept(_clients(fact)), kept(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
 
 

@@ -16,7 +16,7 @@ from ventara.functions.numbers import dbl, moderated, pct_change, ratio, share_p
 from ventara.functions.rows import literal_rows
 from ventara.functions.text import clean, is_missing_label, lower_trim
 from ventara.operators.core import (
-    amount_where, client_stats, dimension_stats, one_row, order_key, ranked, sales_grain, status_rank, unpivot_dimensions, weight,
+    REPORT_IDENTITIES, REPORT_LABELS, amount_where, client_stats, dimension_stats, one_row, order_key, ranked, sales_grain, status_rank, unpivot_dimensions, weight,
 )
 from ventara.plans.period import Period, month_labels
 from ventara.plans.schema import CUBE_DIMENSIONS, CUBE_METRICS
@@ -59,11 +59,11 @@ class ReportBase:
 def report_base(fact: DataFrame, period: Period, keep: bool = False) -> ReportBase:
     """Client and dimension statistics.
 
-    With `keep` the fact is read once, for its sales grain, which is kept; and so are the statistics and the one-row figures that
+    With `keep` the fact is read once, for its sales grain with the columns of the blocks, which is kept; and so are the statistics and the one-row figures that
     several blocks use, each when it is first asked for. They go when the report does.
     """
     if keep:
-        fact = kept(sales_grain(fact))
+        fact = kept(sales_grain(fact, REPORT_LABELS, identities=REPORT_IDENTITIES))
     clients, dimensions = client_stats(fact, period), dimension_stats(fact, period)
     if keep:
         clients, dimensions = kept(clients), kept(dimensions)
