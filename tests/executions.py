@@ -7,13 +7,17 @@ class Executions:
     def __init__(self, spark):
         self.spark = spark
         self.store = spark._jsparkSession.sharedState().statusStore()
-        self.before = self.store.executionsCount()
+        self.before = max((e.executionId() for e in self._last()), default=-1)
+
+    def _last(self, n: int = 200) -> list:
+        """The last executions. By number, since the store drops the oldest ones of a long session and its count stands still."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        held = self.store.executionsList()
+        return [held.apply(k) for k in range(max(held.size() - n, 0), held.size())]
 
     def plans(self) -> list[str]:
         """Descriptions of the final plans."""
-        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        held = self.store.executionsList(self.before, 10_000)
-        return [held.apply(k).physicalPlanDescription() for k in range(held.size())]
+        return [e.physicalPlanDescription() for e in self._last() if e.executionId() > self.before]
 
     def scans(self, table: str) -> int:
         """Scans of a Parquet table in all plans as they were run; a reused exchange or subquery counts once."""
