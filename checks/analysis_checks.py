@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import Checks, with_fact
 from ventara.operators import analyses, profile
+from ventara.operators.core import sales_grain
+from ventara.plans.session import kept
 
 C = Checks()
 
@@ -255,7 +257,11 @@ def margin_by_dim(fact):
 @C.add("run_task", with_fact(f"""SELECT 'line' AS dataset, label, value FROM ({_perf_sql("brand")})
     UNION ALL SELECT 'units', period, CAST(sum(quantity) AS DOUBLE) FROM fact GROUP BY period"""))
 def run_task(fact):
-    """A dataset without families, where the product slot falls to the line, and one that has units only."""
+    """A dataset without families, where the product slot falls to the line, and one that has units only.
+
+    Profiles and analyses read the same few columns, which are joined once and kept.
+    """
+    fact = kept(sales_grain(fact, ("brand", "product_name", "channel"), identities=("date", "client_key", "invoice")))
     lined = fact.withColumn("line", F.col("brand")).drop("family", "brand")
     slots = profile.slots_of(profile.profile(lined, ("date", "line", "product_name", "amount", "quantity")), "product_analysis")
     units = fact.drop("amount", "period")
