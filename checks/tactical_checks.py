@@ -336,7 +336,11 @@ def _parts(fact):
     }, clients, dashboard
 
 
-@C.add("direction_board", with_fact(_board_sql(), *_ALL), once=True)
+# What the board reads of the sales grain.
+_BOARD_GRAIN = {"labels": ("seller_name", "sales_force", "route_description", "family", "channel", "supplier"), "identities": (*core.REPORT_IDENTITIES, "client_name", "client_canonical", "year")}
+
+
+@C.add("direction_board", with_fact(_board_sql(), *_ALL), once=_BOARD_GRAIN)
 def direction_board(fact):
     sums, clients, dashboard = _parts(fact)
     alerts = {
@@ -354,7 +358,7 @@ def direction_board(fact):
       UNION ALL SELECT 3, 'Gap responsables', gap_pct, CASE WHEN round(gap_pct, 1) >= 0 THEN 'good' ELSE 'warn' END FROM osumm
       UNION ALL SELECT 4, 'Potencial accionable', total_potential, 'good' FROM osum
       UNION ALL SELECT 5, 'Clientes en riesgo', at_risk, CASE WHEN at_risk > 120 THEN 'bad' WHEN at_risk > 60 THEN 'warn' ELSE 'good' END FROM csum
-      UNION ALL SELECT 6, 'Concentración top 10', top10_clients_pct, CASE WHEN round(top10_clients_pct, 1) < 30 THEN 'good' WHEN round(top10_clients_pct, 1) < 40 THEN 'warn' ELSE 'bad' END FROM hsum)""", *_ALL), once=True)
+      UNION ALL SELECT 6, 'Concentración top 10', top10_clients_pct, CASE WHEN round(top10_clients_pct, 1) < 30 THEN 'good' WHEN round(top10_clients_pct, 1) < 40 THEN 'warn' ELSE 'bad' END FROM hsum)""", *_ALL), once=_BOARD_GRAIN)
 def board_kpis(fact):
     sums, _, _ = _parts(fact)
     owners = ops.owner_summary(ops.owner_tracking(_dims(fact), _owner_targets(fact), MONTH))

@@ -1,10 +1,14 @@
 """What the large joins and aggregates shuffle."""
 
+import re
 from datetime import date
 
 import pytest
 
+import __spark_entry__ as entry
+
 from checks import dashboard_checks, enrich_checks, fixtures, source_checks
+from executions import Executions
 from pyspark.sql import functions as F
 from ventara.operators import core, enrich
 from ventara.plans.period import Period
@@ -65,3 +69,51 @@ def test_kept_grain_of_opportunities_has_only_what_they_read(spark, sf_dir, monk
     monkeypatch.setattr(dashboard_checks, "kept", lambda df: seen.append(df.columns) or df)
     dashboard_checks._opps(fixtures.fact(spark, sf_dir))
     assert "lines" in seen[0] and not {"supplier", "brand", "client_name", "year"} & set(seen[0])
+
+
+def test_kept_grain_is_not_grouped(large, sf_dir):
+    assert "Aggregate" not in above_joins(core.sales_grain(fixtures.fact(large, sf_dir)))
+
+
+def test_grain_stands_for_every_line(spark):
+    fact = spark.createDataFrame([("1", "x", 2), ("1", "x", 3), ("1", None, None)], "invoice string, channel string, amount int")
+    grain = core.sales_grain(fact, ("channel",), ("amount",), ("invoice",))
+    assert grain.agg(F.sum("lines"), F.sum("amount").cast("int")).first()[:] == (3, 5) and grain.columns == ["invoice", "channel", "amount", "lines"]
+
+
+def test_suppliers_counted_to_be_few_do_not_shuffle_the_lines(large, sf_dir, monkeypatch):
+    assert plan(fixtures.fact(large, sf_dir)).count("BroadcastHashJoin") == 1
+    monkeypatch.setattr(fixtures, "BROADCAST_SUPPLIERS", 0)
+    assert "BroadcastHashJoin" not in plan(fixtures.fact(large, sf_dir))
+
+
+def test_client_stats_shuffle_the_combinations_once(large):
+    fact = large.createDataFrame([], "date date, period string, client_key string, client string, invoice string, sales_force string, route_description string, seller_name string, family string, amount decimal(38,6), quantity decimal(38,6)")
+    assert len(re.findall(r"Exchange hashpartitioning\(client_key#\d+, client#\d+, sales_force", plan(core.client_stats(fact, PERIOD)))) == 1
+
+
+def test_name_of_the_last_day_comes_with_the_usual_values(spark):
+    rows = [("a", "old", "n", 9, date(2001, 1, 1)), ("a", "new", "s", 1, date(2001, 2, 1)), ("a", "none", "s", 1, None), ("b", "x", "s", 1, None), (None, "y", None, 2, date(2001, 1, 1))]
+    combos = spark.createDataFrame(rows, "client_key string, client string, force string, n int, day date")
+    found = {r.client_key: (r.force, r.last and r.last.client) for r in core.usual_values(combos, "client_key", ("force",), latest=("client", "day")).collect()}
+    assert found == {"a": ("n", "new"), "b": ("s", None), None: (None, "y")}
+
+
+def test_run_task_joins_the_lines_once(spark, sf_dir):
+    seen = Executions(spark)
+    entry.queries()["run_task"](spark, sf_dir).collect()
+    assert seen.scans("lineitem") == 1
+
+
+@pytest.mark.parametrize("name", ("board_kpis", "direction_board"))
+def test_kept_grain_of_the_board_has_only_what_it_reads(spark, sf_dir, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def stop(df):
+        raise Seen(*df.columns)
+
+    monkeypatch.setattr(fixtures, "kept", stop)
+    with pytest.raises(Seen) as found:
+        entry.queries()[name](spark, sf_dir)
+    assert "lines" in found.value.args and not {"brand", "business_unit", "month", "has_article_match"} & set(found.value.args)
