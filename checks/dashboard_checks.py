@@ -342,9 +342,9 @@ _OALERT_CTE = """oalerts AS (SELECT 'opportunities' AS board, 'warn' AS severity
     UNION ALL SELECT 'opportunities', 'warn', 'canales bajo promedio', channel_opportunities FROM osum WHERE channel_opportunities >= 2)"""
 
 
-def _opps(fact):
+def _opps(fact, clients=None):
     fact = fact if "lines" in fact.columns else kept(core.sales_grain(fact, (*_CLIENT_GRAIN["labels"], "channel"), identities=_CLIENT_GRAIN["identities"]))
-    return opportunity.all_opportunities(fact, PERIOD, kept(_clients(fact)), kept(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
+    return opportunity.all_opportunities(fact, PERIOD, kept(_clients(fact)) if clients is None else clients, kept(core.dimension_stats(fact, PERIOD, ("seller_name", "channel"))))
 
 
 @C.add("opportunities_all", with_fact("SELECT * FROM opps", GAPS_CTE, CLIENTS_CTE, DIMS_CTE, _OPP_CTE))

@@ -332,7 +332,7 @@ def _parts(fact):
     dashboard = kept(focus.clients_dashboard(fact, PERIOD, clients))
     return {
         "budget": history.budget_summary(history.budget_monthly(hist, dash.budget_of(fact))), "history": history.history_summary(hist, cur),
-        "opportunities": opportunity.opportunities_summary(dash._opps(fact)), "clients": focus.clients_summary(fact, PERIOD, dashboard),
+        "opportunities": opportunity.opportunities_summary(dash._opps(fact, clients)), "clients": focus.clients_summary(fact, PERIOD, dashboard),
     }, clients, dashboard
 
 
