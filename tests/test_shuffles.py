@@ -2,6 +2,7 @@
 
 import re
 from datetime import date
+from decimal import Decimal
 
 import pytest
 
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 from checks import dashboard_checks, enrich_checks, fixtures, source_checks
 from executions import Executions
 from pyspark.sql import functions as F
-from ventara.operators import core, enrich
+from ventara.operators import core, enrich, report
 from ventara.plans.period import Period
 from ventara.sources import store
 
@@ -117,3 +118,39 @@ def test_kept_grain_of_the_board_has_only_what_it_reads(spark, sf_dir, monkeypat
     with pytest.raises(Seen) as found:
         entry.queries()[name](spark, sf_dir)
     assert "lines" in found.value.args and not {"brand", "business_unit", "month", "has_article_match"} & set(found.value.args)
+
+
+def test_lines_meet_orders_with_the_labels_of_their_article_only(large, sf_dir):
+    grain = core.sales_grain(fixtures.fact(large, sf_dir), core.REPORT_LABELS, identities=core.REPORT_IDENTITIES)
+    assert not {"p_name", "p_type", "p_partkey"} & set(re.findall(r"[a-z_]+", above_joins(grain)))
+
+
+def test_report_keeps_measures_as_they_come_and_sums_them_exactly(spark, monkeypatch):
+    row = [(date(2001, 6, 1), "2001-06", "a", "A", "1", *["x"] * 7, True, True, "0.000001", "1.50"), (date(2001, 2, 1), "2001-02", "a", "A", "2", *[None] * 7, False, False, None, None)]
+    names = (*core.REPORT_IDENTITIES, *core.REPORT_LABELS, "amount", "quantity")
+    types = ["date", *["string"] * 11, "boolean", "boolean", "string", "string"]
+    fact = spark.createDataFrame(row, ", ".join(f"{n} {t}" for n, t in zip(names, types))).withColumns({"amount": F.col("amount").cast("decimal(18,6)"), "quantity": F.col("quantity").cast("decimal(18,2)")})
+    seen, keep = [], report.kept
+    monkeypatch.setattr(report, "kept", lambda df: seen.append(df) or keep(df))
+    base = report.report_base(fact, PERIOD, keep=True)
+    assert dict(seen[0].dtypes)["quantity"] == "decimal(18,2)" and seen[0].columns[-3:] == ["family", "brand", "business_unit"]
+    assert dict(base.fact.dtypes)["quantity"] == "decimal(38,6)" and base.fact.agg(F.sum("lines")).first()[0] == 2
+    assert base.clients.select("sales", "quantity").first()[:] == (Decimal("0.000001"), Decimal("1.500000"))
+
+
+def test_client_stats_move_counted_values_only(spark):
+    rows = [(date(2001, 6, 1), "2001-06", "1", "f"), (date(2001, 2, 1), "2001-02", "2", "g"), (date(2001, 2, 1), "2001-02", None, None), (date(2001, 9, 1), "2001-09", "3", "h"), (None, None, "4", "i")]
+    fact = spark.createDataFrame([(*r, key) for key in ("a", None) for r in rows] + [(date(2001, 2, 1), "2001-02", "2", "g", "b"), (date(2001, 9, 1), "2001-09", "3", "h", "c")], "date date, period string, invoice string, family string, client_key string")
+    fact = fact.withColumns({c: F.lit("x") for c in ("client", "sales_force", "route_description", "seller_name")} | {m: F.lit(1).cast("decimal(38,6)") for m in ("amount", "quantity")})
+    stats = core.client_stats(fact, PERIOD)
+    found = {r.client_key: (r.months_active, r.orders, r.families, int(r.history_sales)) for r in stats.collect()}
+    assert found == {"a": (1, 1, 1, 3), "b": (0, 1, 1, 1)}
+    assert "max(seen" not in plan(stats)
+
+
+def test_order_of_a_client_is_a_date_and_an_invoice(spark):
+    rows = [(date(2001, 6, 1), k, i, "x") for k, i in (("a", "1"), ("a", " 1 "), (" a", "1"), ("b", "1"), ("b", None), (None, "1"), (None, None))] + [(date(2001, 6, 2), "a", "1", "x")]
+    fact = spark.createDataFrame(rows, "date date, client_key string, invoice string, channel string").withColumns({m: F.lit(1).cast("decimal(38,6)") for m in ("amount", "quantity")})
+    stats = core.dimension_stats(fact, PERIOD, ("channel",))
+    assert stats.select("clients", "orders").first()[:] == (3, 7)
+    assert not re.search(r"struct\(date, date#\d+, client", plan(stats))

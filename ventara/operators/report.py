@@ -19,7 +19,7 @@ from ventara.operators.core import (
     REPORT_IDENTITIES, REPORT_LABELS, amount_where, client_stats, dimension_stats, one_row, order_key, ranked, sales_grain, status_rank, unpivot_dimensions, weight,
 )
 from ventara.plans.period import Period, month_labels
-from ventara.plans.schema import CUBE_DIMENSIONS, CUBE_METRICS
+from ventara.plans.schema import ARTICLE_ATTRIBUTES, CUBE_DIMENSIONS, CUBE_METRICS
 from ventara.plans.session import kept
 
 
@@ -59,11 +59,13 @@ class ReportBase:
 def report_base(fact: DataFrame, period: Period, keep: bool = False) -> ReportBase:
     """Client and dimension statistics.
 
-    With `keep` the fact is read once, for its sales grain with the columns of the blocks, which is kept; and so are the statistics and the one-row figures that
-    several blocks use, each when it is first asked for. They go when the report does.
+    With `keep` the fact is read once, for the columns of the blocks, which are kept; and so are the statistics and the one-row figures that
+    several blocks use, each when it is first asked for. They go when the report does. Kept measures have the fact's own type, which can be
+    shorter than the one they are summed in, and what changes from line to line of an order stands last, so that the files compress well.
     """
     if keep:
-        fact = kept(sales_grain(fact, REPORT_LABELS, identities=REPORT_IDENTITIES))
+        columns = [c for c in ("amount", "quantity", *sorted((*REPORT_IDENTITIES, *REPORT_LABELS), key=lambda c: c in ARTICLE_ATTRIBUTES)) if c in fact.columns]
+        fact = sales_grain(kept(fact.select(*columns)), REPORT_LABELS, identities=REPORT_IDENTITIES)
     clients, dimensions = client_stats(fact, period), dimension_stats(fact, period)
     if keep:
         clients, dimensions = kept(clients), kept(dimensions)
