@@ -154,3 +154,37 @@ def test_order_of_a_client_is_a_date_and_an_invoice(spark):
     stats = core.dimension_stats(fact, PERIOD, ("channel",))
     assert stats.select("clients", "orders").first()[:] == (3, 7)
     assert not re.search(r"struct\(date, date#\d+, client", plan(stats))
+
+
+LINES = "date date, client_key string, invoice string, line_key string, product_key string, amount decimal(18,4), quantity decimal(18,4)"
+
+
+def _lines(spark, *rows):
+    return spark.createDataFrame([(date(2024, m, d), c, i, k, "p", Decimal(a), Decimal(1)) for m, d, c, i, k, a in rows], LINES)
+
+
+def test_lines_to_be_stored_are_shuffled_once_and_as_they_come(spark, tmp_path, monkeypatch):
+    seen, write = [], store._write_months
+    monkeypatch.setattr(store, "_write_months", lambda table, rows, *more: seen.append(rows) or write(table, rows, *more))
+    store.sync_range(spark, str(tmp_path / "s"), _lines(spark, (1, 1, "a", "1", "1", 1), (2, 1, "a", "2", "1", 2)), date(2024, 1, 1), date(2024, 2, 29), full_detail=True)
+    runs = Executions(spark)
+    store.sync_range(spark, str(tmp_path / "s"), _lines(spark, (1, 2, "b", "1", "1", 1)), date(2024, 1, 1), date(2024, 2, 29), full_detail=True)
+    before = plan(seen[0]).split("Exchange")
+    assert len(before) == 2 and "line_id" not in before[1] and "decimal(38,6)" not in before[1]
+    assert not any("REBALANCE" in text for text in runs.plans())
+
+
+def test_pieces_of_a_month_keep_lines_of_one_id_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "LEAST_PIECES", 64)
+    rows = _lines(spark, (1, 1, "a|b", "c", "1", 1), (1, 1, "a", "b|c", "1", 2), (1, 1, " a ", "x", "1", 3), (1, 1, "a", " x", "1", 4), (1, 1, None, None, None, 5), (1, 1, "", "", "", 6))
+    store.sync_range(spark, str(tmp_path / "s"), rows, date(2024, 1, 1), date(2024, 1, 31), full_detail=True)
+    found = {r.line_id: int(r.amount) for r in store.read_sales(spark, str(tmp_path / "s")).collect()}
+    assert found == {"2024-01-01|a|b|c|1|p": 3, "2024-01-01|a|x|1|p": 7, "2024-01-01|||||p|": 11}
+
+
+def test_a_batch_without_a_range_is_read_once(spark, tmp_path):
+    _lines(spark, (1, 1, "a", "1", "1", 1), (3, 1, "a", "2", "1", 2)).write.parquet(str(tmp_path / "batch.parquet"))
+    runs = Executions(spark)
+    made = store.merge_lines(spark, str(tmp_path / "s"), spark.read.parquet(str(tmp_path / "batch.parquet")))
+    assert runs.scans("batch") == 1
+    assert {k: (p.rows, p.first, p.last) for k, (p,) in made.parts.items()} == {"2024-01": (1, date(2024, 1, 1), date(2024, 1, 1)), "2024-03": (1, date(2024, 3, 1), date(2024, 3, 1))}

@@ -33,6 +33,8 @@ STORE_SCHEMA = (
 )
 #: Months whose statistics are observed while they are written; of more, the days are read back from what was written.
 OBSERVED_MONTHS = 12
+#: Pieces that the lines to be written are cut into, for each shuffle partition and for each month at least: a large month is shared by some tasks.
+SLOTS_A_TASK, LEAST_PIECES = 4, 4
 #: Lines of deltas up to which their ids are broadcast when a month is read.
 BROADCAST_LINES = 500_000
 
@@ -70,30 +72,41 @@ def _shaped(records: DataFrame) -> DataFrame:
     extra = [_text(records, c).alias(c) for c in ("document_key", "line_key")]
     return records.filter(F.col("date").isNotNull()).select(
         "date", invoice.alias("invoice"), *[_text(records, k).alias(k) for k in KEY_FIELDS], *[v.alias(n) for n, v in names.items()],
-        *[v.cast("decimal(38,6)").alias(n) for n, v in _measures(records).items()], *extra, *seq)
+        *[m for m in MEASURES if m in records.columns], *extra, *seq)
 
 
-def _together(shaped: DataFrame, *keys: str) -> DataFrame:
-    """Rows of some of the keys that are grouped by in one partition, with the order of their names as `seq`.
+def _together(shaped: DataFrame, months: int | None, keys: list, order: list) -> DataFrame:
+    """Rows of some of the keys that are grouped by in one partition, by a `slot` that is grouped by as well.
 
-    Most keys have one line, so whole lines are shuffled once instead of partial aggregates, which hold the order with every name.
+    Most keys have one line, so whole lines are shuffled once instead of partial aggregates, which hold the order with every name. Measures
+    come along in their own type, and what can be made of the rest is made after the shuffle. With the number of `months` that the lines
+    are about to be written to, a slot is a piece of a month, so that they need not be shuffled once more to be written by month. Lines of
+    an `order`, whose texts are much the same, share a piece and are stored side by side.
     """
-    rows = shaped.repartition(*keys)
-    return rows if "seq" in rows.columns else rows.withColumn("seq", F.struct(*NAME_FIELDS))
+    if months is None:
+        return shaped.repartition(*keys).withColumn("slot", F.lit(0))
+    pieces = max(LEAST_PIECES, -(-SLOTS_A_TASK * int(shaped.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(months, 1)))
+    month = F.year("date") * 12 + F.month("date")
+    return shaped.withColumn("slot", month.cast("long") * pieces + F.pmod(F.xxhash64(*order), F.lit(pieces))).repartition("slot")
 
 
-def _first_filled(name: str):
-    value = F.nullif(F.col(name), F.lit(""))
-    return F.coalesce(F.min_by(value, F.when(value.isNotNull(), F.col("seq"))), F.lit("")).alias(name)
+def _merged(rows: DataFrame, keys: tuple, filled: tuple) -> DataFrame:
+    """One row per key of rows that lie together: first filled texts and summed measures. Orders and measures are made for the aggregate only."""
+    order = F.col("seq") if "seq" in rows.columns else F.struct(*NAME_FIELDS)
 
+    def first(name):
+        value = F.nullif(F.col(name), F.lit(""))
+        return F.coalesce(F.min_by(value, F.when(value.isNotNull(), order)), F.lit("")).alias(name)
 
-def compact(records: DataFrame) -> DataFrame:
+    sums = [F.sum(v.cast("decimal(38,6)")).cast("decimal(38,6)").alias(n) for n, v in _measures(rows).items()]
+    grouped = rows.groupBy("slot", *keys).agg(*map(first, filled), *sums)
+    return grouped.drop("slot").select("*", F.year("date").alias("year"), F.month("date").alias("month"))
+
+
+def compact(records: DataFrame, months: int | None = None) -> DataFrame:
     """One row per date, client, invoice, product, seller, scheme, route and channel: summed measures, first filled names."""
-    keys = ("date", "invoice", *KEY_FIELDS)
     near = ["date", "invoice", *[k for k in ("client_key", "product_key") if k in records.columns]]  # a column that is missing is a constant
-    grouped = _together(_shaped(records), *near).groupBy(*keys).agg(
-        *[_first_filled(n) for n in NAME_FIELDS], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
-    return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
+    return _merged(_together(_shaped(records), months, near, ["date", "invoice", "client_key"]), ("date", "invoice", *KEY_FIELDS), NAME_FIELDS)
 
 
 def line_id(df: DataFrame):
@@ -104,13 +117,12 @@ def line_id(df: DataFrame):
     return F.when(F.col("line_key") != "", by_line).otherwise(fallback)
 
 
-def compact_lines(records: DataFrame) -> DataFrame:
+def compact_lines(records: DataFrame, months: int | None = None) -> DataFrame:
     """Full-detail form: one row per line id, with repeated ids of a batch summed."""
     shaped = _shaped(records)
-    shaped = shaped.withColumn("line_id", line_id(shaped))
-    others = ("invoice", *KEY_FIELDS, "document_key", "line_key", *NAME_FIELDS)
-    grouped = _together(shaped, "line_id", "date").groupBy("line_id", "date").agg(*[_first_filled(n) for n in others], *[F.sum(m).cast("decimal(38,6)").alias(m) for m in MEASURES])
-    return grouped.select("*", F.year("date").alias("year"), F.month("date").alias("month"))
+    order = F.substring_index(line_id(shaped), "|", 3)  # day, client, and invoice or document: of the id alone, since it is what lines are merged by
+    rows = _together(shaped, months, [line_id(shaped), "date"], ["date", order])
+    return _merged(rows.withColumn("line_id", line_id(rows)), ("line_id", "date"), ("invoice", *KEY_FIELDS, "document_key", "line_key", *NAME_FIELDS))
 
 
 # --- pure table operations --------------------------------------------------------------------
@@ -174,14 +186,19 @@ def told(observed: Observation) -> dict:
         return {}
 
 
-def _write_months(table: Versioned, rows: DataFrame, labels: list[str], run: str, more: list = ()) -> tuple[dict[str, Part], dict]:
+def _rebalanced(rows: DataFrame) -> DataFrame:
+    """Lets Spark split large months over tasks and keep small ones in one file."""
+    return rows.hint("rebalance", F.col("year"), F.col("month"))
+
+
+def _write_months(table: Versioned, rows: DataFrame, labels: list[str] | None, run: str, more: list = ()) -> tuple[dict[str, Part], dict]:
     """Write rows of the given months as a run of its own: its parts by month, and the further metrics of the written rows.
 
-    The rebalance lets Spark split large months over tasks and keep small ones in one file. The metrics are those of the writing
-    tasks, each counted once.
+    Rows come by month already: compacted for so many months, or rebalanced. Without `labels` the months are those that were written.
+    The metrics are those of the writing tasks, each counted once.
     """
-    observed, few = Observation(f"written-{run}"), len(labels) <= OBSERVED_MONTHS
-    ready = rows.hint("rebalance", F.col("year"), F.col("month")).sortWithinPartitions("year", "month", "date", "client_key", "seller_key", "product_key", "invoice")
+    observed, few = Observation(f"written-{run}"), labels is not None and len(labels) <= OBSERVED_MONTHS
+    ready = rows.sortWithinPartitions("year", "month", "date", "client_key", "seller_key", "product_key", "invoice")
     if few or more:
         ready = ready.observe(observed, *(_metrics(labels) if few else ()), *more)
     ready.write.partitionBy("year", "month").parquet(f"{table.path}/run={run}")
@@ -189,8 +206,8 @@ def _write_months(table: Versioned, rows: DataFrame, labels: list[str], run: str
     folder = lambda x: f"run={run}/year={int(x[:4])}/month={int(x[5:])}"
     if not few:
         days = table.read("date date, year int, month int", [f"run={run}"]).groupBy("year", "month").agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("z"))
-        found = {f"{r.year}-{r.month:02}": r for r in days.collect()}  # a row per month
-        return {x: Part(folder(x), found[x].n, found[x].a, found[x].z) for x in labels if x in found}, seen
+        found = {f"{r.year:04}-{r.month:02}": r for r in days.collect()}  # a row per month
+        return {x: Part(folder(x), found[x].n, found[x].a, found[x].z) for x in (sorted(found) if labels is None else labels) if x in found}, seen
     return {x: Part(folder(x), seen[f"n_{k}"], seen[f"a_{k}"], seen[f"z_{k}"]) for k, x in enumerate(labels) if seen.get(f"n_{k}")}, seen
 
 
@@ -289,12 +306,12 @@ def sync_ranges(
     counted = Observation(f"read-{run}")
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     reads = [x.alias(f"{n}_{k}") for k, (a, b) in enumerate(chunks) for n, x in (("r", F.count_if(between("date", a, b))), ("v", F.count_if(between("date", a, b) & ok)))]
-    rows = (compact_lines if full_detail else compact)(incoming.filter(inside).observe(counted, F.count("*").alias("received"), *reads))
+    rows = (compact_lines if full_detail else compact)(incoming.filter(inside).observe(counted, F.count("*").alias("received"), *reads), len(labels))
     if not full_detail:
         rows = rows.withColumn("line_id", document_id())
     border = [x for x in labels if any(not any(a <= d <= b for a, b in ranges) for p in seen.parts.get(x, ()) for d in _days_at_risk(p, ranges))]
     if border:
-        rows = rows.unionByName(_visible(table, seen, border).filter(~inside), allowMissingColumns=True)
+        rows = rows.unionByName(_rebalanced(_visible(table, seen, border).filter(~inside)), allowMissingColumns=True)
     stores = [F.count_if(between("date", a, b)).alias(f"s_{k}") for k, (a, b) in enumerate(chunks)]
     parts, written = _write_months(table, rows, labels, run, stores)
     read = told(counted)
@@ -336,23 +353,22 @@ def merge_lines(spark: SparkSession, path: str, incoming: DataFrame, start: date
     """
     table = Versioned(spark, path)
     seen, run = table.current(), table.new_run()
-    rows = (compact_lines if full_detail else compact)(incoming if start is None else incoming.filter(between("date", start, end)))
+    labels = None if start is None else month_labels(start, end)
+    rows = (compact_lines if full_detail else compact)(incoming if start is None else incoming.filter(between("date", start, end)), len(labels or ()))
     if not full_detail:
         rows = rows.withColumn("line_id", document_id())
-    if start is None:
-        span = incoming.agg(F.min("date"), F.max("date")).first()
-        if span[0] is None:
-            return seen
-    labels = month_labels(*(span if start is None else (start, end)))
     parts, _ = _write_months(table, rows, labels, run)
+    if start is None and not parts:
+        table.drop(f"run={run}")
+        return seen
     held = dict(seen.parts)
-    for label in labels:
+    for label in labels or parts:
         if start is None:
             held[label] = (*held.get(label, ()), *([parts[label]] if label in parts else []))
         elif label in parts:
             held[label] = (*held.get(label, ()), replace(parts[label], since=start, until=end))
         elif label in held:  # nothing came: the delta is the base cut down, so rewrite what is left of the month
-            left, _ = _write_months(table, _visible(table, seen, [label]).filter(~between("date", start, end)), [label], f"{run}-{label}")
+            left, _ = _write_months(table, _rebalanced(_visible(table, seen, [label]).filter(~between("date", start, end))), [label], f"{run}-{label}")
             held[label] = (left[label],) if label in left else ()
     made = table.commit(seen, {k: v for k, v in held.items() if v}, {"entity": "sales", "status": "success", "origin": origin, "range_start": start, "range_end": end})
     table.sweep()
@@ -365,7 +381,7 @@ def merge_months(spark: SparkSession, path: str, share: float = 0.1) -> list[str
     seen, run = table.current(), table.new_run()
     due = sorted(k for k, held in seen.parts.items() if len(held) > 1 and sum(p.rows for p in held[1:]) > share * held[0].rows)
     if due:
-        parts, _ = _write_months(table, _visible(table, seen, due), due, run)
+        parts, _ = _write_months(table, _rebalanced(_visible(table, seen, due)), due, run)
         table.commit(seen, {k: v for k, v in seen.parts.items() if k not in due} | {k: (p,) for k, p in parts.items()}, {"entity": "sales", "status": "merged"})
         table.sweep()
     return due
@@ -401,7 +417,7 @@ def prune_store(spark: SparkSession, path: str, cutoff: date) -> None:
     seen, run, label = table.current(), table.new_run(), f"{cutoff:%Y-%m}"
     kept = {k: v for k, v in seen.parts.items() if k >= label}
     if any(p.first < cutoff for p in kept.get(label, ())):
-        parts, _ = _write_months(table, _visible(table, seen, [label]).filter(F.col("date") >= day(cutoff)), [label], run)
+        parts, _ = _write_months(table, _rebalanced(_visible(table, seen, [label]).filter(F.col("date") >= day(cutoff))), [label], run)
         kept = {k: v for k, v in kept.items() if k != label} | {k: (p,) for k, p in parts.items()}
     if kept != seen.parts:
         table.commit(seen, kept, {"entity": "sales", "status": "pruned"})
