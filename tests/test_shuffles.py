@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from checks import dashboard_checks, enrich_checks, fixtures, source_checks
 from executions import Executions
 from pyspark.sql import functions as F
-from ventara.operators import core, enrich, report
+from ventara.operators import core, enrich, profile, report
 from ventara.plans.period import Period
 from ventara.sources import store
 
@@ -188,3 +188,22 @@ def test_a_batch_without_a_range_is_read_once(spark, tmp_path):
     made = store.merge_lines(spark, str(tmp_path / "s"), spark.read.parquet(str(tmp_path / "batch.parquet")))
     assert runs.scans("batch") == 1
     assert {k: (p.rows, p.first, p.last) for k, (p,) in made.parts.items()} == {"2024-01": (1, date(2024, 1, 1), date(2024, 1, 1)), "2024-03": (1, date(2024, 3, 1), date(2024, 3, 1))}
+
+
+def test_tasks_read_the_lines_twice_and_make_no_value_lists(spark, sf_dir):
+    seen = Executions(spark)
+    entry.queries()["tasks"](spark, sf_dir).collect()
+    assert 1 <= seen.scans("lineitem") <= 2
+    assert not any("row_number" in text for text in seen.plans())
+
+
+def test_profile_of_known_and_other_columns(spark):
+    rows = [("x", " ", 3, "f", "1", None), ("x", "Sin canal", 4, None, "2", None), (None, "web", None, "f", "2", None), ("y", "web", 4, "g", "3", None)]
+    df = spark.createDataFrame(rows, "client string, channel string, amount int, free string, code string, flavor string")
+    found = {r.field: (r.role, r.subrole, r.coverage, r.cardinality, r.top_values and [tuple(x) for x in r.top_values]) for r in profile.profile(df, top=2).collect()}
+    assert found == {
+        "client": ("DIMENSIÓN", "DIM_CLIENTE", 0.75, 2, [("x", 2), ("y", 1)]), "channel": ("DIMENSIÓN", "DIM_CANAL", 0.5, 1, [("web", 2)]), "amount": ("MÉTRICA", "MET_VENTA", 0.75, None, None),
+        "free": ("DIMENSIÓN", None, 0.75, 2, [("f", 2), ("g", 1)]), "code": ("DIMENSIÓN", None, 1.0, 3, [("2", 2), ("1", 1)])}
+    assert [(r.field, r.role, r.cardinality) for r in profile.profile(df, ["amount", "flavor"]).collect()] == [("amount", "MÉTRICA", None)]
+    assert not profile.profile(df.limit(0)).collect()
+    assert plan(profile.profile(df).select("field", "role", "coverage")).count("row_number") == 0
