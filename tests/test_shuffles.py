@@ -1,5 +1,6 @@
 """What the large joins and aggregates shuffle."""
 
+import random
 import re
 from datetime import date
 from decimal import Decimal
@@ -11,7 +12,7 @@ import __spark_entry__ as entry
 from checks import dashboard_checks, enrich_checks, fixtures, source_checks
 from executions import Executions
 from pyspark.sql import functions as F
-from ventara.operators import core, enrich, profile, report
+from ventara.operators import analyses, core, enrich, profile, report
 from ventara.plans.period import Period
 from ventara.sources import store
 
@@ -207,3 +208,25 @@ def test_profile_of_known_and_other_columns(spark):
     assert [(r.field, r.role, r.cardinality) for r in profile.profile(df, ["amount", "flavor"]).collect()] == [("amount", "MÉTRICA", None)]
     assert not profile.profile(df.limit(0)).collect()
     assert plan(profile.profile(df).select("field", "role", "coverage")).count("row_number") == 0
+
+
+def test_all_rankings_equal_a_plain_count(spark):
+    pick = random.Random(4).choice
+    # Orders of a client and channel of their own, orders that vary in some dimensions, and blank ones.
+    rows = [(f"c{k % 5}", f"i{k % 9}", f"ch{k % 3}", pick(["f", "g", None]), "s", 1) for k in range(30)]
+    rows += [(pick(["a", " a", "", None]), pick(["x", "x ", "y", "", None]), pick(["u", "v", " u", None]), pick(["f", "g", "h"]), pick(["s", "t"]), pick([1, 2, None])) for _ in range(60)]
+    fact = spark.createDataFrame(rows, "client_key string, invoice string, channel string, family string, seller_name string, amount int")
+    dims = ("channel", "family", "seller_name")
+    found = {(r.combo, r.label): (r.value, r.clients, r.orders) for r in analyses.ranking_all_combos(fact, dims, top_n=100).collect()}
+    want = {}
+    for combo in [*((d,) for d in range(3)), (0, 1), (0, 2), (1, 2)]:
+        for client, invoice, *labels, amount in rows:
+            key = " / ".join(dims[d] for d in combo), " / ".join((labels[d] or "").strip() for d in combo)
+            value, clients, orders = want.get(key, (0, set(), set()))
+            want[key] = value + (amount or 0), clients | {(client or "").strip()}, orders | {(invoice or "").strip()}
+    assert found == {k: (float(v), len(c), len(o)) for k, (v, c, o) in want.items()}
+
+
+def test_all_rankings_do_not_repeat_the_lines_for_each_set(large, sf_dir):
+    text = plan(entry.queries()["ranking_grouping_sets"](large, sf_dir))
+    assert "Expand" not in text and text.count("FileScan parquet [l_orderkey") <= 3

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -119,26 +119,50 @@ def concentration_of(items: DataFrame, top_n: int = 20) -> DataFrame:
     )
 
 
+def _distinct_in_sets(rows: DataFrame, dimensions, sets, ids) -> DataFrame:
+    """(set_id, dimensions, a count of each id): distinct ids of the labels of each set, where dimensions that are not of the set are NULL.
+
+    Clients and orders with their labels are made distinct once, for all sets. Most of them vary in one dimension at most, as an order of one
+    client does: each of its rows then counts in the sets with that dimension, and one of them in the others. Rows of the rest are repeated
+    for each set and made distinct there.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in enumerate(ids)])
+    held = rows.select(*dimensions, F.inline(pairs)).distinct()
+    one = Window.partitionBy("kind", "id")
+    varies = [F.min(d).over(one) != F.max(d).over(one) for d in dimensions]
+    marked = held.select("*", F.array(*varies).alias("varies"), (F.row_number().over(one.orderBy(*dimensions)) == 1).alias("first"))
+    plain = F.size(F.filter("varies", lambda x: x)) <= 1
+    masked = lambda s: [F.when(F.lit(d in s), F.col(d)).alias(d) for d in dimensions]
+    whole = F.struct(F.lit(-1).alias("set_id"), F.lit(None).cast("string").alias("id"), *masked(dimensions))
+    apart = [F.struct(F.lit(i).alias("set_id"), F.col("id").alias("id"), *masked(s)) for i, s in enumerate(sets)]
+    spread = marked.select("kind", "first", F.when(plain, F.col("varies")).alias("varies"), F.inline(F.when(plain, F.array(whole)).otherwise(F.array(*apart))))
+    tallied = spread.groupBy("kind", "set_id", "id", "varies", *dimensions).agg(F.count("*").alias("rows"), F.count_if("first").alias("ones"))
+    # A plain id counts in every set; an id that was made distinct there once in its own.
+    counts = []
+    for i, s in enumerate(sets):
+        inside = reduce(lambda x, y: x | y, [F.col("varies")[dimensions.index(d)] for d in s])
+        counts.append(F.when(F.col("set_id") == -1, F.struct(F.lit(i).alias("set_id"), F.when(inside, F.col("rows")).otherwise(F.col("ones")).alias("n"), *masked(s))))
+    own = F.when(F.col("set_id") >= 0, F.struct("set_id", F.lit(1).cast("long").alias("n"), *dimensions))
+    flat = tallied.select("kind", F.inline(F.filter(F.array(*counts, own), lambda x: x.isNotNull())))
+    return flat.groupBy("set_id", *dimensions).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(c) for k, c in enumerate(ids)])
+
+
 def ranking_all_combos(fact: DataFrame, dimensions, metric: str = "amount", top_n: int = 20) -> DataFrame:
-    """Rankings of every single dimension and every pair of them from one grouping-sets aggregation."""
+    """Rankings of every single dimension and every pair of them, from one sum by all dimensions and one distinct count of ids."""
     singles = [(d,) for d in dimensions]
     pairs = [(a, b) for i, a in enumerate(dimensions) for b in dimensions[i + 1:]]
     sets = singles + pairs
-    keys = {d: clean(d).alias(d) for d in dimensions}
-    rows = fact.select(*keys.values(), clean("client_key").alias("client"), clean("invoice").alias("order"), F.col(metric).alias("metric"))
-    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dimensions]).agg(
-        F.grouping_id().alias("set_id"),
-        F.coalesce(F.sum("metric"), F.lit(0)).alias("exact"),
-        F.count_distinct("client").alias("clients"),
-        F.count_distinct("order").alias("orders"),
-    )
-    bits = {d: 1 << (len(dimensions) - 1 - i) for i, d in enumerate(dimensions)}
-    full = (1 << len(dimensions)) - 1
-    combo = F.lit(None).cast("string")
-    for s in sets:
-        combo = F.when(F.col("set_id") == full - sum(bits[d] for d in s), F.lit(" / ".join(s))).otherwise(combo)
+    rows = fact.select(*[clean(d).alias(d) for d in dimensions], clean("client_key").alias("clients"), clean("invoice").alias("orders"), F.col(metric).alias("metric"))
+    masked = lambda s: [F.when(F.lit(d in s), F.col(d)).alias(d) for d in dimensions]
+    cube = rows.groupBy(*dimensions).agg(F.sum("metric").alias("sum"))
+    spread = cube.select("sum", F.inline(F.array(*[F.struct(F.lit(i).alias("set_id"), *masked(s)) for i, s in enumerate(sets)])))
+    sums = spread.groupBy("set_id", *dimensions).agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("exact"))
+    counts = _distinct_in_sets(rows, list(dimensions), sets, ("clients", "orders"))
+    same = reduce(lambda x, y: x & y, [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("set_id", *dimensions)])
+    grouped = sums.alias("s").join(counts.alias("c"), same).select("s.*", "c.clients", "c.orders")
+    combo = F.element_at(F.array(*[F.lit(" / ".join(s)) for s in sets]), F.col("set_id") + 1)
     label = F.concat_ws(" / ", *[F.col(d) for d in dimensions])
-    grand = one_row(fact, F.sum(metric).alias("total"))
+    grand = one_row(cube, F.sum("sum").alias("total"))
     items = grouped.select(combo.alias("combo"), label.alias("label"), "exact", "clients", "orders")
     top = ranked(items, top_n, [F.desc("exact"), "label"], by=["combo"])
     return top.select(
