@@ -35,6 +35,8 @@ STORE_SCHEMA = (
 OBSERVED_MONTHS = 12
 #: Pieces that the lines to be written are cut into, for each shuffle partition and for each month at least: a large month is shared by some tasks.
 SLOTS_A_TASK, LEAST_PIECES = 4, 4
+#: Months that a batch without a range is cut up for; it may have more or fewer.
+BATCH_MONTHS = 12
 #: Lines of deltas up to which their ids are broadcast when a month is read.
 BROADCAST_LINES = 500_000
 
@@ -354,7 +356,7 @@ def merge_lines(spark: SparkSession, path: str, incoming: DataFrame, start: date
     table = Versioned(spark, path)
     seen, run = table.current(), table.new_run()
     labels = None if start is None else month_labels(start, end)
-    rows = (compact_lines if full_detail else compact)(incoming if start is None else incoming.filter(between("date", start, end)), len(labels or ()))
+    rows = (compact_lines if full_detail else compact)(incoming if start is None else incoming.filter(between("date", start, end)), BATCH_MONTHS if labels is None else len(labels))
     if not full_detail:
         rows = rows.withColumn("line_id", document_id())
     parts, _ = _write_months(table, rows, labels, run)
